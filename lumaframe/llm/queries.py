@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import quality_rules
+from lumaframe.llm import quality_rules, token_files
 from lumaframe.llm.common import table
 
 
@@ -39,9 +39,21 @@ FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source
 """
 
 
+def tokenizer_path() -> str:
+    """The production tokenizer's file; every operator takes another path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op9_quality_rules": op9_quality_rules,
+        "op10_token_files": op10_token_files,
     }
 
 
