@@ -9,14 +9,14 @@ in ``data``, and two bits per id with its length less one, four ids to a byte, i
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +26,10 @@ from lumaframe.llm.common import ensure_checkpoint_dir, spread
 
 #: Ids of a block; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 20
-#: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 4_000_000
-#: A worker forgets its chunks' ids beyond so many chunks.
-MEMO_CHUNKS = 400_000
+#: Texts are encoded in groups of about so many bytes.
+GROUP_BYTES = 12_000_000
+#: A worker remembers the ids of the last pieces it met: this many, and up to as many older ones.
+MEMO_PIECES = 500_000
 END_ID = 2
 
 BLOCKS = "part int, block int, doc_ids array<bigint>, id_null array<boolean>, n_tokens array<int>, before bigint, total bigint, control binary, data binary"
@@ -37,8 +37,10 @@ BLOCKS = "part int, block int, doc_ids array<bigint>, id_null array<boolean>, n_
 #: Lengths of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
-#: A space not followed by a plain visible character: there a text can't be cut without a look at what precedes it.
-_UNSAFE = re.compile(r" (?![!-~\w])")
+#: A space not followed by a visible ASCII character, a letter or a number: texts with one aren't cut there but encoded whole.
+_UNSAFE = r" ([^!-~\pL\pN]|$)"
+#: What may follow a word's letters without a letter or number after it, and is then a piece of its own.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -65,26 +67,24 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut before spaces at which a byte-level BPE always starts a new word; the pieces lack that space.
-
-    The pattern of such tokenizers lets a word take one space before it and nothing reach across
-    that space, so each piece with its space gives the ids that it gives within the text.
-    """
-    pieces = text.split(" ")
-    if _UNSAFE.search(text) is None:
-        return pieces
-    out = pieces[:1]
-    for piece in pieces[1:]:
-        if piece and (33 <= ord(piece[0]) <= 126 or piece[0].isalnum() or piece[0] == "_"):
-            out.append(piece)
+def byte_letters() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level BPE vocabularies: its own, or the next free one from 256."""
+    out, free = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
         else:
-            out[-1] += " " + piece
+            out[b], free = chr(free), free + 1
     return out
 
 
 class Encoder:
-    """A tokenizer that remembers the ids of the pieces it has met."""
+    """A byte-level BPE tokenizer that encodes each distinct word of a batch once and remembers the last ones it met.
+
+    A text is cut before its spaces. The pattern of these tokenizers lets a word take one space
+    before it and nothing reach across that space, so a piece gives the ids that it gives within
+    the text, as long as a visible character follows the space; other texts are encoded whole.
+    """
 
     _loaded: dict[str, Encoder] = {}
 
@@ -92,10 +92,14 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.words.encode_special_tokens = True
+        self.words.pre_tokenizer = None  # takes one word, spelt in byte letters
+        self.letters = byte_letters()
         self.size = self.tokenizer.get_vocab_size()
-        self.memo: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -103,48 +107,92 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo = {}
-        missing = [p for p in pieces if p not in self.memo]
-        self.memo.update(zip(missing, self.raw([" " + p for p in missing]), strict=True))
-        return self.memo
-
-    def documents(self, texts: list[str]) -> list[np.ndarray]:
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each distinct piece with a space before it."""
+        if len(self.new) > MEMO_PIECES:  # what has not been met since the last time is forgotten
+            self.old, self.new = self.new, {}
+        out = list(map(self.new.get, pieces))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        split, other, need = [], [], {}
+        for i in missing:
+            piece = pieces[i]
+            if (ids := self.old.get(piece)) is not None:
+                out[i] = self.new[piece] = ids
+                continue
+            word = piece.rstrip(_TAIL)
+            if word.isalpha():
+                split.append((i, word, piece[len(word) :]))
+                need[word] = self.new.get(word) or self.old.get(word)
+            else:
+                other.append(i)
+        fresh = [w for w, ids in need.items() if ids is None]
+        spelt = [(b" " + w.encode()).decode("latin-1").translate(self.letters) for w in fresh]
+        need.update((w, array("I", e.ids).tobytes()) for w, e in zip(fresh, self.words.encode_batch_fast(spelt, add_special_tokens=False), strict=True))
+        tails = [t for t in {t for _, _, t in split} if t not in self.tails]
+        if len(self.tails) > 10_000:
+            self.tails, tails = {"": b""}, list({t for _, _, t in split if t})
+        self.tails.update(zip(tails, self.whole(tails), strict=True))
+        for i, word, tail in split:
+            out[i] = self.new[pieces[i]] = need[word] + self.tails[tail]
+        for i, ids in zip(other, self.whole([" " + pieces[i] for i in other]), strict=True):
+            out[i] = self.new[pieces[i]] = ids
+        return out
+
+    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]:
+        """A text column as (ids of the distinct pieces, their offsets, piece numbers, first piece number's place by text, heads).
+
+        ``heads`` has the ids of a text's first piece, which no space precedes, or of the whole text
+        where it can't be cut; in the latter case the text has no pieces.
+        """
+        unsafe = pc.match_substring_regex(column, _UNSAFE).to_numpy(zero_copy_only=False).astype(bool)
+        lists = pc.split_pattern(pc.if_else(pa.array(unsafe), pa.scalar("", column.type), column), " ")
+        ends = np.asarray(lists.offsets, np.int64)
+        coded = lists.flatten().dictionary_encode()
+        number = np.asarray(coded.indices, np.int64)
+        ends = ends - ends[0]
+        first = np.zeros(len(number), bool)
+        first[ends[:-1]] = True
+        used = np.zeros(len(coded.dictionary), bool)
+        used[number[~first]] = True
+        heads = self.whole([column[i].as_py() if unsafe[i] else coded.dictionary[int(number[ends[i]])].as_py() for i in range(len(column))])
+        found = self.pieces(coded.dictionary.filter(pa.array(used)).to_pylist())
+        place = np.cumsum(used) - 1
+        lengths = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+        return np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(lengths)]), np.where(first, -1, place[number]), ends, heads
+
+    def documents(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text, whole."""
-        cut = [chunks(t) for t in texts]
-        memo = self.learn({p for c in cut for p in c[1:]})
-        heads = self.raw([c[0] for c in cut])
-        return [np.frombuffer(h + b"".join([memo[p] for p in c[1:]]), "<u4") for h, c in zip(heads, cut, strict=True)]
-
-    def count(self, texts: list[str]) -> np.ndarray:
+        ids, offsets, number, ends, heads = self.batch(column)
+        lengths = np.diff(offsets)
+        out = []
+        for i, head in enumerate(heads):
+            own = number[ends[i] + 1 : ends[i + 1]]
+            n = lengths[own]
+            at = np.repeat(offsets[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out.append(np.concatenate([np.frombuffer(head, "<u4"), ids[at]]))
+        return out
+
+    def count(self, column: pa.Array) -> np.ndarray:
         """How often each id occurs in the texts."""
-        cut = [chunks(t) for t in texts]
-        seen: Counter[str] = Counter()
-        for c in cut:
-            seen.update(c[1:])
-        memo = self.learn(set(seen))
-        total = np.bincount(np.frombuffer(b"".join(self.raw([c[0] for c in cut])), "<u4"), minlength=self.size)
-        ids = [memo[p] for p in seen]
-        lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        weights = np.repeat(np.fromiter(seen.values(), np.int64, len(ids)), lengths)
-        return total + np.bincount(np.frombuffer(b"".join(ids), "<u4"), weights=weights, minlength=self.size).astype(np.int64)
-
-
-def groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of rows with about GROUP_CHARS characters; null reads as empty."""
-    first, held, size = 0, [], 0
-    for i, text in enumerate(column):
-        held.append(text.as_py() or "")
-        size += len(held[-1])
-        if size >= GROUP_CHARS:
-            yield first, held
-            first, held, size = i + 1, [], 0
-    if held:
-        yield first, held
+        ids, offsets, number, _, heads = self.batch(column)
+        often = np.bincount(number[number >= 0], minlength=len(offsets) - 1)
+        total = np.bincount(ids, weights=np.repeat(often, np.diff(offsets)), minlength=self.size)
+        return (total + np.bincount(np.frombuffer(b"".join(heads), "<u4"), minlength=self.size)).astype(np.int64)
+
+
+def groups(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of rows with about GROUP_BYTES bytes; null reads as empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    ends = np.cumsum(np.asarray(pc.binary_length(column), np.int64))
+    first = 0
+    while first < len(column):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + GROUP_BYTES)))
+        yield first, column.slice(first, last - first)
+        first = last
 
 
 def id_counts(documents: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
