@@ -11,8 +11,10 @@ builds a suffix array, and dropping positions as soon as their rank is unique:
    windows that name them, about 130 bytes. In a class of equal pairs the first stays and all the
    windows of the rest are repeats.
 3. Where positions share a rank but not their reach (the ends of a repeated passage), the windows of
-   the first of each class are ranked one by one: each starts with the rank of its first 50 bytes
-   and is paired with the rank 50 bytes on. In a class of equal pairs the first stays.
+   the first of each class are taken eight by eight: the rank is now that of the 93 bytes that the
+   eight windows share, paired with the rank of their reach, and sorted again: unique ranks drop
+   out, all but the first of equal pairs are repeats.
+4. Of what is left, each window is ranked by its own 100 bytes; the first of each class stays.
 
 Ranks are 64-bit fingerprints, so equal strings have equal ranks on every executor without a number
 being handed out; a class's first position is what a sort by (pair, doc_id, position) puts first.
@@ -36,6 +38,8 @@ LENGTH = 100
 GRAM = 37
 #: Grams in a window; a power of two.
 GRAMS = 64
+#: Neighbouring windows that are ranked together before each is ranked alone.
+TOGETHER = 8
 #: Window starts that are looked at together.
 SLICE = 1 << 19
 #: Stands for a null doc_id, and sorts first.
@@ -76,16 +80,16 @@ class Fingerprints:
 
 
 def samples(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(rank, reach rank, first window, windows) of each sampled position in the documents that ``raw`` holds end to end.
+    """(rank, reach rank, first window, windows, sampled position) of each sampled position in the documents that ``raw`` holds end to end.
 
     ``starts`` are the documents' offsets in ``raw``, with its length at the end. Windows are named
     by their start in ``raw``.
     """
-    inside = np.zeros(len(raw) + 1, np.int32)
+    inside = np.zeros(len(raw) + 1, np.int8)
     long = np.flatnonzero(np.diff(starts) >= LENGTH)
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, starts[long + 1] - LENGTH + 1, -1)
-    inside = np.cumsum(inside)[:-1] > 0
+    inside = np.cumsum(inside, dtype=np.int8)[:-1].view(bool)
     low = np.uint64((1 << 20) - 1)
     found: list[tuple[np.ndarray, ...]] = []
     for s in range(0, len(raw) - LENGTH + 1, SLICE):
@@ -104,9 +108,9 @@ def samples(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         end = np.concatenate([turn, [len(at)]])
         first, end = first[ok[first]], end[ok[first]]
         reach = prints.of(first, end + LENGTH - 1) ^ mix64((at[first] - first + (end - first) * 4096).astype(np.uint64))
-        found.append((rank[at[first]], reach, first + s, end - first))
+        found.append((rank[at[first]], reach, first + s, end - first, at[first] + s))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64) for _ in range(3)]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -123,15 +127,17 @@ def known_repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, place: np.ndarr
     return out
 
 
-PAIRS = "r1 bigint, r2 bigint, doc bigint, place int, n int, again boolean"
+#: ``place`` is the first of ``n`` windows of a document; they name the position ``place + ahead``.
+PAIRS = "r1 bigint, r2 bigint, doc bigint, place int, n tinyint, ahead tinyint, again boolean"
 
 
-def pairs(r1: np.ndarray, r2: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows of PAIRS. A row known to be a repeat gets a rank of its own, so that it meets no other row."""
+def pairs(r1: np.ndarray, r2: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, ahead: np.ndarray, more: dict | None = None) -> pa.RecordBatch:
+    """Rows of PAIRS, and of the columns in ``more``. A row known to be a repeat gets a rank of its own, so that it meets no other."""
     again = known_repeats(r1, r2, doc, place)
     r1 = np.where(again, mix64(doc.astype(np.uint64) * np.uint64(_ODD) + place.astype(np.uint64)), r1)
-    arrays = [pa.array(x) for x in (r1.view(np.int64), np.where(again, 0, r2.view(np.int64)), doc, place.astype(np.int32), n.astype(np.int32), again)]
-    return pa.RecordBatch.from_arrays(arrays, ["r1", "r2", "doc", "place", "n", "again"])
+    arrays = [pa.array(x) for x in (r1.view(np.int64), np.where(again, 0, r2).view(np.int64), doc, place.astype(np.int32), n.astype(np.int8), ahead.astype(np.int8), again)]
+    more = more or {}
+    return pa.RecordBatch.from_arrays([*arrays, *more.values()], ["r1", "r2", "doc", "place", "n", "ahead", "again", *more])
 
 
 def in_order(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -145,9 +151,9 @@ def sampled(texts: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in map(in_order, batches):
             raw, starts = text_bytes(b.column(1))
-            rank, reach, first, n = samples(raw, starts)
+            rank, reach, first, n, at = samples(raw, starts)
             doc = np.searchsorted(starts, first, side="right") - 1
-            yield pairs(rank, reach, b.column(0).to_numpy()[doc], first - starts[doc], n)
+            yield pairs(rank, reach, b.column(0).to_numpy()[doc], first - starts[doc], n, at - first)
 
     return texts.mapInArrow(find, PAIRS)
 
@@ -164,45 +170,99 @@ def sort_by_pair(rows: DataFrame) -> DataFrame:
         .withColumn("_alone", F.lag(F.lit(1)).over(within_rank).isNull() & F.lead(F.lit(1)).over(within_rank).isNull())
         .withColumn("_doc", F.first("doc").over(pair))
         .withColumn("_place", F.first("place").over(pair))
-        .select("doc", "place", "n", "again", F.col("_alone").alias("alone"), (F.col("_low") != F.col("_high")).alias("split"), ((F.col("doc") == F.col("_doc")) & (F.col("place") == F.col("_place"))).alias("first"))
+        .select(*[c for c in rows.columns if c != "r2"], F.col("_alone").alias("alone"), (F.col("_low") != F.col("_high")).alias("split"), ((F.col("doc") == F.col("_doc")) & (F.col("place") == F.col("_place"))).alias("first"))
     )
 
 
-def windows(texts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Step 3's rows: each window of the given (doc, place, n) with the ranks of its two halves."""
-    half = LENGTH // 2
+def split_cells(place: np.ndarray, n: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows cut where their distance to the sampled position is a multiple of TOGETHER:
+    (first window, windows, start of the text that all windows of a full run share)."""
+    low, high = (ahead - n + 1) // TOGETHER, ahead // TOGETHER
+    cells = np.repeat(np.arange(len(n)), high - low + 1)
+    k = np.arange(len(cells)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[cells]
+    at = (place + ahead)[cells]
+    first = at - np.minimum(TOGETHER * k + TOGETHER - 1, ahead[cells])
+    last = at - np.maximum(TOGETHER * k, (ahead - n + 1)[cells])
+    return first, last - first + 1, at - TOGETHER * k
+
+
+EIGHTS = PAIRS + ", ranks array<bigint>"
+
+
+def eights(texts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Step 3's rows: the windows of the given (doc, place, n, ahead) by eights, with each window's own rank."""
+
+    def ranked(raw: np.ndarray, place: np.ndarray, n: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, ...]:
+        first, count, core = split_cells(place, n, ahead)
+        windows = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        prints = Fingerprints(raw)
+        reach = prints.of(first, first + count + LENGTH - 1) ^ mix64(((core - first) * 4096 + count).astype(np.uint64))
+        return prints.of(core, core + LENGTH - TOGETHER + 1), reach, first, count, core - first, prints.of(windows, windows + LENGTH)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in map(in_order, batches):
             ids = b.column(0).to_numpy()
             found: list[tuple[np.ndarray, ...]] = []
+            size = 0
+
+            def close() -> pa.RecordBatch:
+                r1, r2, first, count, ahead, ranks, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), ranks.view(np.int64))
+                found.clear()
+                return pairs(r1, r2, doc, first, count, ahead, {"ranks": lists})
+
             for i in range(b.num_rows):
                 raw, _ = text_bytes(b.column(1).slice(i, 1))
                 own = b.column(2)[i].values
-                place, n = (own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-                keep = place + n + LENGTH - 1 <= len(raw)
-                order = np.argsort(place[keep], kind="stable")
-                place, n = place[keep][order], n[keep][order]
-                at = np.repeat(place - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-                for a in range(0, len(at), SLICE):  # the windows within one stretch of the text at a time
-                    some = at[a : a + SLICE]
-                    low = int(some[0])
-                    while len(some):
-                        near = some[some - low < SLICE]
-                        prints = Fingerprints(raw[low : int(near[-1]) + LENGTH])
-                        here = near - low
-                        found.append((prints.of(here, here + half), prints.of(here + half, here + LENGTH), np.full(len(near), ids[i]), near))
-                        some = some[len(near) :]
-                        low = int(some[0]) if len(some) else 0
-                if sum(len(f[0]) for f in found) > 4 * SLICE:
-                    yield pairs(*(np.concatenate(x) for x in zip(*found, strict=True)), np.ones(sum(len(f[0]) for f in found), np.int32))
-                    found = []
+                place, n, ahead = (own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                fits = place + n + LENGTH - 1 <= len(raw)
+                order = np.argsort(place[fits], kind="stable")
+                place, n, ahead = place[fits][order], n[fits][order], ahead[fits][order]
+                done = 0
+                while done < len(place):  # the cells within one stretch of the text at a time
+                    low = int(place[done])
+                    until = int(np.searchsorted(place, low + SLICE))
+                    part = slice(done, until)
+                    got = ranked(raw[low : int(place[until - 1] + n[until - 1]) + LENGTH - 1], place[part] - low, n[part], ahead[part])
+                    found.append((got[0], got[1], got[2] + low, *got[3:], np.full(len(got[0]), ids[i])))
+                    size += len(got[0])
+                    done = until
+                if size > SLICE // TOGETHER:
+                    yield close()
+                    size = 0
             if found:
-                yield pairs(*(np.concatenate(x) for x in zip(*found, strict=True)), np.ones(sum(len(f[0]) for f in found), np.int32))
+                yield close()
 
-    per_doc = cells.groupBy("doc").agg(F.collect_list(F.struct("place", "n")).alias("cells"))
+    per_doc = cells.groupBy("doc").agg(F.collect_list(F.struct("place", "n", "ahead")).alias("cells"))
     joined = texts.join(per_doc, texts["key"] == per_doc["doc"]).select("key", "text", "cells")
-    return joined.mapInArrow(rank, PAIRS)
+    return joined.mapInArrow(rank, EIGHTS)
+
+
+def singles(runs: DataFrame) -> DataFrame:
+    """Step 4's rows: each window of step 3's open rows with its own rank, paired with the rank it shared."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r1, doc, place, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            n = n.astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            at = place[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((at, doc[row]))
+            ranks = b.column(4).flatten().to_numpy()[order].view(np.uint64)
+            row = row[order]
+            yield pairs(ranks, r1[row].view(np.uint64), doc[row], at[order], np.ones(len(row)), np.zeros(len(row)))
+
+    return runs.select("r1", "doc", "place", "n", "ranks").mapInArrow(deal, PAIRS)
+
+
+def open_rows(ranked: DataFrame) -> DataFrame:
+    """The first of each class of equal pairs, where others share its rank: some of its windows may yet be repeats."""
+    return ranked.where("NOT again AND first AND split")
+
+
+def repeats(ranked: DataFrame) -> DataFrame:
+    """Byte runs (doc, place, until) that the rows known to be repeats cover."""
+    return ranked.where("again OR NOT first").select("doc", "place", (F.col("place") + F.col("n") + (LENGTH - 1)).alias("until"))
 
 
 KEPT = "doc_id bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary"
@@ -218,10 +278,9 @@ def dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     """
     texts = documents.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranked = cut(sort_by_pair(sampled(texts)).where("again OR NOT alone"))
-    repeats = ranked.where("again OR NOT first").select("doc", "place", (F.col("place") + F.col("n") + (LENGTH - 1)).alias("until"))
-    open_cells = ranked.where("NOT again AND first AND split").select("doc", "place", "n")
-    single = sort_by_pair(windows(texts, open_cells)).where("again OR NOT first").select("doc", "place", (F.col("place") + LENGTH).alias("until"))
-    runs = repeats.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("place", "until")).alias("runs"))
+    by_eights = sort_by_pair(eights(texts, open_rows(ranked).select("doc", "place", "n", "ahead"))).where("again OR NOT alone")
+    last = sort_by_pair(singles(open_rows(by_eights)))
+    runs = repeats(ranked).unionByName(repeats(by_eights)).unionByName(repeats(last)).groupBy("doc").agg(F.collect_list(F.struct("place", "until")).alias("runs"))
     joined = texts.join(runs, texts["key"] == runs["doc"], "left").select("key", "text", "runs")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
