@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import decontamination, license_scan, mixing, quality_rules, suffix_dedup, token_files
+from lumaframe.llm import decontamination, license_scan, minhash, mixing, quality_rules, suffix_dedup, token_files
 from lumaframe.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op8_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.host_quality(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_decontamination": op6_decontamination,
         "op7_license_scan": op7_license_scan,
+        "op8_minhash_classes": op8_minhash_classes,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_files": op10_token_files,
     }
