@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,14 +66,14 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def byte_letters() -> dict[int, str]:
+def byte_letters() -> np.ndarray:
     """The visible character that stands for each byte in byte-level BPE vocabularies: its own, or the next free one from 256."""
-    out, free = {}, 256
+    out, free = np.zeros(256, "<u4"), 256
     for b in range(256):
         if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
-            out[b] = chr(b)
+            out[b] = b
         else:
-            out[b], free = chr(free), free + 1
+            out[b], free = free, free + 1
     return out
 
 
@@ -90,13 +89,17 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = self.words.encode_special_tokens = True
-        self.words.pre_tokenizer = None  # takes one word, spelt in byte letters
         self.letters = byte_letters()
+        space = chr(self.letters[0x20])
+        self.words.pre_tokenizer = pre_tokenizers.Split(space, "merged_with_next")  # takes words spelt in byte letters
         self.size = self.tokenizer.get_vocab_size()
+        self.begins = np.zeros(self.size, bool)  # ids of tokens that begin with a space
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = token.startswith(space)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -108,37 +111,57 @@ class Encoder:
         return cls._loaded[path]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spaced(self, pieces: list[str], plain: bool) -> list[bytes]:
+        """The ids of each piece with a space before it; ``plain`` pieces are letters only.
+
+        Pieces are encoded side by side, many to a call: each begins where a token begins with a
+        space. Letters need no look at the text's pattern and go to the model at once.
+        """
+        out: list[bytes] = []
+        for a in range(0, len(pieces), 2000):
+            text = " " + " ".join(pieces[a : a + 2000])
+            if plain:
+                text = self.letters[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            found = (self.words if plain else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = np.array(found, "<u4")
+            raw = ids.tobytes()
+            cuts = [*(4 * np.flatnonzero(self.begins[ids])).tolist(), len(raw)]
+            out += [raw[x:y] for x, y in zip(cuts, cuts[1:])]  # noqa: B905, RUF007
+        assert len(out) == len(pieces)
+        return out
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each distinct piece with a space before it."""
         if len(self.new) > MEMO_PIECES:  # what has not been met since the last time is forgotten
             self.old, self.new = self.new, {}
-        out = list(map(self.new.get, pieces))
-        missing = [i for i, ids in enumerate(out) if ids is None]
+        new, old = self.new, self.old
+        out = list(map(new.get, pieces))
         split, other, need = [], [], {}
-        for i in missing:
+        for i, ids in enumerate(out):
+            if ids is not None:
+                continue
             piece = pieces[i]
-            if (ids := self.old.get(piece)) is not None:
-                out[i] = self.new[piece] = ids
+            if (ids := old.get(piece)) is not None:
+                out[i] = new[piece] = ids
                 continue
             word = piece.rstrip(_TAIL)
             if word.isalpha():
                 split.append((i, word, piece[len(word) :]))
-                need[word] = self.new.get(word) or self.old.get(word)
+                need[word] = new.get(word) or old.get(word)
             else:
                 other.append(i)
         fresh = [w for w, ids in need.items() if ids is None]
-        spelt = [(b" " + w.encode()).decode("latin-1").translate(self.letters) for w in fresh]
-        need.update((w, array("I", e.ids).tobytes()) for w, e in zip(fresh, self.words.encode_batch_fast(spelt, add_special_tokens=False), strict=True))
+        need.update(zip(fresh, self.spaced(fresh, True), strict=True))
         tails = [t for t in {t for _, _, t in split} if t not in self.tails]
         if len(self.tails) > 10_000:
             self.tails, tails = {"": b""}, list({t for _, _, t in split if t})
         self.tails.update(zip(tails, self.whole(tails), strict=True))
         for i, word, tail in split:
-            out[i] = self.new[pieces[i]] = need[word] + self.tails[tail]
-        for i, ids in zip(other, self.whole([" " + pieces[i] for i in other]), strict=True):
-            out[i] = self.new[pieces[i]] = ids
+            out[i] = new[pieces[i]] = need[word] + self.tails[tail]
+        for i, ids in zip(other, self.spaced([pieces[i] for i in other], False), strict=True):
+            out[i] = new[pieces[i]] = ids
         return out
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]:
@@ -175,13 +198,6 @@ class Encoder:
             out.append(np.concatenate([np.frombuffer(head, "<u4"), ids[at]]))
         return out
 
-    def count(self, column: pa.Array) -> np.ndarray:
-        """How often each id occurs in the texts."""
-        ids, offsets, number, _, heads = self.batch(column)
-        often = np.bincount(number[number >= 0], minlength=len(offsets) - 1)
-        total = np.bincount(ids, weights=np.repeat(often, np.diff(offsets)), minlength=self.size)
-        return (total + np.bincount(np.frombuffer(b"".join(heads), "<u4"), minlength=self.size)).astype(np.int64)
-
 
 def groups(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of runs of rows with about GROUP_BYTES bytes; null reads as empty."""
@@ -195,45 +211,78 @@ def groups(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         first = last
 
 
-def id_counts(documents: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """(id, n): how often each token id occurs in all texts; at most as many rows as the vocabulary has."""
+def planes(ids: np.ndarray, width: int) -> bytes:
+    """The ids' lowest bytes, then their second bytes, and so on: bytes of one kind stand together and pack well."""
+    return ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T[:width].tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def unplanes(raw: bytes, width: int) -> np.ndarray:
+    kinds = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros(kinds.shape[1], np.uint32)
+    for j in range(width):
+        out |= kinds[j].astype(np.uint32) << np.uint32(8 * j)
+    return out
+
+
+def encoded(documents: DataFrame, tokenizer: str, width: int, end_id: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, ids): each whole text's ids and the end id, in ``width`` planes."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(tokenizer)
-        total = np.zeros(encoder.size, np.int64)
+        tail = np.array([end_id], "<u4")
         for rows in batches:
-            for _, texts in groups(rows.column(0)):
-                total += encoder.count(texts)
+            for first, texts in groups(rows.column(1)):
+                packed = [planes(np.concatenate([found, tail]), width) for found in encoder.documents(texts)]
+                yield pa.RecordBatch.from_arrays([rows.column(0).slice(first, len(packed)), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+
+    return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(encode, "doc_id bigint, ids binary")
+
+
+def id_counts(staged: DataFrame, width: int, size: int) -> DataFrame:
+    """(id, n): how often each token id occurs in all documents; at most as many rows as the vocabulary has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros(size, np.int64), [], 0
+        for rows in batches:
+            for raw in rows.column(0):
+                held.append(unplanes(raw.as_buffer(), width))
+                n += len(held[-1])
+                if n > BLOCK_TOKENS:
+                    total += np.bincount(np.concatenate(held), minlength=size)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
-    return documents.select(F.col(text)).mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return staged.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encode every whole text, append ``end_id``, and write the blocks and the rank table to ``path``.
 
-    The texts are read twice: once to count ids (which fixes the ranks), once, sorted by doc_id, to
-    write. What the driver holds is the rank table, bounded by the vocabulary. Null text: only the
-    end id. Null doc_id: sorts first. Rows that share a doc_id are written one after the other.
+    Texts are encoded once, into a staging table beside the blocks that is taken away at the end;
+    its ids are counted (which fixes the ranks), sorted by doc_id and written as blocks. What the
+    driver holds is the rank table, bounded by the vocabulary. Null text: only the end id. Null
+    doc_id: sorts first. Rows that share a doc_id are written one after the other.
     """
-    slim = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    counts = {r.id: r.n for r in id_counts(slim, tokenizer).collect()}
     from tokenizers import Tokenizer
 
+    spark = documents.sparkSession
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
+    width = next(w for w in (1, 2, 3, 4) if size <= 1 << 8 * w)
+    encoded(documents, tokenizer, width, end_id, text, doc_id).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/staging")
+    staged = spark.read.schema("doc_id bigint, ids binary").parquet(f"{path}/staging")
     often = np.zeros(size, np.int64)
-    often[list(counts)] = list(counts.values())
-    often[end_id] += 1  # each document ends with it; one is enough to rank it among those in use
+    for r in id_counts(staged, width, size).collect():
+        often[r.id] = r.n
     by_rank = np.argsort(-often, kind="stable").astype(np.uint32)
     rank_of = np.empty(size, np.uint32)
     rank_of[by_rank] = np.arange(size, dtype=np.uint32)
-    spark = documents.sparkSession
     spark.createDataFrame(list(zip(range(size), by_rank.tolist(), strict=True)), "rank int, id int").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder.load(tokenizer), TaskContext.get().partitionId()
-        tail = np.array([end_id], "<u4")
+        part = TaskContext.get().partitionId()
         block, before, ids, held, size = 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -247,19 +296,19 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             return out
 
         for rows in batches:
-            keys = rows.column(0).to_pylist()
-            for first, texts in groups(rows.column(1)):
-                for i, found in enumerate(encoder.documents(texts)):
-                    ids.append(keys[first + i])
-                    held.append(np.concatenate([found, tail]))
-                    size += len(held[-1])
-                    if size >= BLOCK_TOKENS:
-                        yield close()
+            for key, raw in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                ids.append(key)
+                held.append(unplanes(raw.as_buffer(), width))
+                size += len(held[-1])
+                if size >= BLOCK_TOKENS:
+                    yield close()
         if held:
             yield close()
 
-    ordered = slim.repartitionByRange(spread(slim), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(write, BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+    ordered = staged.repartitionByRange(spread(staged), "doc_id").sortWithinPartitions("doc_id")
+    ordered.mapInArrow(write, BLOCKS).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
+    staging = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/staging")
+    staging.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(staging, True)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
