@@ -7,10 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import decontamination, license_scan, minhash, mixing, quality_rules, suffix_dedup, token_files
+from lumaframe.llm import decontamination, license_scan, line_dedup, minhash, mixing, quality_rules, suffix_dedup, token_files
 from lumaframe.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    runs = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_units",
+        (F.col("n_chars") - F.length("kept")).cast("long").alias("n_removed_chars"),
+        F.size("spans").cast("long").alias("n_spans"),
+        runs.alias("spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
+o AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+        count(*) OVER (PARTITION BY doc_id) AS n,
+        list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM u),
+r AS (SELECT *, array_to_string(words, ' ') AS unit FROM o),
+k AS (SELECT *, len(words) >= 8 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1 AS gone, start + length(line) + (CASE WHEN i < n THEN 1 ELSE 0 END) AS until FROM r),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM k),
+e AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM g),
+s AS (SELECT doc_id, span, min(start) AS a, max(until) AS b FROM e WHERE gone GROUP BY doc_id, span),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM s GROUP BY doc_id),
+h AS (SELECT doc_id, max(n) AS n_units, string_agg(CASE WHEN gone THEN '' WHEN i < n THEN line || chr(10) ELSE line END, '' ORDER BY i) AS kept FROM k GROUP BY doc_id)
+SELECT h.doc_id, CAST(n_units AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed_chars, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  coalesce(spans, '') AS spans, sha256(kept) AS kept_sha256
+FROM h LEFT JOIN t USING (doc_id)
+"""
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select(
@@ -81,6 +113,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op5_mixing": op5_mixing,
         "op6_decontamination": op6_decontamination,
@@ -93,5 +126,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": OP1_SQL,
         "op9_quality_rules": OP9_SQL,
     }
