@@ -32,8 +32,10 @@ BANDS, ROWS = 24, 4
 GROUP_BYTES = 2_000_000
 #: A hot bucket's rows are dealt to this many keys.
 SALTS = 16
-#: In its k-th round a bucket's members are compared with its first 4**k.
+#: In its k-th round a bucket's members are compared with its first 4**k - 1.
 MORE = 4
+#: Buckets beyond this size are put together by their first member when pairs across components are looked for.
+LARGE = 32
 
 _WORD_BYTES = np.frombuffer(WORD_TABLE, np.uint8)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -206,6 +208,38 @@ def salted(node: str) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")
 
 
+def unsettled(groups: DataFrame, labels: DataFrame, done: int) -> DataFrame:
+    """The rows of groups that lie in more than one component and have members beyond the first ``done`` + 1, with components."""
+    named = labels.select(F.col("node").alias("_node"), "component")
+    placed = groups.join(named, groups["rep"] == named["_node"], "left").select("group", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("group").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    return placed.join(mixed.where((F.col("_low") != F.col("_high")) & (F.col("_n") > done + 1)).select("group"), "group")
+
+
+def shared_shingles(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(rep, size, common) for the documents in ``rows``: shingles, and those that a document of another component has.
+
+    Two documents of different components share at most the lesser ``common``, which bounds their
+    similarity, also after components have grown; a collision of two shingles' hashes only raises
+    the bound.
+    """
+    reps = rows.select(F.col("rep").alias("_rep"), "component").distinct()
+    own = sets.join(reps, sets["node"] == reps["_rep"]).select("node", "shingles", "component")
+
+    def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column(1)]
+            sizes = [len(x) for x in parts]
+            arrays = [pa.array(np.repeat(b.column(k).to_numpy(), sizes)) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(parts))], ["node", "component", "shingle"])
+
+    each = own.mapInArrow(spread_out, "node bigint, component bigint, shingle int")
+    several = each.groupBy("shingle").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("shingle")
+    common = each.join(several, "shingle", "left_semi").groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("common"))
+    size = (F.length("shingles") / 4).cast("long")
+    return own.join(common, own["node"] == common["_node"]).select(F.col("node").alias("rep"), size.alias("size"), "common")
+
+
 def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, copy_of): one row per document; documents linked by near-duplicate pairs share a class.
 
@@ -214,10 +248,12 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
 
     * Copies (equal word sequences) are put together first, and one stands for all.
     * In each bucket of a band, all members are compared with the first. Those links give components.
-    * Buckets whose members are not all in one component are looked at again, with their first 4,
-      16, 64, ... members against those of other components, until each is in one component or all
-      its pairs across components have been compared. So no pair that could join two components is
-      left out, and large buckets of true duplicates are never expanded into pairs.
+    * Buckets whose members are not all in one component are looked at again, with their first 3,
+      15, 63, ... members against later ones of other components, until each is in one component or
+      all its pairs across components have been dealt with. A pair is compared unless the shingles
+      that each shares with any other document in question are too few for the similarity. Large
+      buckets with the same first member are dealt with together. So no pair that could join two
+      components is left out, and large buckets of true duplicates are never expanded into pairs.
 
     Null and empty texts, and texts without words, are in a class of their own. A null doc_id stays
     null; its row is known by a hash of its text, as a negative class id. Rows that share a doc_id
@@ -232,27 +268,26 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     rows = copies.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = rows.groupBy("band", "hash").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = buckets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = rows.withColumn("_salt", salted("rep")).join(dealt, ["band", "hash", "_salt"]).select("band", "hash", "lead", "rep")
+    members = rows.withColumn("_salt", salted("rep")).join(dealt, ["band", "hash", "_salt"]).select("band", "hash", "lead", "n", "rep")
     members = cut(members)
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
     sets = cut(shingle_sets(texts.join(wanted, texts["node"] == wanted["_rep"], "left_semi").dropDuplicates(["node"])))
-    compared = cut(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-    links = cut(verified(compared, sets, similarity))
+    links = cut(verified(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), sets, similarity))
     labels = connected_components(links)
-    upto = 1
+    group = F.when(F.col("n") > LARGE, F.xxhash64(F.lit(-1), "lead")).otherwise(F.xxhash64("band", "hash"))
+    groups = cut(members.where("n > 2 AND rep <> lead").select(group.alias("group"), "rep").distinct())
+    done, upto, shared = 0, MORE - 1, None
     while True:
-        named = labels.select(F.col("node").alias("_node"), "component")
-        placed = members.join(named, members["rep"] == named["_node"], "left").select("band", "hash", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n")).where((F.col("_low") != F.col("_high")) & (F.col("_n") > upto + 1))
-        mixed = mixed.select("band", "hash")
-        still = cut(placed.join(mixed, ["band", "hash"]))
+        still = cut(unsettled(groups, labels, done))
         if still.isEmpty():
             break
-        ordered = still.withColumn("_at", F.row_number().over(W.partitionBy("band", "hash").orderBy("rep")))
-        heads = ordered.where((F.col("_at") > upto) & (F.col("_at") <= upto * MORE)).select("band", "hash", F.col("rep").alias("a"), F.col("component").alias("_c"))
-        pairs = ordered.join(heads, ["band", "hash"]).where("_c <> component AND a < rep").select("a", F.col("rep").alias("b")).distinct()
-        fresh = cut(verified(pairs, sets, similarity))
-        upto *= MORE
+        shared = cut(shared_shingles(sets, still)) if shared is None else shared
+        ordered = still.join(shared, "rep").withColumn("_at", F.row_number().over(W.partitionBy("group").orderBy("rep")))
+        heads = ordered.where((F.col("_at") > done) & (F.col("_at") <= upto)).select("group", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "size", "common")], F.col("_at").alias("_head"))
+        most = F.least("common", "_common")
+        pairs = ordered.join(heads, "group").where((F.col("component") != F.col("_component")) & (F.col("_head") < F.col("_at")) & (most >= similarity * (F.col("size") + F.col("_size") - most) - 1e-9))
+        fresh = cut(verified(pairs.select(F.col("_rep").alias("a"), F.col("rep").alias("b")).distinct(), sets, similarity))
+        done, upto = upto, MORE * (upto + 1) - 1
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             labels = connected_components(links)
