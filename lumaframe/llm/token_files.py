@@ -26,7 +26,7 @@ from lumaframe.llm.common import ensure_checkpoint_dir, spread
 #: Ids of a block; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 20
 #: Texts are encoded in groups of about so many bytes.
-GROUP_BYTES = 12_000_000
+GROUP_BYTES = 20_000_000
 #: A worker remembers the ids of the last pieces it met: this many, and up to as many older ones.
 MEMO_PIECES = 500_000
 END_ID = 2
@@ -271,7 +271,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     spark = documents.sparkSession
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
     width = next(w for w in (1, 2, 3, 4) if size <= 1 << 8 * w)
-    encoded(documents, tokenizer, width, end_id, text, doc_id).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/staging")
+    encoded(documents, tokenizer, width, end_id, text, doc_id).write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{path}/staging")
     staged = spark.read.schema("doc_id bigint, ids binary").parquet(f"{path}/staging")
     often = np.zeros(size, np.int64)
     for r in id_counts(staged, width, size).collect():
@@ -306,7 +306,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             yield close()
 
     ordered = staged.repartitionByRange(spread(staged), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(write, BLOCKS).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered.mapInArrow(write, BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
     staging = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/staging")
     staging.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(staging, True)
 
