@@ -30,9 +30,11 @@ MIN_DOCS = 5
 #: Strength of the Dirichlet priors, in documents.
 PRIOR = 50.0
 #: Scores surer than this many standard deviations are kept.
-SURE = 2.5
+SURE = 3.5
 #: Taken off every score, so that chance segments stay short.
 DRIFT = 0.05
+#: Scores this near zero are left out: they are many, and add up by chance in long texts.
+LEAST = 2.0
 CLIP = (-1.0, 8.0)
 #: Passages with fewer chance segments than this in their text are reported.
 SIGNIFICANT = 0.01
@@ -155,8 +157,9 @@ def learn_scores(labelled: DataFrame) -> Scores:
     base = PRIOR * (F.col("s1") + F.col("s0")) / everything * share
     value, sure = odds(F.col("toxic"), F.col("clean"), base * lift, base / lift)
     words = counts.join(stems, F.substring("word", 1, STEM) == stems["stem"]).withColumn("odds", value).withColumn("sure", sure)
-    kept_words = words.where((F.abs("sure") >= SURE) | (F.abs("stem_sure") >= SURE)).orderBy(F.abs("sure").desc(), "word").limit(MAX_WORDS).select("word", "odds").collect()
-    kept_stems = stems.where((F.abs("stem_sure") >= SURE) & (F.col("long") == 1)).orderBy(F.abs("stem_sure").desc(), "stem").limit(MAX_STEMS).select("stem", "stem_odds").collect()
+    telling = (F.abs("stem_sure") >= SURE) & (F.abs("stem_odds") >= LEAST)
+    kept_words = words.where(((F.abs("sure") >= SURE) & (F.abs("odds") >= LEAST)) | telling).orderBy(F.abs("sure").desc(), "word").limit(MAX_WORDS).select("word", "odds").collect()
+    kept_stems = stems.where(telling & (F.col("long") == 1)).orderBy(F.abs("stem_sure").desc(), "stem").limit(MAX_STEMS).select("stem", "stem_odds").collect()
     clip = lambda x: min(max(x, CLIP[0]), CLIP[1])
     return Scores({r.word: clip(r.odds) for r in kept_words}, {r.stem: clip(r.stem_odds) for r in kept_stems})
 
@@ -218,16 +221,23 @@ def chance(labelled: DataFrame, scores: Scores) -> tuple[float, float]:
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, offset) by Newton steps with a weak prior; the slope is not negative."""
-    w = np.array([0.5, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))])
-    for _ in range(50):
+    """(slope, offset) of the logistic curve with the least loss, by damped Newton steps with a weak prior; no negative slope."""
+
+    def loss(w: np.ndarray) -> float:
+        z = w[0] * x + w[1]
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + 0.5e-3 * (w @ w))
+
+    w = np.array([0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(w[0] * x + w[1], -30, 30)))
-        grad = np.array([((p - y) * x).sum() + 1e-3 * w[0], (p - y).sum() + 1e-3 * w[1]])
+        grad = np.array([((p - y) * x).sum(), (p - y).sum()]) + 1e-3 * w
         v = p * (1 - p)
-        hess = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-3]])
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        hess = np.array([[(v * x * x).sum(), (v * x).sum()], [(v * x).sum(), v.sum()]]) + 1e-3 * np.eye(2)
+        step, size, now = np.linalg.solve(hess, grad), 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
     return max(float(w[0]), 0.0), float(w[1])
 
