@@ -6,8 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space, as the contracts name it: space and 0x09 to 0x0D.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -38,8 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+def empty(df: DataFrame) -> bool:
+    """Whether a table has no rows, in one job over all its partitions."""
+    return df.limit(1).count() == 0
 
 
 def spread(df: DataFrame) -> int:
@@ -72,7 +72,3 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 def column_bytes(column: pa.Array) -> list[bytes]:
     """Each value's UTF-8 bytes; null reads as empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
-
-
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import WORD_TABLE, cut, mix64, text_bytes
+from lumaframe.llm.common import WORD_TABLE, cut, empty, mix64, text_bytes
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.suffix_dedup import Fingerprints
 
@@ -32,8 +32,8 @@ BANDS, ROWS = 24, 4
 GROUP_BYTES = 2_000_000
 #: A hot bucket's rows are dealt to this many keys.
 SALTS = 16
-#: In its k-th round a bucket's members are compared with its first 4**k - 1.
-MORE = 4
+#: In its k-th round a bucket's members are compared with its first 8**k - 1.
+MORE = 8
 #: Buckets beyond this size are put together by their first member when pairs across components are looked for.
 LARGE = 32
 
@@ -178,25 +178,25 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
+    """(a, b, alike) of the pairs whose shingle sets have at least this Jaccard similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+            alike = np.zeros(b.num_rows)
+            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                least, most = sorted((len(x), len(y)))
-                if least < similarity * most:
-                    keep.append(False)
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    alike[i] = -1.0
                     continue
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(shared >= similarity * (len(both) - shared) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                alike[i] = shared / (len(both) - shared)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(alike)], ["a", "b", "alike"])
+            yield out.filter(pa.array(alike >= similarity - 1e-9))
 
     left, right = (sets.select(F.col("node").alias(f"_{k}"), F.col("shingles").alias(f"{k}_set")) for k in "ab")
     joined = pairs.join(right, pairs["b"] == right["_b"]).join(left, pairs["a"] == left["_a"])
-    return joined.select("a", "b", "a_set", "b_set").mapInArrow(check, "a bigint, b bigint")
+    return joined.select("a", "b", "a_set", "b_set").mapInArrow(check, "a bigint, b bigint, alike double")
 
 
 def stand_in(text: Column) -> Column:
@@ -211,11 +211,23 @@ def salted(node: str) -> Column:
 def unsettled(groups: DataFrame, labels: DataFrame, done: int) -> DataFrame:
     """The rows of groups that lie in more than one component and have members beyond the first ``done`` + 1, with components."""
     named = labels.select(F.col("node").alias("_node"), "component")
-    placed = groups.join(named, groups["rep"] == named["_node"], "left").select("group", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = groups.join(named, groups["rep"] == named["_node"], "left").select("group", "rep", "alike", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("group").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n"))
     return placed.join(mixed.where((F.col("_low") != F.col("_high")) & (F.col("_n") > done + 1)).select("group"), "group")
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: those of a graph whose nodes are the components so far."""
+    ends = links
+    for k in "ab":
+        named = labels.select(F.col("node").alias("_node"), F.col("component").alias("_c"))
+        ends = ends.join(named, ends[k] == named["_node"], "left").withColumn(k, F.coalesce("_c", k)).select("a", "b")
+    merged = connected_components(ends).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    single = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node"))
+    both = labels.unionByName(single)
+    return cut(both.join(merged, both["component"] == merged["_old"], "left").select("node", F.coalesce("_new", "component").alias("component")))
+
+
 def shared_shingles(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """(rep, size, common) for the documents in ``rows``: shingles, and those that a document of another component has.
 
@@ -248,10 +260,12 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
 
     * Copies (equal word sequences) are put together first, and one stands for all.
     * In each bucket of a band, all members are compared with the first. Those links give components.
-    * Buckets whose members are not all in one component are looked at again, with their first 3,
-      15, 63, ... members against later ones of other components, until each is in one component or
+    * Buckets whose members are not all in one component are looked at again, with their first 7,
+      63, 511, ... members against later ones of other components, until each is in one component or
       all its pairs across components have been dealt with. A pair is compared unless the shingles
-      that each shares with any other document in question are too few for the similarity. Large
+      that each shares with any other component are too few for the similarity, or their
+      similarities to the bucket's first differ by more than the triangle inequality (of one less
+      the similarity) lets a link have. Large
       buckets with the same first member are dealt with together. So no pair that could join two
       components is left out, and large buckets of true duplicates are never expanded into pairs.
 
@@ -272,25 +286,26 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     members = cut(members)
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
     sets = cut(shingle_sets(texts.join(wanted, texts["node"] == wanted["_rep"], "left_semi").dropDuplicates(["node"])))
-    links = cut(verified(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), sets, similarity))
-    labels = connected_components(links)
+    led = cut(verified(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), sets, 0.0))
+    labels = connected_components(led.where(F.col("alike") >= similarity - 1e-9).select("a", "b"))
     group = F.when(F.col("n") > LARGE, F.xxhash64(F.lit(-1), "lead")).otherwise(F.xxhash64("band", "hash"))
-    groups = cut(members.where("n > 2 AND rep <> lead").select(group.alias("group"), "rep").distinct())
+    groups = members.where("n > 2 AND rep <> lead").select(group.alias("group"), "lead", "rep").distinct()
+    groups = cut(groups.join(led, (groups["lead"] == led["a"]) & (groups["rep"] == led["b"])).select("group", "rep", "alike"))
     done, upto, shared = 0, MORE - 1, None
     while True:
         still = cut(unsettled(groups, labels, done))
-        if still.isEmpty():
+        if empty(still):
             break
         shared = cut(shared_shingles(sets, still)) if shared is None else shared
         ordered = still.join(shared, "rep").withColumn("_at", F.row_number().over(W.partitionBy("group").orderBy("rep")))
-        heads = ordered.where((F.col("_at") > done) & (F.col("_at") <= upto)).select("group", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "size", "common")], F.col("_at").alias("_head"))
+        heads = ordered.where((F.col("_at") > done) & (F.col("_at") <= upto)).select("group", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "size", "common", "alike")], F.col("_at").alias("_head"))
         most = F.least("common", "_common")
-        pairs = ordered.join(heads, "group").where((F.col("component") != F.col("_component")) & (F.col("_head") < F.col("_at")) & (most >= similarity * (F.col("size") + F.col("_size") - most) - 1e-9))
-        fresh = cut(verified(pairs.select(F.col("_rep").alias("a"), F.col("rep").alias("b")).distinct(), sets, similarity))
+        near = F.abs(F.col("alike") - F.col("_alike")) <= 1 - similarity + 1e-9
+        pairs = ordered.join(heads, "group").where((F.col("component") != F.col("_component")) & (F.col("_head") < F.col("_at")) & near & (most >= similarity * (F.col("size") + F.col("_size") - most) - 1e-9))
+        fresh = cut(verified(pairs.select(F.col("_rep").alias("a"), F.col("rep").alias("b")).distinct(), sets, similarity).select("a", "b"))
         done, upto = upto, MORE * (upto + 1) - 1
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            labels = connected_components(links)
+        if not empty(fresh):
+            labels = joined_labels(labels, fresh)
     reps = copies.select("d1", "d2", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     reps = reps.join(labels, reps["rep"] == labels["node"], "left").select("d1", "d2", "_salt", "rep", F.coalesce("component", "rep").alias("class_id"))
     named = known.select("node", "gone", "d1", "d2", salted("node").alias("_salt"))
