@@ -26,9 +26,9 @@ from lumaframe.llm.common import ensure_checkpoint_dir, spread
 #: Ids of a block; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 20
 #: Texts are encoded in groups of about so many bytes.
-GROUP_BYTES = 20_000_000
+GROUP_BYTES = 16_000_000
 #: A worker remembers the ids of the last pieces it met: this many, and up to as many older ones.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 450_000
 END_ID = 2
 
 BLOCKS = "part int, block int, doc_ids array<bigint>, id_null array<boolean>, n_tokens array<int>, before bigint, total bigint, control binary, data binary"
@@ -306,7 +306,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             yield close()
 
     ordered = staged.repartitionByRange(spread(staged), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(write, BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(write, BLOCKS).write.mode("overwrite").option("compression", "gzip").parquet(f"{path}/blocks")
     staging = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/staging")
     staging.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(staging, True)
 
