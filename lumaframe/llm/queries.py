@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import decontamination, license_scan, line_dedup, minhash, mixing, quality_rules, suffix_dedup, token_files, toxicity
+from lumaframe.llm import decontamination, language_model, license_scan, line_dedup, minhash, mixing, quality_rules, suffix_dedup, token_files, toxicity
 from lumaframe.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", "n_words", F.size("passages").cast("long").alias("n_passages"))
@@ -120,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_language_model": op3_language_model,
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
         "op6_decontamination": op6_decontamination,
