@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaframe.plans import planes
+from lumaframe.plans import planes, tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(planes.QUERIES)
+    return {**planes.QUERIES, **tables.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(planes.SQL)
+    return {**planes.SQL, **tables.SQL}
