@@ -287,6 +287,7 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
     sets = cut(shingle_sets(texts.join(wanted, texts["node"] == wanted["_rep"], "left_semi").dropDuplicates(["node"])))
     led = cut(verified(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), sets, 0.0))
+    tried = led.select("a", "b")
     labels = connected_components(led.where(F.col("alike") >= similarity - 1e-9).select("a", "b"))
     group = F.when(F.col("n") > LARGE, F.xxhash64(F.lit(-1), "lead")).otherwise(F.xxhash64("band", "hash"))
     groups = members.where("n > 2 AND rep <> lead").select(group.alias("group"), "lead", "rep").distinct()
@@ -302,7 +303,10 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
         most = F.least("common", "_common")
         near = F.abs(F.col("alike") - F.col("_alike")) <= 1 - similarity + 1e-9
         pairs = ordered.join(heads, "group").where((F.col("component") != F.col("_component")) & (F.col("_head") < F.col("_at")) & near & (most >= similarity * (F.col("size") + F.col("_size") - most) - 1e-9))
-        fresh = cut(verified(pairs.select(F.col("_rep").alias("a"), F.col("rep").alias("b")).distinct(), sets, similarity).select("a", "b"))
+        pairs = pairs.select(F.least("_rep", "rep").alias("a"), F.greatest("_rep", "rep").alias("b")).distinct()
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        fresh = cut(verified(pairs, sets, similarity).select("a", "b"))
         done, upto = upto, MORE * (upto + 1) - 1
         if not empty(fresh):
             labels = joined_labels(labels, fresh)
