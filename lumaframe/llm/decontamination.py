@@ -261,14 +261,16 @@ def search(segments: DataFrame, phrases: Phrases) -> DataFrame:
     return segments.mapInArrow(look, MATCHES)
 
 
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple]]:
-    """The benchmark's (item_id, text) rows in blocks of about ``block_words`` words, one block at a time on the driver."""
-    sized = benchmark.select("item_id", "text", F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "[^A-Za-z0-9]+")).alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    n_blocks = -(-total // block_words) or 1
-    for k in range(n_blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else benchmark
-        yield [(r.item_id, r.text) for r in part.select("item_id", "text").collect()]
+def list_blocks(benchmark: DataFrame, block_words: int) -> int:
+    """How many blocks of about ``block_words`` words the benchmark makes."""
+    size = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "[^A-Za-z0-9]+"))
+    return -(-(benchmark.agg(F.sum(size)).first()[0] or 0) // block_words) or 1
+
+
+def block_items(benchmark: DataFrame, block: int, blocks: int) -> list[tuple]:
+    """The (item_id, text) rows of one block, which the driver holds alone."""
+    part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else benchmark
+    return [(r.item_id, r.text) for r in part.select("item_id", "text").collect()]
 
 
 def merge(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -281,23 +283,24 @@ def merge(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tup
     return [tuple(x) for x in out]
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, hits (word runs inside an occurring window), items, near_items.
 
     Null texts have no words; null doc_ids come back as null; rows that share a doc_id each have
     their row. Items without words match nothing. An empty benchmark or table gives rows without
     hits, or none. Each block of the benchmark is indexed and searched over all documents; with more
-    than one block, a document's rows are put together by its row.
+    than one block, what the blocks found in a document is put together and joined to its rows.
     """
-    slim = documents.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text"))
+    blocks = list_blocks(benchmark, block_words)
+    own = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1))
+    key = own if blocks == 1 else F.xxhash64(F.col(doc_id), F.col(text))
+    slim = documents.select(key.alias("doc_id"), F.col(text).alias("text"))
     found = None
-    for block in benchmark_blocks(benchmark):
-        phrases = Phrases.of(block, window)
-        segments = cut(index(slim, phrases.terms, "text", "doc_id"))
-        one = search(segments, phrases)
+    for k in range(blocks):
+        phrases = Phrases.of(block_items(benchmark, k, blocks), window)
+        one = search(cut(index(slim, phrases.terms, "text", "doc_id")), phrases)
         found = one if found is None else found.unionByName(one)
-        several = found is not one
-    if several:
+    if blocks > 1:
         found = found.groupBy("doc_id").agg(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list("hit_from")).alias("hit_from"),
@@ -305,6 +308,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
         )
+        rows = documents.select(own.alias("_own"), key.alias("_key"))
+        found = rows.join(found, rows["_key"] == found["doc_id"]).drop("doc_id", "_key").withColumnRenamed("_own", "doc_id")
+    found = found.select("doc_id", "n_words", "hit_from", "hit_to", "items", "near_items")
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
