@@ -234,6 +234,7 @@ def encoded(documents: DataFrame, tokenizer: str, width: int, end_id: int, text:
             for first, texts in groups(rows.column(1)):
                 packed = [planes(np.concatenate([found, tail]), width) for found in encoder.documents(texts)]
                 yield pa.RecordBatch.from_arrays([rows.column(0).slice(first, len(packed)), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(encode, "doc_id bigint, ids binary")
 
@@ -306,7 +307,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             yield close()
 
     ordered = staged.repartitionByRange(spread(staged), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(write, BLOCKS).write.mode("overwrite").option("compression", "gzip").parquet(f"{path}/blocks")
+    ordered.mapInArrow(write, BLOCKS).write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{path}/blocks")
     staging = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/staging")
     staging.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(staging, True)
 
