@@ -207,8 +207,10 @@ def images(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
     parts = [hierarchy(found), dims, channels(nodes), display(nodes), confocal(nodes), lasers(nodes), detectors(nodes), spectra(nodes), overlaps(tile_positions(nodes), dims)]
     tiles = tile_positions(nodes).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("num", "FieldX", "FieldY", "PosX", "PosY"))).alias("tile_positions"))
     wide = reduce(lambda a, b: a.join(b, KEY, "left"), [*parts, tiles], own)
-    block = blocks.select("path", "block_id", F.col("position").alias("Position"), F.col("size").alias("_size"))
-    wide = wide.join(block, ["path", "block_id"], "left")
+    # a .lof file has one block without a name
+    wide = wide.withColumn("_block", F.when(F.lower("path").endswith(".lof"), F.lit("")).otherwise(F.col("block_id")))
+    block = blocks.select("path", F.col("block_id").alias("_block"), F.col("position").alias("Position"), F.col("size").alias("_size"))
+    wide = wide.join(block, ["path", "_block"], "left").drop("_block")
     n = F.coalesce("channels", F.lit(1))
     fill = lambda c, d: F.coalesce(c, F.array_repeat(F.lit(d), n)).alias(c)
     defaults = {c: fill(c, d) for c, d in (("blackvalue", 0.0), ("whitevalue", 1.0), ("gammavalue", 1.0))}
