@@ -8,7 +8,11 @@ in ``data``, and two bits per id with its length less one, four ids to a byte, i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import threading
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +33,8 @@ BLOCK_TOKENS = 1 << 20
 GROUP_BYTES = 16_000_000
 #: A worker remembers the ids of the last pieces it met: this many, and up to as many older ones.
 MEMO_PIECES = 450_000
+#: A worker process without a task forgets its tokenizer and memo after so long.
+IDLE_SECONDS = 3.0
 END_ID = 2
 
 BLOCKS = "part int, block int, doc_ids array<bigint>, id_null array<boolean>, n_tokens array<int>, before bigint, total bigint, control binary, data binary"
@@ -86,6 +92,7 @@ class Encoder:
     """
 
     _loaded: dict[str, Encoder] = {}
+    _idle: threading.Timer | None = None
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -106,10 +113,26 @@ class Encoder:
 
     @classmethod
     def load(cls, path: str) -> Encoder:
+        if cls._idle:
+            cls._idle.cancel()
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    @classmethod
+    def rest(cls) -> None:
+        """A task has ended: if no other comes to this worker soon, its memory is given back to the executor."""
+        cls._idle = threading.Timer(IDLE_SECONDS, cls.forget)
+        cls._idle.daemon = True
+        cls._idle.start()
+
+    @classmethod
+    def forget(cls) -> None:
+        cls._loaded.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call, nothing is lost
+            ctypes.CDLL(None).malloc_trim(0)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -235,6 +258,7 @@ def encoded(documents: DataFrame, tokenizer: str, width: int, end_id: int, text:
                 packed = [planes(np.concatenate([found, tail]), width) for found in encoder.documents(texts)]
                 yield pa.RecordBatch.from_arrays([rows.column(0).slice(first, len(packed)), pa.array(packed, pa.binary())], ["doc_id", "ids"])
             pa.default_memory_pool().release_unused()
+        Encoder.rest()
 
     return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(encode, "doc_id bigint, ids binary")
 
