@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts name it: space and 0x09 to 0x0D.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -42,6 +43,23 @@ def empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
 
+def top_rows(df: DataFrame, score: str, most: int) -> tuple[DataFrame, float]:
+    """(rows, least score): the rows with the greatest positive scores, at most ``most`` of them.
+
+    A histogram of the scores, in steps of about one per cent, says how far down one can go; steps
+    are taken whole. Unlike a sort with a limit, no partition has to offer ``most`` rows of its own.
+    """
+    step = F.floor(F.log2(score) * 64).cast("long")
+    counts = df.where(F.col(score) > 0).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min(score).alias("least")).collect()
+    total, least = 0, float("inf")
+    for r in sorted(counts, key=lambda r: -r.step):
+        total += r.n
+        if total > most:
+            break
+        least = r.least
+    return df.where(F.col(score) >= least), least
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for shuffles that must not be coalesced: what the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumaframe.llm.common import cut, top_rows
 from lumaframe.llm.words import numbered
 
 #: At most about so many labelled rows are learned from, chosen by a hash of doc_id; all are taken where there are no more.
@@ -139,7 +140,7 @@ def learn_scores(labelled: DataFrame) -> Scores:
     n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     docs = (n.get(1, 0), n.get(0, 0))
     everything = sum(docs) + 1
-    counts = word_counts(labelled).where(F.col("toxic") + F.col("clean") >= MIN_DOCS)
+    counts = cut(word_counts(labelled).where(F.col("toxic") + F.col("clean") >= MIN_DOCS))
     long = F.length("word") > STEM
     stems = counts.groupBy(F.substring("word", 1, STEM).alias("stem")).agg(F.sum("toxic").alias("s1"), F.sum("clean").alias("s0"), F.max(long.cast("int")).alias("long"))
 
@@ -158,8 +159,9 @@ def learn_scores(labelled: DataFrame) -> Scores:
     value, sure = odds(F.col("toxic"), F.col("clean"), base * lift, base / lift)
     words = counts.join(stems, F.substring("word", 1, STEM) == stems["stem"]).withColumn("odds", value).withColumn("sure", sure)
     telling = (F.abs("stem_sure") >= SURE) & (F.abs("stem_odds") >= LEAST)
-    kept_words = words.where(((F.abs("sure") >= SURE) & (F.abs("odds") >= LEAST)) | telling).orderBy(F.abs("sure").desc(), "word").limit(MAX_WORDS).select("word", "odds").collect()
-    kept_stems = stems.where(telling & (F.col("long") == 1)).orderBy(F.abs("stem_sure").desc(), "stem").limit(MAX_STEMS).select("stem", "stem_odds").collect()
+    wanted = words.where(((F.abs("sure") >= SURE) & (F.abs("odds") >= LEAST)) | telling).withColumn("_s", F.greatest(F.abs("sure"), F.abs("stem_sure")))
+    kept_words = top_rows(wanted, "_s", MAX_WORDS)[0].select("word", "odds").collect()
+    kept_stems = top_rows(stems.where(telling & (F.col("long") == 1)).withColumn("_s", F.abs("stem_sure")), "_s", MAX_STEMS)[0].select("stem", "stem_odds").collect()
     clip = lambda x: min(max(x, CLIP[0]), CLIP[1])
     return Scores({r.word: clip(r.odds) for r in kept_words}, {r.stem: clip(r.stem_odds) for r in kept_stems})
 
