@@ -29,7 +29,7 @@ SIMILARITY = 0.8
 #: Coordinates are joined in bands of ROWS: at a similarity of 0.8 a pair shares no band once in 300,000 pairs.
 BANDS, ROWS = 24, 4
 #: Texts are worked on in groups of about so many bytes.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 600_000
 #: A hot bucket's rows are dealt to this many keys.
 SALTS = 16
 #: In its k-th round a bucket's members are compared with its first 8**k - 1.

@@ -30,7 +30,7 @@ from lumaframe.llm.common import ensure_checkpoint_dir, spread
 #: Ids of a block; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 20
 #: Texts are encoded in groups of about so many bytes.
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 14_000_000
 #: A worker remembers the ids of the last pieces it met: this many, and up to as many older ones.
 MEMO_PIECES = 450_000
 #: A worker process without a task forgets its tokenizer and memo after so long.
@@ -98,7 +98,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)
         self.tokenizer.encode_special_tokens = self.words.encode_special_tokens = True
         self.letters = byte_letters()
         space = chr(self.letters[0x20])
@@ -197,7 +198,7 @@ class Encoder:
         lists = pc.split_pattern(pc.if_else(pa.array(unsafe), pa.scalar("", column.type), column), " ")
         ends = np.asarray(lists.offsets, np.int64)
         coded = lists.flatten().dictionary_encode()
-        number = np.asarray(coded.indices, np.int64)
+        number = np.asarray(coded.indices, np.int32)
         ends = ends - ends[0]
         first = np.zeros(len(number), bool)
         first[ends[:-1]] = True
@@ -205,9 +206,9 @@ class Encoder:
         used[number[~first]] = True
         heads = self.whole([column[i].as_py() if unsafe[i] else coded.dictionary[int(number[ends[i]])].as_py() for i in range(len(column))])
         found = self.pieces(coded.dictionary.filter(pa.array(used)).to_pylist())
-        place = np.cumsum(used) - 1
+        place = np.cumsum(used, dtype=np.int32) - np.int32(1)
         lengths = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-        return np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(lengths)]), np.where(first, -1, place[number]), ends, heads
+        return np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(lengths)]), np.where(first, np.int32(-1), place[number]), ends, heads
 
     def documents(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text, whole."""
