@@ -127,3 +127,12 @@ def test_stream(spark, folder, data, tmp_path):
     assert query.awaitTermination(60)
     lines = spark.createDataFrame([("Converting: 45.5% done",), ("hello",)], "value string")
     assert [(r.percent, r.phase) for r in ingest.progress(lines).collect()] == [(45.5, "Converting")]
+
+
+def test_command_line(spark, folder, data, tmp_path, capsys):
+    from lumaframe.__main__ import main
+
+    assert main(["list", str(folder)]) == 0 and len(capsys.readouterr().out.splitlines()) == 3
+    assert main(["preview", str(folder), "--uuid", "u-9", "--out", str(tmp_path), "--height", "4"]) == 0
+    assert (tmp_path / "u-9_h4.png").read_bytes().startswith(b"\x89PNG")
+    assert main(["convert", str(folder), "--uuid", "none", "--out", str(tmp_path)]) == 1
