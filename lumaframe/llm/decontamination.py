@@ -30,7 +30,7 @@ SLOP = 2
 #: Words of a segment; one longer document is a segment of its own.
 SEGMENT_WORDS = 500_000
 #: Benchmark words that are searched for at once; a larger benchmark is searched in blocks.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 300_000
 #: Candidates that are looked at together.
 STEP = 1 << 18
 
