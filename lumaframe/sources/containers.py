@@ -105,9 +105,13 @@ def containers(spark: SparkSession, path: str, seek: bool = False) -> DataFrame:
     read, whatever their size.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{lif,lof,xlef,xlcf,xlif,LIF,LOF,XLEF,XLCF,XLIF}").load(path)
-    files = files.select("path", "modificationTime", F.lit(None).cast("binary") if seek else F.col("content"))
+    return parse(files.select("path", "modificationTime", F.lit(None).cast("binary").alias("content") if seek else F.col("content")))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def parse(files: DataFrame) -> DataFrame:
+    """The container rows of files (path, modificationTime, content), batch or stream; a null content is read from the path."""
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for name, modified, raw in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
@@ -128,7 +132,7 @@ def containers(spark: SparkSession, path: str, seek: bool = False) -> DataFrame:
             kinds += [("blocks", pa.list_(pa.struct([("id", pa.string()), ("position", pa.int64()), ("size", pa.int64())]))), ("problem", pa.string())]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
-    return files.mapInArrow(parse, CONTAINERS)
+    return files.select("path", "modificationTime", "content").mapInArrow(rows_of, CONTAINERS)
 
 
 def memory_blocks(found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import synthetic
 
 from lumaframe.api import Library
-from lumaframe.operators import linked
+from lumaframe.operators import images, linked
 from lumaframe.sinks import preview, tiff, zarr
 from lumaframe.sources import containers, pixels
 from lumaframe.streaming import ingest
@@ -122,9 +122,10 @@ def test_resolve_pixels(spark, tmp_path):
 
 
 def test_stream(spark, folder, data, tmp_path):
-    describe = lambda files: containers.xml_nodes(files.selectExpr("path", "decode(substring(content, 14, length(content)), 'UTF-16LE') AS xml")).groupBy("path").count()
-    query = ingest.ingest(spark, str(folder), str(tmp_path / "t"), str(tmp_path / "c"), describe, "*.none")
-    assert query.awaitTermination(60)
+    describe = lambda files: images.elements(containers.xml_nodes(containers.parse(files)))
+    for _ in range(2):  # nothing new the second time
+        assert ingest.ingest(spark, str(folder), str(tmp_path / "t"), str(tmp_path / "c"), describe, "*.lif").awaitTermination(90)
+    assert sorted(r.uuid for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["MemBlock_2", "f-1", "root", "u-1"]
     lines = spark.createDataFrame([("Converting: 45.5% done",), ("hello",)], "value string")
     assert [(r.percent, r.phase) for r in ingest.progress(lines).collect()] == [(45.5, "Converting")]
 
