@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder beside the session's checkpoints, which executors and driver share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again, for what a loop joins round after round.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join multiplies the sizes of its
+    sides: over a few rounds the estimate becomes a number of millions of digits, which the
+    driver works out for each plan. The size of a written table is that of its files.
+    """
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def empty(df: DataFrame) -> bool:
     """Whether a table has no rows, in one job over all its partitions."""
     return df.limit(1).count() == 0

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import WORD_TABLE, cut, empty, mix64, text_bytes
+from lumaframe.llm.common import WORD_TABLE, cut, empty, mix64, text_bytes, written
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.suffix_dedup import Fingerprints
 
@@ -225,7 +225,7 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     merged = connected_components(ends).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
     single = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node"))
     both = labels.unionByName(single)
-    return cut(both.join(merged, both["component"] == merged["_old"], "left").select("node", F.coalesce("_new", "component").alias("component")))
+    return written(both.join(merged, both["component"] == merged["_old"], "left").select("node", F.coalesce("_new", "component").alias("component")))
 
 
 def shared_shingles(sets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -286,27 +286,27 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     members = cut(members)
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
     sets = cut(shingle_sets(texts.join(wanted, texts["node"] == wanted["_rep"], "left_semi").dropDuplicates(["node"])))
-    led = cut(verified(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), sets, 0.0))
+    led = written(verified(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), sets, 0.0))
     tried = led.select("a", "b")
     labels = connected_components(led.where(F.col("alike") >= similarity - 1e-9).select("a", "b"))
     group = F.when(F.col("n") > LARGE, F.xxhash64(F.lit(-1), "lead")).otherwise(F.xxhash64("band", "hash"))
     groups = members.where("n > 2 AND rep <> lead").select(group.alias("group"), "lead", "rep").distinct()
-    groups = cut(groups.join(led, (groups["lead"] == led["a"]) & (groups["rep"] == led["b"])).select("group", "rep", "alike"))
+    groups = written(groups.join(led, (groups["lead"] == led["a"]) & (groups["rep"] == led["b"])).select("group", "rep", "alike"))
     done, upto, shared = 0, MORE - 1, None
     while True:
-        still = cut(unsettled(groups, labels, done))
+        still = written(unsettled(groups, labels, done))
         if empty(still):
             break
-        shared = cut(shared_shingles(sets, still)) if shared is None else shared
+        shared = written(shared_shingles(sets, still)) if shared is None else shared
         ordered = still.join(shared, "rep").withColumn("_at", F.row_number().over(W.partitionBy("group").orderBy("rep")))
         heads = ordered.where((F.col("_at") > done) & (F.col("_at") <= upto)).select("group", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "size", "common", "alike")], F.col("_at").alias("_head"))
         most = F.least("common", "_common")
         near = F.abs(F.col("alike") - F.col("_alike")) <= 1 - similarity + 1e-9
         pairs = ordered.join(heads, "group").where((F.col("component") != F.col("_component")) & (F.col("_head") < F.col("_at")) & near & (most >= similarity * (F.col("size") + F.col("_size") - most) - 1e-9))
         pairs = pairs.select(F.least("_rep", "rep").alias("a"), F.greatest("_rep", "rep").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
-        fresh = cut(verified(pairs, sets, similarity).select("a", "b"))
+        fresh = written(verified(pairs, sets, similarity).select("a", "b"))
         done, upto = upto, MORE * (upto + 1) - 1
         if not empty(fresh):
             labels = joined_labels(labels, fresh)

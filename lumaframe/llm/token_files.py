@@ -13,7 +13,6 @@ import ctypes
 import gc
 import os
 import threading
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumaframe.llm.common import ensure_checkpoint_dir, spread
+from lumaframe.llm.common import shared_path, spread
 
 #: Ids of a block; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 20
@@ -363,14 +362,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new folder beside the session's checkpoints, which executors and driver share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tokens-{uuid.uuid4().hex}"
-
-
 def round_trip(documents: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """Write the documents' tokens to ``path`` (by default a shared folder) and read them back."""
-    path = path or shared_path(documents.sparkSession)
+    path = path or shared_path(documents.sparkSession, "tokens")
     write_tokens(documents, path, tokenizer)
     return read_tokens(documents.sparkSession, path)
