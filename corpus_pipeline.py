@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumaframe.llm import decontamination, minhash, mixing, quality_rules, token_files
-from lumaframe.llm.common import table
+from lumaframe.llm.common import shared_path, table
 from lumaframe.llm.queries import tokenizer_path
 
 
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    place = token_files.shared_path(spark)
+    place = shared_path(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{number}")
         docs = spark.read.parquet(f"{place}/{number}")
