@@ -13,8 +13,7 @@ not depend on the network's state, so they are found by joining their occurrence
 
 Training is truncated backpropagation through windows, in numpy, in every task over its own share of
 the training documents; the tasks' parameters are averaged in a tree of Spark aggregations, and the
-average starts the next round. What a task learns from is a fixed share of its documents, so it
-grows with the corpus. Scoring carries the state of a document from window to window to its end.
+average starts the next round. The rounds together cover every training document once. Scoring carries the state of a document from window to window to its end.
 """
 
 from __future__ import annotations
@@ -39,8 +38,8 @@ FREQUENT, CLASS_WORDS = 1024, 32
 KINDS, LEVELS = 8, 4
 RARE = KINDS * (LEVELS + 1)
 STATE = 16
-#: In each round a task trains on another one in so many of its training documents.
-TRAIN_EVERY, ROUNDS = 48, 2
+#: The rounds deal the training documents out among them: each is trained on once.
+ROUNDS = 2
 WINDOW, BATCH = 24, 48
 RATE = 0.02
 #: Words whose counts are sent to every task.
@@ -353,7 +352,7 @@ def average(rows: DataFrame) -> tuple[np.ndarray | None, int]:
 
 
 def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
-    """Train on (doc_id, text): in each round, every task on a fixed share of its documents, from the last round's mean."""
+    """Train on (doc_id, text): in each round, every task on another share of its documents, from the last round's mean; no document is left out."""
     model = Model(vocabulary)
     shared = training.sparkSession.sparkContext.broadcast(vocabulary)
     for k in range(ROUNDS):
@@ -369,7 +368,7 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], ["task", "tokens", "flat"])
 
-        share = training.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(TRAIN_EVERY)) == k)
+        share = training.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(ROUNDS)) == k)
         mean, _ = average(share.select("text").mapInArrow(learn, "task int, tokens bigint, flat binary"))
         if mean is not None:
             model.load(mean)
