@@ -4,7 +4,9 @@ The index is split by document into segments, as search engines do: a segment li
 term, the positions at which it stands in the segment's documents. The phrases of the benchmark
 (windows of 13 words) are searched segment by segment: the list of a phrase's rarest term gives
 candidate starts, and the lists of its other terms, shifted by their offsets in the phrase, are
-intersected with them from the second rarest on, until all have been met.
+intersected with them from the second rarest on, until all have been met. Where some words may be
+missing, the lists of as many of the rarest terms as one more than that give the candidates, for one
+of those must have been met.
 
 Terms that the benchmark does not use are in no list, so the index grows with the matter it is
 asked about; the number of documents in which a term stands orders the terms by rarity.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from lumaframe.llm.common import WORD_TABLE, column_bytes, cut
 
 WINDOW = 13
-#: A proximity match has this many of a phrase's words, each within SLOP words of its place.
+#: A proximity match has this many of a phrase's words, each within SLOP words of its place; for a shorter phrase both are scaled.
 NEAR_WORDS = 10
 SLOP = 2
 #: Words of a segment; one longer document is a segment of its own.
@@ -37,6 +39,11 @@ STEP = 1 << 18
 SEGMENTS = "doc_ids array<bigint>, doc_starts array<int>, terms binary, list_starts binary, positions binary"
 
 
+def nearness(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words that may be missing, words that each may be off its place) for phrases of these lengths."""
+    return length * (WINDOW - NEAR_WORDS) // WINDOW, (2 * length * SLOP + WINDOW) // (2 * WINDOW)
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
@@ -169,11 +176,11 @@ class Segment:
             self._at[2 * WINDOW + self.positions] = np.repeat(self.terms, np.diff(self.list_starts))
         return self._at
 
-    def candidates(self, terms: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(phrase, start) arrays: the rarest terms' lists less their offsets, in steps."""
-        slot = np.full(int(max(terms[:, 0].max(initial=-1), self.terms.max(initial=-1))) + 2, -1, np.int64)
+    def candidates(self, terms: np.ndarray, offsets: np.ndarray, rank: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(phrase, start) arrays: the lists of each phrase's ``rank``-th rarest term less their offsets, in steps."""
+        slot = np.full(int(max(terms[:, rank].max(initial=-1), self.terms.max(initial=-1))) + 2, -1, np.int64)
         slot[self.terms] = np.arange(len(self.terms))
-        which = slot[terms[:, 0]]
+        which = slot[terms[:, rank]]
         phrase = np.flatnonzero(which >= 0)
         n = np.diff(self.list_starts)[which[phrase]].astype(np.int64)
         ends = np.cumsum(n)
@@ -182,38 +189,69 @@ class Segment:
             k = np.arange(a, min(total, a + STEP))
             p = np.searchsorted(ends, k, side="right")
             place = self.list_starts[which[phrase[p]]] + (k - (ends[p] - n[p]))
-            yield phrase[p], self.positions[place].astype(np.int64) - offsets[phrase[p], 0]
+            yield phrase[p], self.positions[place].astype(np.int64) - offsets[phrase[p], rank]
+
+    def met(self, terms: np.ndarray, place: np.ndarray, slop: int | np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
+        """Whether each term stands within ``slop`` words of its place, and in that document where one is given."""
+        out = np.zeros(len(place), bool)
+        most = int(np.max(slop, initial=0))
+        for slip in range(-most, most + 1):
+            here = (self.at[2 * WINDOW + place + slip] == terms) & (abs(slip) <= slop)
+            if doc is not None:
+                here &= (place + slip >= self.doc_starts[doc]) & (place + slip < self.doc_starts[doc + 1])
+            out |= here
+        return out
 
-    def search(self, terms: np.ndarray, offsets: np.ndarray, length: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """Exact matches and proximity matches (those that aren't exact), each as (phrase, start)."""
-        exact, near = [], []
+    def nearby(self, terms: np.ndarray, offsets: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Proximity matches, exact ones among them, as (phrase, start, document).
+
+        A match is found from the rarest of its terms that it has. Where that is the k-th, k words
+        are missing already. Before the anchor's own slip is settled, other words may be off by twice the slop.
+        """
+        allowed, slop = nearness(length)
+        out = []
+        for k in range(int(allowed.max(initial=0)) + 1):
+            usable = np.where((allowed >= k) & (length > k), terms[:, k], -1)
+            some = np.flatnonzero(usable >= 0)
+            for own, start in self.candidates(terms[some], offsets[some], k):
+                p, s = some[own], start
+                missed = np.full(len(p), k, np.int64)
+                for j in range(k + 1, WINDOW):
+                    missed += (length[p] > j) & ~self.met(terms[p, j], s + offsets[p, j], 2 * SLOP)
+                    stay = missed <= allowed[p]
+                    p, s, missed = p[stay], s[stay], missed[stay]
+                d = np.searchsorted(self.doc_starts, s + offsets[p, k], side="right") - 1
+                for slip in range(-SLOP, SLOP + 1):
+                    fits = abs(slip) <= slop[p]
+                    q, r, e = p[fits], s[fits] + slip, d[fits]
+                    missed = np.zeros(len(q), np.int64)
+                    for j in range(WINDOW):
+                        missed += (length[q] > j) & ~self.met(terms[q, j], r + offsets[q, j], slop[q], e)
+                        stay = missed <= allowed[q]
+                        q, r, e, missed = q[stay], r[stay], e[stay], missed[stay]
+                    out.append(np.stack([q, r, e]))
+        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
+        return found[0], found[1], found[2]
+
+    def search(self, terms: np.ndarray, offsets: np.ndarray, length: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Exact matches and proximity matches (those that aren't exact), each as (phrase, start, document)."""
+        none = (np.zeros(0, np.int64),) * 3
         if not len(self.positions) or not len(terms):
-            none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
             return none, none
-        at, margin = self.at, 2 * WINDOW
+        at, margin, exact = self.at, 2 * WINDOW, []
         for phrase, start in self.candidates(terms, offsets):
             doc = np.searchsorted(self.doc_starts, start + offsets[phrase, 0], side="right") - 1
             fits = (start >= self.doc_starts[doc]) & (start + length[phrase] <= self.doc_starts[doc + 1])
-            p, s = phrase[fits], start[fits]
+            p, s, d = phrase[fits], start[fits], doc[fits]
             for j in range(1, WINDOW):
                 here = (length[p] <= j) | (at[margin + s + offsets[p, j]] == terms[p, j])
-                p, s = p[here], s[here]
-            exact.append((p, s))
-            full = length[phrase] == WINDOW
-            p, s, d = phrase[full], start[full], doc[full]
-            missed = np.zeros(len(p), np.int32)
-            for j in range(1, WINDOW):
-                met = np.zeros(len(p), bool)
-                for slip in range(-SLOP, SLOP + 1):
-                    place = s + offsets[p, j] + slip
-                    met |= (at[np.clip(margin + place, 0, len(at) - 1)] == terms[p, j]) & (place >= self.doc_starts[d]) & (place < self.doc_starts[d + 1])
-                missed += ~met
-                some = missed <= WINDOW - NEAR_WORDS
-                p, s, d, missed = p[some], s[some], d[some], missed[some]
-            near.append((p, s))
-        (p, s), (q, r) = (tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 for found in (exact, near))
-        only = ~np.isin(q * np.int64(len(at) + 1) + r, p * np.int64(len(at) + 1) + s)
-        return (p, s), (q[only], r[only])
+                p, s, d = p[here], s[here], d[here]
+            exact.append((p, s, d))
+        p, s, d = (np.concatenate(x) for x in zip(*exact, strict=True)) if exact else none
+        q, r, e = self.nearby(terms, offsets, length)
+        size = np.int64(len(at) + 1)
+        only = ~np.isin(q * size + r, p * size + s)
+        return (p, s, d), (q[only], r[only], e[only])
 
 
 MATCHES = "doc_id bigint, n_words bigint, hit_from array<int>, hit_to array<int>, items array<string>, near_items array<string>"
@@ -231,7 +269,7 @@ def search(segments: DataFrame, phrases: Phrases) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 seg = Segment(*(b.column(j)[i].as_py() for j in range(5)))
-                (p, s), (q, r) = seg.search(terms, offsets, length)
+                (p, s, d), (q, _, e) = seg.search(terms, offsets, length)
                 step = np.zeros(int(seg.doc_starts[-1]) + 1, np.int64)
                 np.add.at(step, s, 1)
                 np.add.at(step, s + length[p], -1)
@@ -239,10 +277,9 @@ def search(segments: DataFrame, phrases: Phrases) -> DataFrame:
                 doc_of = np.searchsorted(seg.doc_starts, np.arange(len(hit))[hit], side="right") - 1
                 found: dict[int, set[str]] = {}
                 near: dict[int, set[str]] = {}
-                for into, ps, ss in ((found, p, s), (near, q, r)):
-                    docs = np.searchsorted(seg.doc_starts, ss + offsets[ps, 0], side="right") - 1
-                    for d, w in set(zip(docs.tolist(), ps.tolist(), strict=True)):
-                        into.setdefault(d, set()).update(owners[w])
+                for into, ps, docs in ((found, p, d), (near, q, e)):
+                    for doc, w in set(zip(docs.tolist(), ps.tolist(), strict=True)):
+                        into.setdefault(doc, set()).update(owners[w])
                 runs: dict[int, tuple[list[int], list[int]]] = {}
                 for d in np.unique(doc_of).tolist():
                     own = np.diff(np.concatenate([[0], hit[seg.doc_starts[d] : seg.doc_starts[d + 1]].astype(np.int8), [0]]))
