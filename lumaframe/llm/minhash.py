@@ -139,7 +139,7 @@ def text_groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 
 def signed(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, gone, d1, d2, bands) for (node, text, gone): digests of the word sequence, and one hash for each band of the signature.
+    """(node, name, gone, d1, d2, bands) for (node, text, name, gone): digests of the word sequence, and one hash for each band of the signature.
 
     A text without words has no bands, and digests of its own.
     """
@@ -158,9 +158,9 @@ def signed(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 node = b.column(0).slice(first, n)
                 own = mix64(node.to_numpy().astype(np.int64).view(np.uint64) + _C[1])
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32), value[has].reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([node, b.column(2).slice(first, n), pa.array(np.where(has, d1, own).view(np.int64)), pa.array(np.where(has, d2, own).view(np.int64)), lists], ["node", "gone", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([node, b.column(2).slice(first, n), b.column(3).slice(first, n), pa.array(np.where(has, d1, own).view(np.int64)), pa.array(np.where(has, d2, own).view(np.int64)), lists], ["node", "name", "gone", "d1", "d2", "bands"])
 
-    return texts.mapInArrow(sign, "node bigint, gone boolean, d1 bigint, d2 bigint, bands array<bigint>")
+    return texts.mapInArrow(sign, "node bigint, name bigint, gone boolean, d1 bigint, d2 bigint, bands array<bigint>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -204,6 +204,13 @@ def stand_in(text: Column) -> Column:
     return -F.abs(F.shiftright(F.xxhash64(text), 1)) - 1
 
 
+def numbers(text: str, doc_id: str) -> tuple[Column, Column]:
+    """(name, node) of a row: its doc_id or what stands in for one, and a hash that tells rows apart by name and text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    name = F.coalesce(F.col(doc_id).cast("bigint"), stand_in(body))
+    return name, F.xxhash64(name, body)
+
+
 def salted(node: str) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")
 
@@ -271,13 +278,15 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
 
     Null and empty texts, and texts without words, are in a class of their own. A null doc_id stays
     null; its row is known by a hash of its text, as a negative class id. Rows that share a doc_id
-    count as one document. An empty table gives no rows.
+    but not a text are documents of their own, whose classes may have one name; ``row_id`` tells
+    them apart, and ``stays`` is the row_id of the class's first document. An empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = documents.select(F.coalesce(F.col(doc_id).cast("bigint"), stand_in(body)).alias("node"), body.alias("text"), F.col(doc_id).isNull().alias("gone"))
+    name, node = numbers(text, doc_id)
+    texts = documents.select(node.alias("node"), body.alias("text"), name.alias("name"), F.col(doc_id).isNull().alias("gone"))
     known = cut(signed(texts))
     texts = texts.select("node", "text")
-    copies = known.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.first("bands").alias("bands"))
+    copies = known.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.min(F.struct("name", "node")).alias("first"), F.first("bands").alias("bands"))
     copies = cut(copies)
     rows = copies.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = rows.groupBy("band", "hash").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -310,16 +319,19 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
         done, upto = upto, MORE * (upto + 1) - 1
         if not empty(fresh):
             labels = joined_labels(labels, fresh)
-    reps = copies.select("d1", "d2", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    reps = reps.join(labels, reps["rep"] == labels["node"], "left").select("d1", "d2", "_salt", "rep", F.coalesce("component", "rep").alias("class_id"))
-    named = known.select("node", "gone", "d1", "d2", salted("node").alias("_salt"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    linked = labels.join(copies.select("rep", "first"), labels["node"] == F.col("rep"))
+    leads = linked.groupBy("component").agg(F.min("first").alias("lead")).select("component", "lead", salts)
+    placed = labels.withColumn("_salt", salted("node")).join(leads, ["component", "_salt"]).select(F.col("node").alias("_node"), "lead")
+    reps = copies.select("d1", "d2", "rep", "first", salts)
+    reps = reps.join(placed, reps["rep"] == placed["_node"], "left").select("d1", "d2", "_salt", F.col("first.name").alias("copy_of"), F.coalesce("lead", "first").alias("lead"))
+    named = known.select("node", "name", "gone", "d1", "d2", salted("node").alias("_salt"))
     out = named.join(reps, ["d1", "d2", "_salt"])
-    return out.select(F.when(~F.col("gone"), F.col("node")).alias("doc_id"), "class_id", F.col("rep").alias("copy_of"), F.col("node").alias("row_id"))
+    return out.select(F.when(~F.col("gone"), F.col("name")).alias("doc_id"), F.col("lead.name").alias("class_id"), "copy_of", F.col("node").alias("row_id"), F.col("lead.node").alias("stays"))
 
 
 def filter_documents(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each class, that with the least doc_id, all columns as they were."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    named = documents.withColumn("_node", F.coalesce(F.col(doc_id).cast("bigint"), stand_in(body)))
-    stay = classes(documents, text, doc_id).where("row_id = class_id").select(F.col("row_id").alias("_stay")).distinct()
+    """One document of each class, that with the least doc_id, all columns as they were; of rows equal in doc_id and text one stays."""
+    named = documents.withColumn("_node", numbers(text, doc_id)[1])
+    stay = classes(documents, text, doc_id).where("row_id = stays").select(F.col("row_id").alias("_stay")).distinct()
     return named.join(stay, named["_node"] == stay["_stay"], "left_semi").dropDuplicates(["_node"]).drop("_node")
