@@ -110,14 +110,14 @@ def _postfix(tokens: list[str]) -> list[str] | None:
 
 
 def choices(order: list[str]) -> list[frozenset[str]]:
-    """The ways in which an expression can be met: each a set of licences that all hold."""
+    """All ways in which an expression can be met: each a set of licences that all hold. n clauses may make 2**n of them."""
     stack: list[list[frozenset[str]]] = []
     for token in order:
         if token == "with":
             stack.pop()  # an exception leaves its licence's family as it is
         elif token == "and":
             right, left = stack.pop(), stack.pop()
-            stack.append(sorted({a | b for a in left for b in right}, key=sorted)[:64])
+            stack.append(sorted({a | b for a in left for b in right}, key=sorted))
         elif token == "or":
             right, left = stack.pop(), stack.pop()
             stack.append(sorted({*left, *right}, key=sorted))
@@ -126,18 +126,33 @@ def choices(order: list[str]) -> list[frozenset[str]]:
     return stack[-1] if stack else []
 
 
+def operands(order: list[str]) -> set[str]:
+    """The licences that an expression in postfix order names, without exceptions."""
+    stack: list[set[str]] = []
+    for token in order:
+        if token == "with":
+            stack.pop()
+        elif token in ("and", "or"):
+            right = stack.pop()
+            stack[-1] |= right
+        else:
+            stack.append({family(token)})
+    return stack[-1] if stack else set()
+
+
 SCAN = (
     "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, "
     "findings array<struct<kind:string,label:string,word:bigint>>, expressions array<string>, choices array<array<string>>, score double"
 )
 
 
-def scan(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scan(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", ways: bool = True) -> DataFrame:
     """One row per document with every finding, its labels, and the licence expressions behind its tags.
 
     Words are compared, so punctuation and case don't matter and a phrase may run over line ends.
     Null text: no words, no labels. Rows that share a doc_id, and null doc_ids, each have their own
-    row. Nothing is shuffled.
+    row. Labels have all licences that the expressions name. ``choices`` has all ways to meet
+    them, however many; it is null if ``ways`` is false. Nothing is shuffled.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +176,11 @@ def scan(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
                 findings.sort(key=lambda f: (f["word"], f["kind"], f["label"]))
                 base = [f for f in findings if f["kind"] == "base"]
                 expressions = [m[1].decode("utf-8", "replace").strip() for m in _EXPRESSION.finditer(body)] if any(f["kind"] == "tag" for f in findings) else []
-                ways = [choices(postfix(x)) for x in expressions]
-                labels = {f["label"] for f in findings if f["label"]} | {x for w in ways for c in w for x in c}
+                orders = [postfix(x) for x in expressions]
+                labels = {f["label"] for f in findings if f["label"]} | {x for o in orders for x in operands(o)}
                 doubt = 1.0
                 for f in findings:
-                    doubt *= 1 - (SURE[f["kind"]] if f["kind"] != "tag" or any(ways) else 0.0)
+                    doubt *= 1 - (SURE[f["kind"]] if f["kind"] != "tag" or any(orders) else 0.0)
                 starts = [f["word"] for f in base]
                 rows.append(
                     {
@@ -178,7 +193,7 @@ def scan(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
                         "labels": sorted(labels),
                         "findings": findings,
                         "expressions": expressions,
-                        "choices": [sorted(c) for w in ways for c in w],
+                        "choices": [sorted(c) for o in orders for c in choices(o)] if ways else None,
                         "score": 1 - doubt,
                     }
                 )
