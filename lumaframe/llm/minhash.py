@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import WORD_TABLE, cut, empty, mix64, text_bytes, written
+from lumaframe.llm.common import cut, empty, mix64, text_bytes, written
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.suffix_dedup import Fingerprints
+from lumaframe.llm.words import bounds
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,20 +38,13 @@ MORE = 8
 #: Buckets beyond this size are put together by their first member when pairs across components are looked for.
 LARGE = 32
 
-_WORD_BYTES = np.frombuffer(WORD_TABLE, np.uint8)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first word by document): the words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z."""
-    plain = _WORD_BYTES[raw]
-    word = np.zeros(len(raw) + 2, bool)
-    word[1:-1] = plain != 0x20
-    edge = np.zeros(len(raw) + 1, bool)  # a document begins here
-    edge[starts] = True
-    begin = np.flatnonzero(word[1:-1] & (~word[:-2] | edge[:-1]))
-    end = np.flatnonzero(word[1:-1] & (~word[2:] | edge[1:])) + 1
-    return Fingerprints(plain).of(begin, end), np.searchsorted(begin, starts)
+    plain, begin, end, first = bounds(raw, starts)
+    return Fingerprints(plain).of(begin, end), first
 
 
 def shingles(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

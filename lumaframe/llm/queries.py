@@ -16,30 +16,35 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select(
         "doc_id",
-        "n_units",
-        (F.col("n_chars") - F.length("kept")).cast("long").alias("n_removed_chars"),
+        "n_words",
+        "n_removed",
         F.size("spans").cast("long").alias("n_spans"),
         runs.alias("spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
 
 
+#: Words are found with what stands before them (p), cut where their hashes say so (c), put together as
+#: units (u) and ranked among equal ones (k); removed units that touch make runs (s), and the rest is joined.
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-u AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
-o AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-        count(*) OVER (PARTITION BY doc_id) AS n,
-        list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM u),
-r AS (SELECT *, array_to_string(words, ' ') AS unit FROM o),
-k AS (SELECT *, len(words) >= 8 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1 AS gone, start + length(line) + (CASE WHEN i < n THEN 1 ELSE 0 END) AS until FROM r),
-g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM k),
-e AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM g),
-s AS (SELECT doc_id, span, min(start) AS a, max(until) AS b FROM e WHERE gone GROUP BY doc_id, span),
-t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM s GROUP BY doc_id),
-h AS (SELECT doc_id, max(n) AS n_units, string_agg(CASE WHEN gone THEN '' WHEN i < n THEN line || chr(10) ELSE line END, '' ORDER BY i) AS kept FROM k GROUP BY doc_id)
-SELECT h.doc_id, CAST(n_units AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed_chars, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  coalesce(spans, '') AS spans, sha256(kept) AS kept_sha256
-FROM h LEFT JOIN t USING (doc_id)
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS pieces FROM documents),
+p AS (SELECT doc_id, unnest(range(len(pieces))) AS i, len(pieces) AS n, unnest(pieces) AS piece FROM d),
+w AS (SELECT doc_id, i, n, translate(regexp_replace(piece, '^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word,
+        CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM p),
+g AS (SELECT *, upto - length(word) AS start, CAST('0x' || substr(md5(word), 1, 6) AS BIGINT) AS g FROM w),
+c AS (SELECT *, i = n - 1 OR (g + 7 * lead(g) OVER o) % 6 = 0 AS cut FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, i = 0 OR lag(cut) OVER o AS opens, min(CASE WHEN cut THEN i + 1 END) OVER (o ROWS BETWEEN 19 FOLLOWING AND UNBOUNDED FOLLOWING) AS until FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT doc_id, list(word ORDER BY i) AS words, list(start ORDER BY i) AS starts FROM g GROUP BY doc_id),
+u AS (SELECT doc_id, i, until, array_to_string(words[i + 1 : until], ' ') AS unit, start AS a, coalesce(starts[until + 1], length(body)) AS b FROM e JOIN t USING (doc_id) JOIN d USING (doc_id) WHERE opens AND until IS NOT NULL),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) AS nth FROM u) WHERE nth > 1),
+m AS (SELECT *, i > coalesce(lag(until) OVER (PARTITION BY doc_id ORDER BY i), -1) AS new FROM k),
+r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m),
+s AS (SELECT doc_id, run, min(a) AS a, max(b) AS b, max(until) - min(i) AS words FROM r GROUP BY doc_id, run),
+f AS (SELECT doc_id, run, a, b, words, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s),
+h AS (SELECT doc_id, count(*) AS n_spans, sum(words) AS n_removed, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, string_agg(substring(body, z + 1, a - z), '' ORDER BY a) || substring(any_value(body), max(b) + 1) AS kept FROM f JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(pieces) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  coalesce(spans, '') AS spans, sha256(coalesce(kept, body)) AS kept_sha256
+FROM d LEFT JOIN h USING (doc_id)
 """
 
 

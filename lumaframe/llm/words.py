@@ -31,3 +31,18 @@ def numbered(column: pa.Array, plain: bool = True) -> tuple[pa.Array, np.ndarray
     real = number != empty
     upto = np.concatenate([[0], np.cumsum(real)])
     return coded.dictionary, number[real], upto[ends - ends[0]]
+
+
+def bounds(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes in lower case with spaces between words, begin and end of each plain word, first word by text with the total at the end).
+
+    ``raw`` holds the texts end to end, ``starts`` their offsets with the length at the end.
+    """
+    plain = _PLAIN[raw]
+    word = np.zeros(len(raw) + 2, bool)
+    word[1:-1] = plain != 0x20
+    edge = np.zeros(len(raw) + 1, bool)  # a text begins here
+    edge[starts] = True
+    begin = np.flatnonzero(word[1:-1] & (~word[:-2] | edge[:-1]))
+    end = np.flatnonzero(word[1:-1] & (~word[2:] | edge[1:])) + 1
+    return plain, begin, end, np.searchsorted(begin, starts)

@@ -59,26 +59,60 @@ def test_sql(spark, name):
     compare(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF)
 
 
-def test_line_dedup(docs, nothing):
-    got = sorted(((r.doc_id is not None, r.doc_id), r.n_units, [tuple(s) for s in r.spans], r.kept) for r in line_dedup.dedup(docs).collect())
+def brute_units(text, kind):
+    """(words, first character, last character + 1) of each unit, by definition."""
+    found = [(m.start(), m.end()) for m in WORD.finditer(low(text))]
+    words = [low(text[a:b]) for a, b in found]
+    if kind != "phrases":
+        out, at = [], 0
+        ends = [*re.finditer("\n" if kind == "lines" else "\n[\x20\x09-\x0D]*\n", text), None]
+        for m in ends:
+            stop = m.start() if m else len(text)
+            own = [w for (a, _), w in zip(found, words, strict=True) if at <= a < stop]
+            if len(own) >= line_dedup.MIN_WORDS:
+                out.append((tuple(own), at, stop + (m is not None)))
+            at = m.end() if m else stop
+        return out
+    g = [int(hashlib.md5(w.encode()).hexdigest()[:6], 16) for w in words]
+    cuts = [i + 1 for i in range(len(g)) if i + 1 == len(g) or (g[i] + 7 * g[i + 1]) % line_dedup.CUT == 0]
+    out = []
+    for s in [0, *cuts[:-1]] if g else []:
+        if e := next((c for c in cuts if c - s >= line_dedup.MIN_WORDS), None):
+            out.append((tuple(words[s:e]), found[s][0], found[e][0] if e < len(g) else len(text)))
+    return out
+
+
+def brute_line_dedup(rows, kind):
     seen, want = {}, []
-    rows = sorted(awkward(), key=lambda r: (r[0] is not None, r[0]))
-    for doc, text in ((r[0], r[1] or "") for r in rows):
-        units, spans, kept, at = text.split("\n"), [], "", 0
-        for i, unit in enumerate(units):
-            size = len(unit) + (i + 1 < len(units))
-            words = tuple(WORD.findall(low(unit)))
-            if len(words) >= line_dedup.MIN_WORDS and seen.setdefault(words, (doc, i)) != (doc, i):
-                if spans and spans[-1][1] == at:
-                    spans[-1] = (spans[-1][0], at + size)
-                else:
-                    spans.append((at, at + size))
-            else:
-                kept += text[at : at + size]
-            at += size
-        want.append(((doc is not None, doc), len(units), spans, kept))
-    assert got == sorted(want)
-    assert line_dedup.dedup(nothing).count() == 0
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        gone = np.zeros(len(text) + 1, bool)
+        runs = []
+        for words, a, b in brute_units(text, kind):
+            if seen.setdefault(words, (doc, a)) != (doc, a):
+                gone[a:b] = True
+                runs.append((a, b))
+        edge = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+        spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+        removed = sum(len(WORD.findall(low(text[a:b]))) for a, b in spans)
+        want.append((doc is None, doc, len(WORD.findall(low(text))), removed, spans, "".join(c for c, g in zip(text, gone, strict=False) if not g)))
+    return want
+
+
+@pytest.mark.parametrize("kind", ["phrases", "lines", "paragraphs"])
+def test_line_dedup(spark, docs, nothing, kind):
+    units = {"phrases": None, "lines": line_dedup.pieces(line_dedup.LINE), "paragraphs": line_dedup.pieces(line_dedup.PARAGRAPH)}[kind]
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(500)}" for _ in range(n))
+    passage, line, block = prose(60), prose(24), f"{prose(12)}\n{prose(15)}"
+    wrapped = passage.replace(" ", "\n", 9).upper()
+    more = [(100 + i, f"{prose(40)} {p} {prose(33)}\n{q}\n\n{block}\n \n{prose(9)}", *[None] * 6) for i, (p, q) in enumerate([(passage, line), (wrapped, line), (f"{passage} {passage}", prose(8)), (prose(60), f"{line}.")])]
+    table = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    got = [(r.doc_id is None, r.doc_id, r.n_words, r.n_removed, [tuple(s) for s in r.spans], r.kept) for r in line_dedup.dedup(table, units=units).collect()]
+    want = brute_line_dedup([(r[0], r[1] or "") for r in [*awkward(), *more]], kind)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    removed = {x[1]: x[3] for x in want}
+    assert removed[1] > 0 and (removed[101] >= 50 if kind == "phrases" else removed[101] > 0)
+    assert line_dedup.dedup(nothing, units=units).count() == 0
 
 
 def test_suffix_dedup(docs, nothing):
