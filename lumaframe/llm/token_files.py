@@ -11,6 +11,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import json
 import os
 import threading
 import zlib
@@ -41,6 +42,9 @@ BLOCKS = "part int, block int, doc_ids array<bigint>, id_null array<boolean>, n_
 #: Lengths of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
+#: Staged bytes for each task that writes blocks, at most about.
+PART_BYTES = 256_000_000
+
 #: A space not followed by a visible ASCII character, a letter or a number: texts with one aren't cut there but encoded whole.
 _UNSAFE = r" ([^!-~\pL\pN]|$)"
 #: What may follow a word's letters without a letter or number after it, and is then a piece of its own.
@@ -82,12 +86,26 @@ def byte_letters() -> np.ndarray:
     return out
 
 
+def cuttable(description: dict, added: list[str]) -> bool:
+    """Whether texts may be cut before spaces: byte-level BPE with its usual pattern, as the tokenizer's JSON says, and no added token with a space."""
+    model, first = description["model"], description.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    usual = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+    return plain and usual and not any(description.get(k) for k in ("normalizer", "truncation", "padding")) and not any(" " in t for t in added)
+
+
+def vocabulary_size(tokenizer) -> int:
+    return max(tokenizer.get_vocab().values(), default=-1) + 1
+
+
 class Encoder:
     """A byte-level BPE tokenizer that encodes each distinct word of a batch once and remembers the last ones it met.
 
     A text is cut before its spaces. The pattern of these tokenizers lets a word take one space
     before it and nothing reach across that space, so a piece gives the ids that it gives within
-    the text, as long as a visible character follows the space; other texts are encoded whole.
+    the text, as long as a visible character follows the space; other texts are encoded whole, and
+    so are texts that hold one of the tokenizer's added tokens. With any other kind of tokenizer
+    all texts are encoded whole.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -99,11 +117,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = Tokenizer(self.tokenizer.model)
-        self.tokenizer.encode_special_tokens = self.words.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts = cuttable(json.loads(self.tokenizer.to_str()), self.added)
         self.letters = byte_letters()
         space = chr(self.letters[0x20])
         self.words.pre_tokenizer = pre_tokenizers.Split(space, "merged_with_next")  # takes words spelt in byte letters
-        self.size = self.tokenizer.get_vocab_size()
+        self.size = vocabulary_size(self.tokenizer)
         self.begins = np.zeros(self.size, bool)  # ids of tokens that begin with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.begins[i] = token.startswith(space)
@@ -193,7 +212,9 @@ class Encoder:
         ``heads`` has the ids of a text's first piece, which no space precedes, or of the whole text
         where it can't be cut; in the latter case the text has no pieces.
         """
-        unsafe = pc.match_substring_regex(column, _UNSAFE).to_numpy(zero_copy_only=False).astype(bool)
+        unsafe = pc.match_substring_regex(column, _UNSAFE).to_numpy(zero_copy_only=False).astype(bool) | (not self.cuts)
+        for token in self.added if self.cuts else ():
+            unsafe |= pc.match_substring(column, token).to_numpy(zero_copy_only=False).astype(bool)
         lists = pc.split_pattern(pc.if_else(pa.array(unsafe), pa.scalar("", column.type), column), " ")
         ends = np.asarray(lists.offsets, np.int64)
         coded = lists.flatten().dictionary_encode()
@@ -289,15 +310,18 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     Texts are encoded once, into a staging table beside the blocks that is taken away at the end;
     its ids are counted (which fixes the ranks), sorted by doc_id and written as blocks. What the
     driver holds is the rank table, bounded by the vocabulary. Null text: only the end id. Null
-    doc_id: sorts first. Rows that share a doc_id are written one after the other.
+    doc_id: sorts first. Rows that share a doc_id are written one after the other, in the order of a
+    hash of their ids. doc_ids are whole numbers. Ids are those of ``encode(text, add_special_tokens=False)``:
+    the tokenizer's added tokens are recognised where a text holds them. Byte-level BPE tokenizers are
+    sped up; others give the same ids as they would alone, text by text.
     """
     from tokenizers import Tokenizer
 
     spark = documents.sparkSession
-    size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
+    size = max(vocabulary_size(Tokenizer.from_file(tokenizer)), end_id + 1)
     width = next(w for w in (1, 2, 3, 4) if size <= 1 << 8 * w)
-    encoded(documents, tokenizer, width, end_id, text, doc_id).write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{path}/staging")
-    staged = spark.read.schema("doc_id bigint, ids binary").parquet(f"{path}/staging")
+    encoded(documents, tokenizer, width, end_id, text, doc_id).withColumn("tie", F.xxhash64("ids")).write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{path}/staging")
+    staged = spark.read.schema("doc_id bigint, ids binary, tie bigint").parquet(f"{path}/staging")
     often = np.zeros(size, np.int64)
     for r in id_counts(staged, width, size).collect():
         often[r.id] = r.n
@@ -330,7 +354,9 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
         if held:
             yield close()
 
-    ordered = staged.repartitionByRange(spread(staged), "doc_id").sortWithinPartitions("doc_id")
+    # the tie lets a doc_id that many rows share, or null, be dealt to several tasks, and fixes the order of its rows
+    parts = max(spread(staged), -(-int(often.sum()) * width // PART_BYTES))
+    ordered = staged.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     ordered.mapInArrow(write, BLOCKS).write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{path}/blocks")
     staging = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/staging")
     staging.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(staging, True)

@@ -414,9 +414,11 @@ def test_token_files(spark, docs, nothing, tmp_path):
 
     path = queries.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want, at = [], 0
-    rows = sorted(awkward(), key=lambda r: (r[0] is not None, r[0] or 0))
+    marked = [(200 + i, t, *[None] * 6) for i, t in enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z  end", "a <|endoftext| > b"])]
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = docs.unionByName(spark.createDataFrame(marked, docs.schema))
+    rows = sorted([*awkward(), *marked], key=lambda r: (r[0] is not None, r[0] or 0))
     for r in rows:
         ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((r[0], at, len(ids), zlib.crc32(ids.tobytes())))
@@ -427,6 +429,19 @@ def test_token_files(spark, docs, nothing, tmp_path):
     assert token_files.round_trip(nothing, path, str(tmp_path / "none")).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts(spark, docs, tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    vocab = {w: i for i, w in enumerate(["?", "end", "alpha", "beta", "one", "two", "words", "same"])}
+    tokenizer = Tokenizer(models.WordLevel(vocab, unk_token="?"))
+    tokenizer.normalizer, tokenizer.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "words.json"))
+    token_files.write_tokens(docs, str(tmp_path / "out"), str(tmp_path / "words.json"), end_id=1)
+    want = sorted(((r[0] is None, r[0], len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes())) for r in awkward() for ids in [tokenizer.encode(r[1] or "").ids]), key=repr)
+    found = token_files.read_tokens(spark, str(tmp_path / "out")).collect()
+    assert sorted(((r.doc_id is None, r.doc_id, r.n_tokens, r.ids_crc32) for r in found), key=repr) == want
+
+
 def test_variable_length_code():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
