@@ -2,7 +2,7 @@
 
 Tokens are words, lower-cased, with one end token for each document. All training tokens are
 counted. The most frequent words make the vocabulary of a recurrent network with an update gate
-(h = z h + (1 - z) tanh(..., z h)). The output softmax is factored in classes: first the class, then
+(h = z h + (1 - z) tanh(...)). The output softmax is factored in classes: first the class, then
 the word in its class. Classes of frequent words have a softmax of their own. All other words fall
 into classes by their letters and count, in which a word has its share of the class's counts, with
 half a count added for each word and for words never met, as in the base model. So the model spreads
@@ -10,10 +10,16 @@ its probability over the same words as the base model does, and learns when to e
 
 The head of the counts, of bounded size, is sent to every task. The shares of words outside it do
 not depend on the network's state, so they are found by joining their occurrences with the counts.
-
-Training is truncated backpropagation through windows, in numpy, in every task over its own share of
-the training documents; the tasks' parameters are averaged in a tree of Spark aggregations, and the
-average starts the next round. The rounds together cover every training document once. Scoring carries the state of a document from window to window to its end.
+Texts are turned into model numbers once, two bytes a token, and written to the shared folder;
+training and scoring read these.
+
+Training is truncated backpropagation through windows, in numpy. The training documents are dealt by
+a hash of their doc_id and text to shards of about SHARD_TOKENS tokens, whatever the cluster's
+partitions. A shard's documents stand end to end in BATCH streams of one length, which are worked on
+side by side, window by window: every token of every training document is learned from once, none
+twice. The shards' parameters are averaged in a tree of Spark aggregations, and the average starts
+the next round; the rounds deal the documents out among them. Scoring carries the state of a
+document from window to window to its end.
 """
 
 from __future__ import annotations
@@ -23,12 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import cut, top_rows
+from lumaframe.llm.common import cut, top_rows, written
 from lumaframe.llm.words import numbered
 
 FOLDS, HELD_OUT = 5, 1
@@ -40,17 +45,19 @@ RARE = KINDS * (LEVELS + 1)
 STATE = 16
 #: The rounds deal the training documents out among them: each is trained on once.
 ROUNDS = 2
-WINDOW, BATCH = 24, 48
+WINDOW, BATCH = 24, 256
 RATE = 0.02
+#: Tokens of a shard, about; each shard is trained on by one task.
+SHARD_TOKENS = 3_000_000
 #: Words whose counts are sent to every task.
 HEAD = 120_000
 #: Distinct words that a task counts before it sends them on.
 FLUSH = 300_000
 END = "\n"
-#: Texts are worked on in groups of about so many bytes, side by side.
-GROUP_BYTES = 40_000_000
-#: Rows of class scores that are worked on together.
-STEP = 1 << 16
+#: Texts are worked on in groups of about so many bytes; so many documents are scored side by side.
+GROUP_BYTES, SIDE = 12_000_000, 4096
+#: Rows of class scores that are worked on together: they stay in a processor's cache.
+STEP = 1 << 12
 #: Partial averages that reach the driver in a round.
 SHARDS = 8
 
@@ -76,7 +83,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return out
 
         for b in batches:
-            for _, texts in groups(b.column(0), 12_000_000):
+            for _, texts in groups(b.column(0)):
                 words, number, _ = numbered(texts, plain=False)
                 often = np.bincount(number, minlength=len(words))
                 for w, n in zip(words.to_pylist(), often.tolist(), strict=True):
@@ -109,6 +116,7 @@ class Vocabulary:
 
     def __init__(self, head: list[tuple[str, int]], beyond: dict[int, tuple[int, int]]) -> None:
         self.counts = dict(head)
+        self._head: tuple | None = None
         own = [w for w, _ in head if w != END][: FREQUENT - 1] + [END]
         self.own_classes = FREQUENT // CLASS_WORDS
         self.classes = self.own_classes + RARE
@@ -146,134 +154,200 @@ class Vocabulary:
         rare = (kind >= self.own_classes) & (count > 0)
         return np.where(rare, np.log10((count + 0.5) / self.mass[kind]), 0.0)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(model number, count in the head, first token by text) of all tokens, each text with its end token."""
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(model number, count in the head) of distinct words."""
+        if self._head is None:
+            names = list(self.counts)
+            self._head = pa.array(names, pa.large_string()), np.fromiter(map(self.of, names), np.int32, len(names)), np.fromiter(self.counts.values(), np.int64, len(names))
+        names, number, count = self._head
+        at = pc.index_in(words, names)
+        outside = np.asarray(at.is_null())
+        at = np.asarray(at.fill_null(0))
+        ids, often = (number[at], count[at]) if len(number) else (np.zeros(len(at), np.int32), np.zeros(len(at), np.int64))
+        away = np.flatnonzero(outside)
+        ids[away] = [self.of(w) for w in words.take(pa.array(away)).to_pylist()]
+        often[away] = 0
+        return ids, often
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """(model number, count in the head, first token by text) of all tokens, each text with its end token; and the
+        words outside the head as (words, text, word's number) of each occurrence."""
         words, number, starts = numbered(texts, plain=False)
-        known = words.to_pylist()
-        ids = np.fromiter(map(self.of, known), np.int32, len(known))
-        count = np.fromiter((self.counts.get(w, 0) for w in known), np.int64, len(known))
+        ids, count = self.numbers(words)
         ends = starts[1:] + np.arange(len(texts))
         inside = np.ones(len(number) + len(texts), bool)
         inside[ends] = False
-        out_ids, out_count = np.empty(len(inside), np.int32), np.empty(len(inside), np.int64)
+        out_ids, out_count = np.empty(len(inside), np.uint16), np.empty(len(inside), np.int64)
         out_ids[inside], out_count[inside] = ids[number], count[number]
         out_ids[ends], out_count[ends] = self.of(END), self.counts.get(END, 0)
-        return out_ids, out_count, np.concatenate([[0], ends + 1])
+        away = np.flatnonzero((count == 0)[number])
+        return out_ids, out_count, np.concatenate([[0], ends + 1]), (words, np.searchsorted(starts, away, side="right") - 1, number[away])
+
+
+def softmax(H: np.ndarray, C: np.ndarray) -> np.ndarray:
+    """Probabilities from states and a constant one (rows of ``H``).
+
+    States lie between -1 and 1, so the weights bound the scores, and one shift for all rows keeps
+    the exponentials in range; only with very large weights is each row shifted by its own maximum.
+    """
+    s = H @ C
+    reach = np.abs(C[:-1]).sum(0)
+    if 2 * reach.max(initial=0) < 60:
+        s -= (C[-1] + reach).max()
+    else:
+        s -= s.max(1, keepdims=True)
+    np.exp(s, out=s)
+    s *= (1 / (s @ np.ones(C.shape[1], s.dtype)))[:, None]
+    return s
 
 
 class Model:
-    """Parameters and passes of the network; all arrays are 32-bit floats."""
+    """Parameters and passes of the network: one array of 32-bit floats, and views of its parts."""
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         classes, self.own = vocabulary.classes, vocabulary.own_classes
         self.start = vocabulary.of(END)
-        inputs = classes * CLASS_WORDS
         c, v = vocabulary.biases()
-        self.p = {
-            "E": rng.normal(0, 0.1, (inputs, 2 * STATE)),  # what an input word adds to gate and candidate
+        parts = {
+            "E": rng.normal(0, 0.1, (classes * CLASS_WORDS, 2 * STATE)),  # what an input word adds to gate and candidate
             "U": rng.normal(0, 0.2, (STATE, 2 * STATE)),
-            "b": np.concatenate([np.ones(STATE), np.zeros(STATE)]),
-            "C": np.zeros((STATE, classes)),
-            "c": c,
-            "V": np.zeros((classes, STATE, CLASS_WORDS)),
-            "v": v,
+            "b": np.concatenate([np.full(STATE, 0.5), np.zeros(STATE)]),
+            "C": np.concatenate([np.zeros((STATE, classes)), c[None]]),  # the last row meets a state of one
+            "V": np.concatenate([np.zeros((self.own, STATE, CLASS_WORDS)), v[: self.own, None]], 1),
         }
-        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
+        self.shapes = {k: x.shape for k, x in parts.items()}
+        self.flat = np.concatenate([x.ravel() for x in parts.values()]).astype(np.float32)
 
+    @property
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+        return self._flat
+
+    @flat.setter
+    def flat(self, flat: np.ndarray) -> None:
+        self._flat = flat
+        self.p = self.views(flat)
+
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for k, shape in self.shapes.items():
+            n = int(np.prod(shape))
+            out[k] = flat[at : at + n].reshape(shape)
+            at += n
+        return out
 
     def load(self, flat: np.ndarray) -> Model:
-        at = 0
-        for k in sorted(self.p):
-            n = self.p[k].size
-            self.p[k] = flat[at : at + n].reshape(self.p[k].shape).astype(np.float32)
-            at += n
+        self.flat = flat.astype(np.float32)
         return self
 
-    def run(self, words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """States before each word, and gates and candidates, for (batch, window) inputs from the states ``h``."""
-        n, steps = words.shape
-        before, gates, cands = (np.empty((steps, n, STATE), np.float32) for _ in range(3))
-        x = self.p["E"][words.T] + self.p["b"]
+    def run(self, words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(states before each word, gates, candidates, last states) for (window, batch) inputs from the states ``h``.
+
+        The end token as an input begins a document: the state before it is zero. The gate's logistic
+        curve is a hyperbolic tangent too, so both are found together.
+        """
+        steps, n = words.shape
+        x = self.p["E"][words]
+        x += self.p["b"]
+        before, gates = np.empty((steps, n, STATE), x.dtype), np.empty((steps, n, STATE), x.dtype)
+        keep = (words != self.start).astype(x.dtype)[:, :, None]
         U = self.p["U"]
         for t in range(steps):
-            before[t] = h
+            hb = np.multiply(h, keep[t], out=before[t])
             a = x[t]
-            z = 1 / (1 + np.exp(-(a[:, :STATE] + h @ U[:, :STATE])))
-            g = np.tanh(a[:, STATE:] + (z * h) @ U[:, STATE:])
-            h = z * h + (1 - z) * g
-            gates[t], cands[t] = z, g
-        return before, gates, cands, h
-
-    def loss_and_gradient(self, words: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """Backpropagation through one window: ``targets`` follow the states reached after ``words``."""
-        p, (n, steps) = self.p, words.shape
+            a += hb @ U
+            np.tanh(a, out=a)
+            z, g = gates[t], a[:, STATE:]
+            np.multiply(a[:, :STATE], 0.5, out=z)
+            z += 0.5
+            h = hb - g
+            h *= z
+            h += g
+        return before, gates, x[:, :, STATE:], h
+
+    def loss_and_gradient(self, words: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Backpropagation through one (batch, window): ``targets`` follow the states reached after ``words``."""
+        loss, flat, last = self.gradient(words.T, targets.T, mask.T, h)
+        return loss, self.views(flat), last
+
+    def gradient(self, words: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The same for (window, batch), as one flat array."""
+        p, (steps, n) = self.p, words.shape
         before, gates, cands, last = self.run(words, h)
-        after = np.concatenate([before[1:], last[None]])
-        H, y, m = after.reshape(-1, STATE), targets.T.ravel(), mask.T.ravel()
-        live = np.flatnonzero(m)
-        Hl, yl = H[live], y[live]
-        kind, place = yl // CLASS_WORDS, yl % CLASS_WORDS
-        total = max(1, len(live))
-        grad = {k: np.zeros_like(x) for k, x in p.items()}
-        s = Hl @ p["C"] + p["c"]
-        s = np.exp(s - s.max(1, keepdims=True))
-        s /= s.sum(1, keepdims=True)
-        loss = -np.log(s[np.arange(len(yl)), kind] + 1e-9).sum()
-        s[np.arange(len(yl)), kind] -= 1
-        s /= total
-        grad["C"], grad["c"] = Hl.T @ s, s.sum(0)
+        after = np.ones((steps, n, STATE + 1), before.dtype)
+        inner = after[:, :, :STATE]
+        np.subtract(before, cands, out=inner)
+        np.multiply(inner, gates, out=inner)
+        np.add(inner, cands, out=inner)
+        y, m = targets.ravel(), mask.ravel()
+        total = max(1, int(m.sum()))
+        kind = np.where(m, y // CLASS_WORDS, -1).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(-1, self.own + 1))
+        live = order[cuts[1] :]
+        flat = np.zeros_like(self.flat)
+        grad = self.views(flat)
+        Hl, kl, pl = after.reshape(-1, STATE + 1)[live], kind[live], (y % CLASS_WORDS)[live]
+        at = np.arange(len(live))
+        s, loss = softmax(Hl, p["C"]), 0.0
+        loss -= np.log(s[at, kl] + 1e-9).sum()
+        s[at, kl] -= 1
+        grad["C"][...] = Hl.T @ s
         dHl = s @ p["C"].T
-        for k in np.unique(kind[kind < self.own]).tolist():
-            own = np.flatnonzero(kind == k)
-            w = Hl[own] @ p["V"][k] + p["v"][k]
-            w = np.exp(w - w.max(1, keepdims=True))
-            w /= w.sum(1, keepdims=True)
-            loss -= np.log(w[np.arange(len(own)), place[own]] + 1e-9).sum()
-            w[np.arange(len(own)), place[own]] -= 1
-            w /= total
-            grad["V"][k], grad["v"][k] = Hl[own].T @ w, w.sum(0)
-            dHl[own] += w @ p["V"][k].T
-        dH = np.zeros_like(H)
-        dH[live] = dHl
+        for k in range(self.own):
+            a, b = cuts[k + 1] - cuts[1], cuts[k + 2] - cuts[1]
+            if a == b:
+                continue
+            own, place = Hl[a:b], pl[a:b]
+            w = softmax(own, p["V"][k])
+            loss -= np.log(w[at[: b - a], place] + 1e-9).sum()
+            w[at[: b - a], place] -= 1
+            grad["V"][k] = own.T @ w
+            dHl[a:b] += w @ p["V"][k].T
+        flat /= total
+        dHl /= total
+        dH = np.zeros((steps * n, STATE), before.dtype)
+        dH[live] = dHl[:, :STATE]
         dH = dH.reshape(steps, n, STATE)
-        back = np.zeros((n, STATE), np.float32)
-        dx = np.empty((steps, n, 2 * STATE), np.float32)
-        U = p["U"]
+        keep = (words != self.start).astype(before.dtype)[:, :, None]
+        to_gate = 2 * (before - cands) * gates * (1 - gates)
+        to_cand = (1 - gates) * (1 - cands * cands)
+        back = np.zeros((n, STATE), dH.dtype)
+        dx = np.empty((steps, n, 2 * STATE), dH.dtype)
+        Ut = np.ascontiguousarray(p["U"].T)
         for t in range(steps - 1, -1, -1):
-            d = back + dH[t]
-            z, g, hb = gates[t], cands[t], before[t]
-            dg = d * (1 - z) * (1 - g * g)
-            dzh = dg @ U[:, STATE:].T
-            dz = (d * (hb - g) + dzh * hb) * z * (1 - z)
-            back = d * z + dzh * z + dz @ U[:, :STATE].T
-            dx[t, :, :STATE], dx[t, :, STATE:] = dz, dg
-            grad["U"][:, :STATE] += hb.T @ dz
-            grad["U"][:, STATE:] += (z * hb).T @ dg
-        grad["b"] = dx.sum((0, 1))
-        np.add.at(grad["E"], words.T.ravel(), dx.reshape(-1, 2 * STATE))
-        return float(loss), grad, last
+            d = dH[t]
+            d += back
+            da = dx[t]
+            np.multiply(d, to_gate[t], out=da[:, :STATE])
+            np.multiply(d, to_cand[t], out=da[:, STATE:])
+            d *= gates[t]
+            d += da @ Ut
+            back = d * keep[t]
+        dx = dx.reshape(-1, 2 * STATE)
+        grad["U"][...] = before.reshape(-1, STATE).T @ dx
+        grad["b"][...] = dx.sum(0)
+        place = words.reshape(-1, 1).astype(np.int64) * (2 * STATE) + np.arange(2 * STATE)
+        grad["E"][...] = np.bincount(place.ravel(), weights=dx.ravel(), minlength=p["E"].size).reshape(p["E"].shape)
+        return float(loss), flat, last
 
     def log10(self, H: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 probabilities of target words (of words in the other classes: of their class) after the states ``H``."""
-        kind, place = target // CLASS_WORDS, target % CLASS_WORDS
-        s = H @ self.p["C"]
-        s += self.p["c"]
-        s -= s.max(1, keepdims=True)
-        out = s[np.arange(len(kind)), kind] - np.log(np.exp(s, out=s.copy()).sum(1))
-        order = np.argsort(kind.astype(np.int16), kind="stable")
+        kind = (target // CLASS_WORDS).astype(np.int16)
+        place = target % CLASS_WORDS
+        out = np.empty(len(kind), np.float64)
+        H = np.concatenate([H, np.ones((len(H), 1), H.dtype)], 1)
+        for a in range(0, len(H), STEP):
+            s = softmax(H[a : a + STEP], self.p["C"])
+            out[a : a + STEP] = s[np.arange(len(s)), kind[a : a + STEP]]
+        order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(self.own + 1))
         for k in range(self.own):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                w = H[own] @ self.p["V"][k]
-                w += self.p["v"][k]
-                w -= w.max(1, keepdims=True)
-                hit = w[np.arange(len(own)), place[own]]
-                out[own] += hit - np.log(np.exp(w, out=w).sum(1))
-        return out.astype(np.float64) / np.log(10)
+            for a in range(cuts[k], cuts[k + 1], STEP):
+                own = order[a : min(a + STEP, cuts[k + 1])]
+                w = softmax(H[own], self.p["V"][k])
+                out[own] *= w[np.arange(len(own)), place[own]]
+        return np.log10(np.maximum(out, 1e-300))
 
     def documents(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each document: all side by side, window by window, the state carried to each one's end."""
@@ -281,57 +355,60 @@ class Model:
         order = np.argsort(-lengths, kind="stable")
         total = np.zeros(len(lengths))
         h = np.zeros((len(lengths), STATE), np.float32)
-        last = np.full(len(lengths), self.start)
+        last = np.full(len(lengths), self.start, ids.dtype)
         at = 0
         while len(order) and at < lengths[order[0]]:
             live = order[: int(np.searchsorted(-lengths[order], -at))]
-            span = np.arange(at, min(at + 2 * WINDOW, int(lengths[order[0]])))
-            place = starts[live][:, None] + span
-            real = span < lengths[live][:, None]
-            targets = ids[np.where(real, place, 0)]
-            inputs = np.concatenate([last[live][:, None], targets[:, :-1]], 1)
-            before, _, _, end = self.run(inputs, h[: len(live)])
+            span = np.arange(at, min(at + 2 * WINDOW, int(lengths[order[0]])))[:, None]
+            real = span < lengths[live]
+            targets = ids[np.where(real, starts[live] + span, 0)]
+            inputs = np.concatenate([last[live][None], targets[:-1]])
+            before, gates, cands, end = self.run(inputs, h[: len(live)])
             h[: len(live)] = end
-            last[live] = targets[:, -1]
-            after = np.concatenate([before[1:], end[None]]).transpose(1, 0, 2)[real]
-            found = np.concatenate([self.log10(after[a : a + STEP], targets[real][a : a + STEP]) for a in range(0, len(after), STEP)])
-            total += np.bincount(np.repeat(live, real.sum(1)), weights=found, minlength=len(total))
+            last[live] = targets[-1]
+            after = np.concatenate([before[1:], end[None]])[real]
+            found = self.log10(after, targets[real])
+            total += np.bincount(np.broadcast_to(live, real.shape)[real], weights=found, minlength=len(total))
             at += len(span)
         return total
 
-    def train(self, ids: np.ndarray, starts: np.ndarray, adam: Adam) -> int:
-        """One pass over documents, BATCH of like length side by side; the tokens learned from."""
-        lengths, seen = np.diff(starts), 0
-        order = np.argsort(lengths, kind="stable")
-        lots = [order[a : a + BATCH] for a in range(0, len(order), BATCH)]
-        for i in np.random.default_rng(len(order)).permutation(len(lots)).tolist():
-            lot = lots[i]
-            h, last = np.zeros((len(lot), STATE), np.float32), np.full(len(lot), self.start)
-            for at in range(0, int(lengths[lot].max()), WINDOW):
-                span = np.arange(at, at + WINDOW)
-                real = span < lengths[lot][:, None]
-                targets = ids[np.where(real, starts[lot][:, None] + span, 0)]
-                inputs = np.concatenate([last[:, None], targets[:, :-1]], 1)
-                _, grad, h = self.loss_and_gradient(inputs, targets, real, h)
-                adam.step(self.p, grad)
-                last = targets[:, -1]
-                seen += int(real.sum())
-        return seen
+    def train(self, ids: np.ndarray, adam: Adam) -> int:
+        """One pass over documents that stand end to end, each with its end token, in BATCH streams side by side; the tokens learned from."""
+        n = min(BATCH, len(ids))
+        steps = -(-len(ids) // max(1, n))
+        stream = np.full(n * steps, self.start, ids.dtype)
+        stream[: len(ids)] = ids
+        real = np.arange(n * steps) < len(ids)
+        stream, real = stream.reshape(n, steps).T, real.reshape(n, steps).T
+        before = np.concatenate([[self.start], stream[-1, :-1]]) if n else np.zeros(0, ids.dtype)
+        inputs = np.concatenate([before[None].astype(ids.dtype), stream[:-1]])
+        h = np.zeros((n, STATE), np.float32)
+        for at in range(0, steps, WINDOW):
+            part = slice(at, min(at + WINDOW, steps))
+            _, grad, h = self.gradient(inputs[part], stream[part].astype(np.int64), real[part], h)
+            adam.step(self.flat, grad)
+        return int(real.sum())
 
 
 class Adam:
-    def __init__(self, p: dict[str, np.ndarray]) -> None:
-        self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    def __init__(self, flat: np.ndarray) -> None:
+        self.m, self.v, self.t, self.room = np.zeros_like(flat), np.zeros_like(flat), 0, np.empty_like(flat)
 
-    def step(self, p: dict[str, np.ndarray], grad: dict[str, np.ndarray]) -> None:
+    def step(self, flat: np.ndarray, grad: np.ndarray) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        scale = min(1.0, 1.0 / (norm + 1e-9))
-        for k, g in grad.items():
-            g = g * scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            p[k] -= RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
+        norm = float(np.sqrt(np.dot(grad, grad)))
+        grad *= min(1.0, 1.0 / (norm + 1e-9))
+        self.m *= 0.9
+        self.m += np.multiply(grad, 0.1, out=self.room)
+        self.v *= 0.99
+        grad *= grad
+        self.v += np.multiply(grad, 0.01, out=self.room)
+        np.sqrt(self.v, out=self.room)
+        self.room *= float(1 / np.sqrt(1 - 0.99**self.t))
+        self.room += 1e-6
+        np.divide(self.m, self.room, out=self.room)
+        self.room *= RATE / (1 - 0.9**self.t)
+        flat -= self.room
 
 
 def average(rows: DataFrame) -> tuple[np.ndarray | None, int]:
@@ -351,30 +428,85 @@ def average(rows: DataFrame) -> tuple[np.ndarray | None, int]:
     return (sum(np.frombuffer(r.flat, np.float32).astype(np.float64) * (r.tokens / tokens) for r in parts) if tokens else None), tokens
 
 
-def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
-    """Train on (doc_id, text): in each round, every task on another share of its documents, from the last round's mean; no document is left out."""
-    model = Model(vocabulary)
-    shared = training.sparkSession.sparkContext.broadcast(vocabulary)
+CODED = "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, n_head bigint, base double, share double, ids binary, tail array<struct<word:string,times:int>>"
+
+
+def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, first number by row with the total at the end) of a binary column of 16-bit numbers."""
+    ids = [np.frombuffer(x.as_buffer(), "<u2") for x in column]
+    return np.concatenate([np.zeros(0, "<u2"), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+
+
+def coded(slim: DataFrame, shared, whole: float) -> DataFrame:
+    """(doc_id, text, held_out, key) as CODED: each whole text in model numbers, and the words outside the head that it has.
+
+    ``base`` and ``share`` sum the base model's and the classes' shares over the words of the head.
+    """
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, kind = shared.value, pa.struct([("word", pa.string()), ("times", pa.int32())])
+        for b in batches:
+            for first, texts in groups(b.column(1)):
+                ids, count, starts, (words, text, number) = vocabulary.encode(texts)
+                add = lambda x, at=starts: np.add.reduceat(x, at[:-1])
+                known = count > 0
+                base = np.zeros(len(count))
+                base[known] = np.log10((count[known] + 0.5) / whole)
+                pair, times = np.unique(text * np.int64(len(words) + 1) + number, return_counts=True)
+                cut = np.searchsorted(pair // (len(words) + 1), np.arange(len(texts) + 1))
+                tail = pa.StructArray.from_arrays([words.take(pa.array(pair % (len(words) + 1))).cast(pa.string()), pa.array(times.astype(np.int32))], fields=list(kind))
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((2 * starts).astype(np.int64)), pa.py_buffer(ids.astype("<u2").tobytes())])
+                own = b.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(2), own.column(3), pa.array(np.diff(starts)), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(vocabulary.shares(ids.astype(np.int64), count))), raw.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), tail)],
+                    ["doc_id", "held_out", "key", "n_tokens", "n_head", "base", "share", "ids", "tail"],
+                )
+
+    return slim.select("doc_id", "text", "held_out", "key").mapInArrow(code, CODED)
+
+
+def train(coded_texts: DataFrame, shared, vocabulary: Vocabulary, tokens: int) -> Model:
+    """Train on CODED rows: in each round, every shard on its own documents of this round, from the last round's mean; no document is left out."""
+    model, shards = Model(vocabulary), max(1, -(-tokens // SHARD_TOKENS))
+    dealt = coded_texts.select("ids", "key", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)).cast("int").alias("task"), F.pmod(F.xxhash64("key", F.lit("round")), F.lit(ROUNDS)).alias("round"))
     for k in range(ROUNDS):
-        flat = model.flat()
+        flat = model.flat
 
         def learn(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
-            own = Model(shared.value).load(flat)
-            adam, seen = Adam(own.p), 0
-            for b in batches:
-                for _, texts in groups(b.column(0)):
-                    ids, _, starts = shared.value.encode(texts)
-                    seen += own.train(ids, starts, adam)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], ["task", "tokens", "flat"])
-
-        share = training.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(ROUNDS)) == k)
-        mean, _ = average(share.select("text").mapInArrow(learn, "task int, tokens bigint, flat binary"))
+            held: list[np.ndarray] = []
+            now = None
+
+            def close() -> pa.RecordBatch:
+                own = Model(shared.value).load(flat)
+                seen = own.train(np.concatenate(held), Adam(own.flat))
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([seen], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], ["task", "tokens", "flat"])
+
+            for b in batches:  # shard after shard
+                for ids, task in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    if held and task != now:
+                        yield close()
+                    now = task
+                    held.append(np.frombuffer(ids.as_buffer(), "<u2"))
+            if held:
+                yield close()
+
+        own = dealt.where(F.col("round") == k).select("ids", "task", "key")
+        share = own.repartitionById(shards, "task").sortWithinPartitions("task", "key").select("ids", "task")
+        mean, _ = average(share.mapInArrow(learn, "task int, tokens bigint, flat binary"))
         if mean is not None:
             model.load(mean)
     return model
 
 
+def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
+    """Code and train on (doc_id, text)."""
+    shared = training.sparkSession.sparkContext.broadcast(vocabulary)
+    slim = training.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(False).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
+    texts = written(coded(slim, shared, 1.0))
+    return train(texts, shared, vocabulary, texts.agg(F.sum("n_tokens")).first()[0] or 0)
+
+
 def score_documents(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score, both log10 probabilities of the whole text.
 
@@ -393,38 +525,21 @@ def score_documents(documents: DataFrame, text: str = "text", doc_id: str = "doc
     outside = counts.where(F.col("n") < least)
     beyond = {r.kind: (r.words, r.tokens) for r in outside.groupBy("kind").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect()}
     vocabulary = Vocabulary(head, beyond)
-    model = fit(training, vocabulary)
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast((vocabulary, model))
     whole = float(tokens + 0.5 * (distinct + 1))
+    context = documents.sparkSession.sparkContext
+    texts = written(coded(slim, context.broadcast(vocabulary), whole))
+    model = train(texts.where("NOT held_out"), context.broadcast(vocabulary), vocabulary, tokens)
+    sent = context.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = sent.value
         for b in batches:
-            for first, texts in groups(b.column(1)):
-                ids, count, starts = vocabulary.encode(texts)
-                sums = model.documents(ids, starts)
-                add = lambda x: np.add.reduceat(x, starts[:-1])
-                sums = sums + add(vocabulary.shares(ids, count))
-                base = add(np.where(count > 0, np.log10((count + 0.5) / whole), 0.0))
-                own = b.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), pa.array(np.diff(starts)), pa.array(add((count > 0).astype(np.int64))), pa.array(base), pa.array(sums)], ["doc_id", "held_out", "key", "n_tokens", "n_head", "base_head", "score_head"])
+            for first in range(0, b.num_rows, SIDE):
+                own = b.slice(first, SIDE)
+                ids, starts = packed(own.column(6))
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(6)), pa.array(sent.value.documents(ids, starts) + own.column(7).to_numpy())], ["doc_id", "held_out", "key", "n_tokens", "n_head", "base_head", "score_head"])
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value[0].counts
-        for b in batches:
-            for first, texts in groups(b.column(0), 12_000_000):
-                words, number, starts = numbered(texts, plain=False)
-                known = words.to_pylist()
-                out = np.fromiter((w not in counts for w in known), bool, len(known))
-                doc = np.repeat(np.arange(len(texts)), np.diff(starts))
-                some = out[number]
-                pair, n = np.unique(doc[some] * len(words) + number[some], return_counts=True)
-                keys = b.column(1).slice(first, len(texts)).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(keys[pair // max(1, len(words))]), words.take(pa.array(pair % max(1, len(words)))).cast(pa.string()), pa.array(n.astype(np.int32))], ["key", "word", "times"])
-
-    scored = slim.select("doc_id", "text", "held_out", "key").mapInArrow(score, "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, n_head bigint, base_head double, score_head double")
-    tail = slim.select("text", "key").mapInArrow(rest, "key bigint, word string, times int")
+    scored = texts.select("doc_id", "held_out", "key", "n_tokens", "n_head", "base", "ids", "share").mapInArrow(score, "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, n_head bigint, base_head double, score_head double")
+    tail = texts.select("key", F.explode("tail").alias("t")).select("key", "t.word", "t.times")
     found = tail.join(outside.select(F.col("word").alias("_word"), "n"), tail["word"] == F.col("_word"), "left")
     n = F.coalesce("n", F.lit(0))
     mass = F.create_map(*[F.lit(x) for k in range(KINDS) for x in (k, float(vocabulary.mass[vocabulary.own_classes + k]))])
