@@ -209,12 +209,17 @@ def salted(node: str) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")
 
 
+def all_salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+
+
 def unsettled(groups: DataFrame, labels: DataFrame, done: int) -> DataFrame:
     """The rows of groups that lie in more than one component and have members beyond the first ``done`` + 1, with components."""
     named = labels.select(F.col("node").alias("_node"), "component")
-    placed = groups.join(named, groups["rep"] == named["_node"], "left").select("group", "rep", "alike", F.coalesce("component", "rep").alias("component"))
+    placed = groups.join(named, groups["rep"] == named["_node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("_node")
     mixed = placed.groupBy("group").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n"))
-    return placed.join(mixed.where((F.col("_low") != F.col("_high")) & (F.col("_n") > done + 1)).select("group"), "group")
+    open_ = mixed.where((F.col("_low") != F.col("_high")) & (F.col("_n") > done + 1)).select("group", all_salts())
+    return placed.withColumn("_salt", salted("rep")).join(open_, ["group", "_salt"])
 
 
 def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -263,12 +268,17 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     * In each bucket of a band, all members are compared with the first. Those links give components.
     * Buckets whose members are not all in one component are looked at again, with their first 7,
       63, 511, ... members against later ones of other components, until each is in one component or
-      all its pairs across components have been dealt with. A pair is compared unless the shingles
-      that each shares with any other component are too few for the similarity, or their
-      similarities to the bucket's first differ by more than the triangle inequality (of one less
-      the similarity) lets a link have. Large
-      buckets with the same first member are dealt with together. So no pair that could join two
-      components is left out, and large buckets of true duplicates are never expanded into pairs.
+      all its pairs across components have been dealt with. Members with the fewest shingles of
+      their own come first: they lie in the middle of a group, so most others join them at once. A
+      pair is compared unless the shingles that each shares with any other component are too few
+      for the similarity, or their similarities to the bucket's first differ by more than the
+      triangle inequality (of one less the similarity) lets a link have. Large buckets with the same
+      first member are dealt with together, and a group's members are dealt to SALTS keys. So no
+      pair that could join two components is left out, and large buckets of true duplicates are
+      never expanded into pairs.
+
+    Links are verified on 32-bit hashes of the shingles: two shingles of a pair fall together by chance
+    once in 4 billion. doc_ids are whole numbers.
 
     Null and empty texts, and texts without words, are in a class of their own. A null doc_id stays
     null; its row is known by a hash of its text, as a negative class id. Rows that share a doc_id
@@ -295,17 +305,22 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     group = F.when(F.col("n") > LARGE, F.xxhash64(F.lit(-1), "lead")).otherwise(F.xxhash64("band", "hash"))
     groups = members.where("n > 2 AND rep <> lead").select(group.alias("group"), "lead", "rep").distinct()
     groups = written(groups.join(led, (groups["lead"] == led["a"]) & (groups["rep"] == led["b"])).select("group", "rep", "alike"))
-    done, upto, shared = 0, MORE - 1, None
-    while True:
+    first = written(unsettled(groups, labels, 0))
+    if not empty(first):
+        # a document that shares too few of its shingles with any other component is in no link that matters
+        shared = shared_shingles(sets, first).where(F.col("common") >= similarity * F.col("size") - 1e-9)
+        groups = written(groups.join(shared, "rep").withColumn("order", F.struct(F.col("size") - F.col("common"), "rep")))
+    done, upto = 0, MORE - 1
+    while not empty(first):
         still = written(unsettled(groups, labels, done))
         if empty(still):
             break
-        shared = written(shared_shingles(sets, still)) if shared is None else shared
-        ordered = still.join(shared, "rep").withColumn("_at", F.row_number().over(W.partitionBy("group").orderBy("rep")))
-        heads = ordered.where((F.col("_at") > done) & (F.col("_at") <= upto)).select("group", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "size", "common", "alike")], F.col("_at").alias("_head"))
+        at = F.row_number().over(W.partitionBy("group").orderBy("order"))
+        heads = still.withColumn("_at", at).where(F.col("_at") <= upto).where(F.col("_at") > done)
+        heads = heads.select("group", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "size", "common", "alike", "order")], all_salts())
         most = F.least("common", "_common")
         near = F.abs(F.col("alike") - F.col("_alike")) <= 1 - similarity + 1e-9
-        pairs = ordered.join(heads, "group").where((F.col("component") != F.col("_component")) & (F.col("_head") < F.col("_at")) & near & (most >= similarity * (F.col("size") + F.col("_size") - most) - 1e-9))
+        pairs = still.join(heads, ["group", "_salt"]).where((F.col("component") != F.col("_component")) & (F.col("_order") < F.col("order")) & near & (most >= similarity * (F.col("size") + F.col("_size") - most) - 1e-9))
         pairs = pairs.select(F.least("_rep", "rep").alias("a"), F.greatest("_rep", "rep").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
@@ -313,7 +328,7 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
         done, upto = upto, MORE * (upto + 1) - 1
         if not empty(fresh):
             labels = joined_labels(labels, fresh)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salts = all_salts()
     linked = labels.join(copies.select("rep", "first"), labels["node"] == F.col("rep"))
     leads = linked.groupBy("component").agg(F.min("first").alias("lead")).select("component", "lead", salts)
     placed = labels.withColumn("_salt", salted("node")).join(leads, ["component", "_salt"]).select(F.col("node").alias("_node"), "lead")
