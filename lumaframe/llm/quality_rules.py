@@ -23,8 +23,6 @@ SALTS = 32
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Low bits of a packed sort key that hold a window's position; longer documents take the struct form.
-POSITION_BITS = 20
 
 
 def let(value: Column, body) -> Column:
@@ -32,28 +30,51 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def window_hash(*three: Column) -> Column:
+    return F.xxhash64(*three)
+
+
 def repeat_starts(words: Column) -> Column:
     """Starts, ascending, of the 3-word windows found at least twice in the array.
 
-    The windows' hashes are packed with their positions into longs and sorted, so equal windows
-    become neighbours: n log n in the length of a document. A document with more than 2**20 words
-    sorts (hash, position) structs instead.
+    The windows' hashes are packed with their positions into longs, which take as many bits as the
+    document's length asks for, and sorted, so equal windows become neighbours: n log n in the length
+    of a document. Neighbours with one hash are compared by their words. Should windows of different
+    words have one hash, they are sorted by their words too, so the result is exact at every length.
     """
     n = F.size(words) - 2
-    at = F.sequence(F.lit(0), n - 1)
-    high, low = (F.lit(x).cast("long") for x in (~((1 << POSITION_BITS) - 1), (1 << POSITION_BITS) - 1))
+    bits = F.greatest(F.lit(1), F.ceil(F.log2(n + 1))).cast("int")
+    high = F.call_function("shiftleft", F.lit(-1).cast("long"), bits)
+    low = F.bitwise_not(high)
+
+    def three(i: Column) -> list[Column]:
+        return [F.get(words, i + k) for k in range(3)]
+
+    def alike(i: Column, j: Column) -> Column:
+        return (F.get(words, i) == F.get(words, j)) & (F.get(words, i + 1) == F.get(words, j + 1)) & (F.get(words, i + 2) == F.get(words, j + 2))
+
+    def next_one(keys: Column) -> Column:
+        """For each window: 0 if the next one has another hash, 1 if it has the same words, 2 if only the hash is the same."""
+
+        def look(k: Column, j: Column) -> Column:
+            other = F.get(keys, j + 1)
+            one_hash = k.bitwiseXOR(other).bitwiseAND(high) == 0
+            return F.when(F.coalesce(one_hash, F.lit(False)), F.when(alike(k.bitwiseAND(low).cast("int"), other.bitwiseAND(low).cast("int")), 1).otherwise(2)).otherwise(0)
+
+        return F.transform(keys, look)
 
-    def hashed(i: Column) -> Column:
-        return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    def by_words() -> Column:
+        keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.struct(*three(i)).alias("w"), i.alias("i"))))
+        same = lambda keys, k, j: F.coalesce(k["w"] == F.get(keys, j)["w"], F.lit(False))
+        return let(keys, lambda keys: F.transform(F.filter(keys, lambda k, j: same(keys, k, j - 1) | same(keys, k, j + 1)), lambda k: k["i"]))
 
-    def neighbours(keys: Column, head) -> Column:
-        return F.filter(keys, lambda k, j: F.coalesce(head(k) == head(F.get(keys, j - 1)), F.lit(False)) | F.coalesce(head(k) == head(F.get(keys, j + 1)), F.lit(False)))
+    def repeated(keys: Column) -> Column:
+        marked = lambda marks: F.filter(keys, lambda _, j: (F.get(marks, j) == 1) | F.coalesce(F.get(marks, j - 1) == 1, F.lit(False)))
+        starts = lambda marks: F.transform(marked(marks), lambda k: k.bitwiseAND(low).cast("int"))
+        return let(next_one(keys), lambda marks: F.when(F.array_contains(marks, 2), by_words()).otherwise(starts(marks)))
 
-    packed = F.sort_array(F.transform(at, lambda i: hashed(i).bitwiseAND(high).bitwiseOR(i.cast("long"))))
-    short = F.transform(let(packed, lambda keys: neighbours(keys, lambda k: F.shiftright(k, POSITION_BITS))), lambda k: k.bitwiseAND(low).cast("int"))
-    wide = F.sort_array(F.transform(at, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
-    long = F.transform(let(wide, lambda keys: neighbours(keys, lambda k: k["h"])), lambda k: k["i"])
-    return F.sort_array(F.when(n < 2, F.array().cast("array<int>")).when(n < (1 << POSITION_BITS), short).otherwise(long))
+    packed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: window_hash(*three(i)).bitwiseAND(high).bitwiseOR(i.cast("long"))))
+    return F.when(n < 2, F.array().cast("array<int>")).otherwise(F.sort_array(let(packed, repeated)))
 
 
 def covered_words(starts: Column) -> Column:

@@ -385,7 +385,10 @@ def test_darts_estimate_weighted_similarity():
     assert (sign[0] == sign[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.05)
 
 
-def test_quality_rules(docs, nothing):
+@pytest.mark.parametrize("weak", [False, True])
+def test_quality_rules(docs, nothing, weak, monkeypatch):
+    if weak:  # many windows of different words share a hash
+        monkeypatch.setattr(quality_rules, "window_hash", lambda a, b, c: quality_rules.F.shiftleft(quality_rules.F.length(a).cast("long"), 60))
     rows = quality_rules.host_quality(docs).collect()
     assert len(rows) == docs.count()
     want = Counter()
