@@ -26,11 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's ``spark.checkpoint.dir`` alone; set a folder only where none is set."""
+    """Leave the cluster's ``spark.checkpoint.dir`` alone; a folder of this machine is taken only where Spark runs in it alone."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumaframe-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="lumaframe-")
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

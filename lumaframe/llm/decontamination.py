@@ -91,7 +91,7 @@ def index(documents: DataFrame, terms: dict[bytes, int], text: str = "text", doc
 
     ``doc_starts`` are the documents' first positions in the segment, with the segment's length at
     the end; ``positions`` holds the terms' lists one after the other, ascending, from
-    ``list_starts``. A null text has no words; a null doc_id becomes -1.
+    ``list_starts``. A null text has no words.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def index(documents: DataFrame, terms: dict[bytes, int], text: str = "text", doc
                 words = words_of(body)
                 if ids and size + len(words) > SEGMENT_WORDS:
                     yield close()
-                ids.append(-1 if key is None else key)
+                ids.append(key)
                 runs.append(np.fromiter((get(w, -1) for w in words), np.int32, len(words)))
                 size += len(words)
                 starts.append(size)
@@ -135,7 +135,7 @@ def postings(segments: DataFrame) -> DataFrame:
                 s = Segment(*(b.column(j)[i].as_py() for j in range(5)))
                 doc = np.searchsorted(s.doc_starts, s.positions, side="right") - 1
                 term = np.repeat(s.terms, np.diff(s.list_starts))
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(s.doc_ids[doc], pa.int64()), pa.array(s.positions - s.doc_starts[doc], pa.int32())], ["term", "doc_id", "position"])
+                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(s.doc_ids, pa.int64()).take(pa.array(doc)), pa.array(s.positions - s.doc_starts[doc], pa.int32())], ["term", "doc_id", "position"])
 
     return segments.mapInArrow(rows, "term int, doc_id bigint, position int")
 
@@ -162,8 +162,8 @@ def term_counts(segments: DataFrame) -> DataFrame:
 class Segment:
     """One segment's lists, with a phrase search over them."""
 
-    def __init__(self, doc_ids: list[int], doc_starts: list[int], terms: bytes, list_starts: bytes, positions: bytes) -> None:
-        self.doc_ids = np.array(doc_ids, np.int64)
+    def __init__(self, doc_ids: list[int | None], doc_starts: list[int], terms: bytes, list_starts: bytes, positions: bytes) -> None:
+        self.doc_ids = doc_ids
         self.doc_starts = np.array(doc_starts, np.int64)
         self.terms, self.list_starts, self.positions = (np.frombuffer(x, "<i4") for x in (terms, list_starts, positions))
         self._at: np.ndarray | None = None
@@ -286,7 +286,7 @@ def search(segments: DataFrame, phrases: Phrases) -> DataFrame:
                     runs[d] = (np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist())
                 n = len(seg.doc_ids)
                 cols = [
-                    pa.array(seg.doc_ids),
+                    pa.array(seg.doc_ids, pa.int64()),
                     pa.array(np.diff(seg.doc_starts)),
                     pa.array([runs.get(d, ([], []))[0] for d in range(n)], pa.list_(pa.int32())),
                     pa.array([runs.get(d, ([], []))[1] for d in range(n)], pa.list_(pa.int32())),
@@ -299,9 +299,10 @@ def search(segments: DataFrame, phrases: Phrases) -> DataFrame:
 
 
 def list_blocks(benchmark: DataFrame, block_words: int) -> int:
-    """How many blocks of about ``block_words`` words the benchmark makes."""
-    size = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "[^A-Za-z0-9]+"))
-    return -(-(benchmark.agg(F.sum(size)).first()[0] or 0) // block_words) or 1
+    """How many blocks of about ``block_words`` words, and eight times as many bytes, the benchmark makes, in whatever script."""
+    words, size = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.octet_length("text")
+    total = benchmark.agg(F.sum(F.greatest(words, F.ceil(size / 8)))).first()[0] or 0
+    return -(-int(total) // block_words) or 1
 
 
 def block_items(benchmark: DataFrame, block: int, blocks: int) -> list[tuple]:
@@ -323,13 +324,13 @@ def merge(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tup
 def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, hits (word runs inside an occurring window), items, near_items.
 
-    Null texts have no words; null doc_ids come back as null; rows that share a doc_id each have
+    doc_ids are whole numbers. Null texts have no words; null doc_ids come back as null; rows that share a doc_id each have
     their row. Items without words match nothing. An empty benchmark or table gives rows without
     hits, or none. Each block of the benchmark is indexed and searched over all documents; with more
     than one block, what the blocks found in a document is put together and joined to its rows.
     """
     blocks = list_blocks(benchmark, block_words)
-    own = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1))
+    own = F.col(doc_id).cast("bigint")
     key = own if blocks == 1 else F.xxhash64(F.col(doc_id), F.col(text))
     slim = documents.select(key.alias("doc_id"), F.col(text).alias("text"))
     found = None
@@ -356,7 +357,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
             n_hit = [sum(y - x for x, y in r) for r in runs]
             digest = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in rows["items"]]
             cols = [
-                pa.array([None if i == -1 else i for i in rows["doc_id"]], pa.int64()),
+                pa.array(rows["doc_id"], pa.int64()),
                 pa.array(rows["n_words"], pa.int64()),
                 pa.array(n_hit, pa.int64()),
                 pa.array([[{"start": x, "end": y} for x, y in r] for r in runs], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),

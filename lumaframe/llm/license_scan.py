@@ -65,48 +65,38 @@ def family(identifier: str) -> str:
 
 
 def postfix(text: str) -> list[str]:
-    """The longest beginning of ``text`` that is a licence expression, in postfix order (shunting-yard)."""
-    tokens, at = [], 0
-    while m := _TOKEN.match(text, at):
-        tokens.append(m[1])
-        at = m.end()
-    for n in range(len(tokens), 0, -1):
-        if (found := _postfix(tokens[:n])) is not None:
-            return found
-    return []
-
+    """The longest beginning of ``text`` that is a licence expression, in postfix order (shunting-yard).
 
-def _postfix(tokens: list[str]) -> list[str] | None:
+    One pass: wherever an operand or a bracket has closed everything that was open, the beginning so
+    far is an expression, and its order is what was put out plus the operators still held.
+    """
     out: list[str] = []
     held: list[str] = []
-    operand = True  # an operand or an opening bracket comes next
-    for token in tokens:
-        word = token.lower()
+    best: tuple[int, list[str]] = (0, [])  # operands and operators put out by then, operators held then
+    operand, brackets, at = True, 0, 0  # an operand or an opening bracket comes next
+    while m := _TOKEN.match(text, at):
+        token, word, at = m[1], m[1].lower(), m.end()
+        if (word in _RANK or token == ")") == operand or (token == ")" and not brackets):
+            break
         if word in _RANK:
-            if operand:
-                return None
             while held and held[-1] != "(" and _RANK[held[-1]] >= _RANK[word]:
                 out.append(held.pop())
             held.append(word)
             operand = True
         elif token == "(":
-            if not operand:
-                return None
             held.append(token)
+            brackets += 1
         elif token == ")":
-            if operand or "(" not in held:
-                return None
             while held[-1] != "(":
                 out.append(held.pop())
             held.pop()
+            brackets -= 1
         else:
-            if not operand:
-                return None
             out.append(token)
             operand = False
-    if operand or "(" in held:
-        return None
-    return out + held[::-1]
+        if not operand and not brackets:
+            best = (len(out), held[::-1])  # at most one operator of each rank is held here
+    return out[: best[0]] + best[1]
 
 
 def choices(order: list[str]) -> list[frozenset[str]]:

@@ -292,6 +292,14 @@ def test_decontamination(spark, docs, nothing):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in awkward()} - dirty
 
 
+def test_decontamination_ids_and_scripts(spark):
+    docs = spark.createDataFrame([(-1, "one two three"), (None, "one two"), (5, "日本語 の 文")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "one two"), (2, "日本語 の " * 40)], "item_id bigint, text string")
+    found = decontamination.contamination(docs, bench).collect()
+    assert sorted(((r.doc_id, r.n_hit) for r in found), key=repr) == [(-1, 2), (5, 0), (None, 2)]
+    assert decontamination.list_blocks(bench, 20) >= 4
+
+
 def test_proximity(spark):
     words = [f"w{i}" for i in range(13)]
     moved = words[:4] + ["other"] + words[4:]

@@ -18,3 +18,42 @@ def test_no_way_is_left_out(spark):
     assert sorted(row.choices) == sorted(sorted(x) for x in itertools.product(*names))
     row = license_scan.scan(spark.createDataFrame([(1, many)], "doc_id bigint, text string"), ways=False).first()
     assert row.labels == sorted(f"{k}{i}" for k in "xy" for i in range(40)) and row.choices is None
+
+
+def shorter_and_shorter(text):
+    """The longest beginning that is an expression, by trying every beginning with a recursive reader."""
+    tokens, at = [], 0
+    while m := license_scan._TOKEN.match(text, at):
+        tokens.append(m[1])
+        at = m.end()
+
+    def read(own, rank=1):
+        if rank == 4:
+            if own and own[0] == "(":
+                order, rest = read(own[1:])
+                return (order, rest[1:]) if order and rest and rest[0] == ")" else (None, own)
+            return ([own[0]], own[1:]) if own and own[0] not in "()" and own[0].lower() not in license_scan._RANK else (None, own)
+        order, rest = read(own, rank + 1)
+        while order and rest and license_scan._RANK.get(rest[0].lower()) == rank:
+            right, rest_ = read(rest[1:], rank + 1)
+            if right is None:
+                return None, own
+            order, rest = [*order, *right, rest[0].lower()], rest_
+        return order, rest
+
+    for n in range(len(tokens), 0, -1):
+        order, rest = read(tokens[:n])
+        if order and not rest:
+            return order
+    return []
+
+
+def test_longest_beginning():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = " ".join(rng.choice(["MIT", "GPL-2.0", "and", "OR", "with", "(", ")", "isc", "zlib"]) for _ in range(rng.randrange(12)))
+        assert license_scan.postfix(text) == shorter_and_shorter(text), text
+    long = "(" * 20000 + "MIT and " * 20000
+    assert license_scan.postfix(long) == []
