@@ -29,6 +29,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Coordinates are joined in bands of ROWS: at a similarity of 0.8 a pair shares no band once in 300,000 pairs.
 BANDS, ROWS = 24, 4
+#: Coordinates in all; four bits of each make a sketch, by which pairs far from the similarity are told.
+COORDINATES = 192
+#: A sketch may differ in so many standard deviations more coordinates than expected at the similarity asked for.
+DEVIATIONS = 4.5
 #: Texts are worked on in groups of about so many bytes.
 GROUP_BYTES = 600_000
 #: A hot bucket's rows are dealt to this many keys.
@@ -132,14 +136,38 @@ def text_groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         first = last
 
 
+def packed_sketch(found: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates to an integer."""
+    four = (mix64(found) & np.uint64(15)).reshape(len(found), -1, 16)
+    return np.bitwise_or.reduce(four << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many coordinates two sketches differ."""
+    total = F.lit(0)
+    for k in range(COORDINATES // 16):
+        x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def most_differing(similarity: float) -> float:
+    """In how many coordinates the sketches of a pair with this similarity may differ."""
+    p = (1 - similarity) * 15 / 16
+    return COORDINATES * p + DEVIATIONS * float(np.sqrt(COORDINATES * p * (1 - p)))
+
+
 def signed(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, name, gone, d1, d2, bands) for (node, text, name, gone): digests of the word sequence, and one hash for each band of the signature.
+    """(node, name, gone, d1, d2, bands, sketch) for (node, text, name, gone): digests of the word sequence, one hash for
+    each band of the signature, and the sketch.
 
     A text without words has no bands, and digests of its own.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        darts = Darts(bands * rows)
+        darts = Darts(max(COORDINATES, bands * rows))
         for b in batches:
             for first, raw, starts in text_groups(b.column(1)):
                 n = len(starts) - 1
@@ -148,13 +176,15 @@ def signed(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 has = np.bincount(owner, minlength=n) > 0
                 value = np.zeros((n, bands), np.uint64)
                 for j in range(rows):
-                    value = mix64(value * _C[0] + found[:, j::rows] + np.uint64(j))
+                    value = mix64(value * _C[0] + found[:, j : bands * rows : rows] + np.uint64(j))
                 node = b.column(0).slice(first, n)
                 own = mix64(node.to_numpy().astype(np.int64).view(np.uint64) + _C[1])
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32), value[has].reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([node, b.column(2).slice(first, n), b.column(3).slice(first, n), pa.array(np.where(has, d1, own).view(np.int64)), pa.array(np.where(has, d2, own).view(np.int64)), lists], ["node", "name", "gone", "d1", "d2", "bands"])
+                sketch = packed_sketch(found[:, :COORDINATES])
+                sketches = pa.ListArray.from_arrays(np.arange(0, sketch.size + 1, sketch.shape[1], dtype=np.int32), sketch.reshape(-1).view(np.int64))
+                yield pa.RecordBatch.from_arrays([node, b.column(2).slice(first, n), b.column(3).slice(first, n), pa.array(np.where(has, d1, own).view(np.int64)), pa.array(np.where(has, d2, own).view(np.int64)), lists, sketches], ["node", "name", "gone", "d1", "d2", "bands", "sketch"])
 
-    return texts.mapInArrow(sign, "node bigint, name bigint, gone boolean, d1 bigint, d2 bigint, bands array<bigint>")
+    return texts.mapInArrow(sign, "node bigint, name bigint, gone boolean, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -272,10 +302,11 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
       their own come first: they lie in the middle of a group, so most others join them at once. A
       pair is compared unless the shingles that each shares with any other component are too few
       for the similarity, or their similarities to the bucket's first differ by more than the
-      triangle inequality (of one less the similarity) lets a link have. Large buckets with the same
-      first member are dealt with together, and a group's members are dealt to SALTS keys. So no
-      pair that could join two components is left out, and large buckets of true duplicates are
-      never expanded into pairs.
+      triangle inequality (of one less the similarity) lets a link have, or their signatures differ
+      in so many coordinates as a pair with the similarity does once in 300,000. Large buckets with
+      the same first member are dealt with together, and a group's members are dealt to SALTS keys.
+      So large buckets of true duplicates are never expanded into pairs, nor are those of documents
+      that resemble one another less.
 
     Links are verified on 32-bit hashes of the shingles: two shingles of a pair fall together by chance
     once in 4 billion. doc_ids are whole numbers.
@@ -290,7 +321,7 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     texts = documents.select(node.alias("node"), body.alias("text"), name.alias("name"), F.col(doc_id).isNull().alias("gone"))
     known = cut(signed(texts))
     texts = texts.select("node", "text")
-    copies = known.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.min(F.struct("name", "node")).alias("first"), F.first("bands").alias("bands"))
+    copies = known.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.min(F.struct("name", "node")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     copies = cut(copies)
     rows = copies.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = rows.groupBy("band", "hash").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -309,7 +340,7 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     if not empty(first):
         # a document that shares too few of its shingles with any other component is in no link that matters
         shared = shared_shingles(sets, first).where(F.col("common") >= similarity * F.col("size") - 1e-9)
-        groups = written(groups.join(shared, "rep").withColumn("order", F.struct(F.col("size") - F.col("common"), "rep")))
+        groups = written(groups.join(shared, "rep").join(copies.select("rep", "sketch"), "rep").withColumn("order", F.struct(F.col("size") - F.col("common"), "rep")))
     done, upto = 0, MORE - 1
     while not empty(first):
         still = written(unsettled(groups, labels, done))
@@ -317,10 +348,11 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
             break
         at = F.row_number().over(W.partitionBy("group").orderBy("order"))
         heads = still.withColumn("_at", at).where(F.col("_at") <= upto).where(F.col("_at") > done)
-        heads = heads.select("group", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "size", "common", "alike", "order")], all_salts())
+        heads = heads.select("group", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "size", "common", "alike", "order", "sketch")], all_salts())
         most = F.least("common", "_common")
         near = F.abs(F.col("alike") - F.col("_alike")) <= 1 - similarity + 1e-9
-        pairs = still.join(heads, ["group", "_salt"]).where((F.col("component") != F.col("_component")) & (F.col("_order") < F.col("order")) & near & (most >= similarity * (F.col("size") + F.col("_size") - most) - 1e-9))
+        close = differing("sketch", "_sketch") <= most_differing(similarity)
+        pairs = still.join(heads, ["group", "_salt"]).where(close & (F.col("component") != F.col("_component")) & (F.col("_order") < F.col("order")) & near & (most >= similarity * (F.col("size") + F.col("_size") - most) - 1e-9))
         pairs = pairs.select(F.least("_rep", "rep").alias("a"), F.greatest("_rep", "rep").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
