@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.operators import images
+from lumaframe.operators import images, linked, metadata, mosaic, tree
 from lumaframe.sinks import lif, preview, tiff, zarr
 from lumaframe.sources import containers, pixels
 
@@ -15,13 +16,26 @@ FORMATS = {"ome-tiff": "tiff", "ometiff": "tiff", "ome.tiff": "tiff", "tiff": "t
 
 
 class Library:
-    """The containers below a path. Tables are built once and kept as long as the library."""
+    """The containers below a path. Tables are built once and kept until the library is closed."""
 
     def __init__(self, spark: SparkSession, path: str, seek: bool = False) -> None:
         self.spark = spark
         self.found = containers.containers(spark, path, seek).cache()
         self.nodes = containers.xml_nodes(self.found).cache()
         self.blocks = containers.memory_blocks(self.found)
+        self._described: DataFrame | None = None
+
+    def close(self) -> None:
+        """Let go of the tables that are kept."""
+        for table in (self.found, self.nodes, self._described):
+            if table is not None:
+                table.unpersist()
+
+    def __enter__(self) -> Library:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def children(self, uuid: str | None = None) -> DataFrame:
         return images.children(self.nodes, uuid)
@@ -29,8 +43,16 @@ class Library:
     def list_images(self) -> DataFrame:
         return images.list_images(self.nodes)
 
+    def every_image(self) -> DataFrame:
+        """All images of all files, through links, in the order of a walk through each project."""
+        return linked.every_image(self.nodes, containers.links(self.nodes)).orderBy("root", "order")
+
     def images(self) -> DataFrame:
-        return images.route(images.key_values(images.images(self.nodes, self.blocks)))
+        """The whole description of all images, described once."""
+        if self._described is None:
+            wide = metadata.shown(metadata.summary_text(metadata.describe(self.nodes, self.found, self.blocks)))
+            self._described = tree.settled(images.route(images.key_values(wide)))
+        return self._described
 
     def image(self, uuid: str) -> DataFrame:
         return self.images().where(F.col("uuid") == uuid)
@@ -38,40 +60,69 @@ class Library:
     def stats(self, share: float = 0.1) -> DataFrame:
         return pixels.channel_stats(self.images(), share)
 
-    def previews(self, height: int = 256) -> DataFrame:
-        return preview.previews(self.images(), height)
+    def previews(self, height: int = 256, **options) -> DataFrame:
+        return preview.previews(self.images(), height, **options)
 
-    def convert(self, uuid: str, folder: str, output: str = "ome-tiff", threshold: int = 3192, always: bool = False) -> str:
-        """Write one image to a folder that every executor mounts; the result envelope as JSON, "[]" if there is no such image.
+    def convert(self, uuid: str, folder: str, output: str = "ome-tiff", threshold: int = 3192, always: bool = False, other_folder: str | None = None, with_metadata: bool = False, with_xml: bool = False) -> str:
+        """Write one image to a folder that every executor mounts; the result envelope as JSON, "[]" if there is no such image
+        or none that can be written.
 
-        Small images of linked containers stay as they are, and mosaics with gaps become containers
-        of their own, unless ``always`` is set.
+        Planes are turned as the settings say and mosaics put together. Small images of linked
+        containers stay as they are, and mosaics with gaps become containers of their own, unless
+        ``always`` is set. ``other_folder``: the result is copied there too, over what is there.
+        ``with_metadata``, ``with_xml``: the description as JSON and the container's XML go along.
         """
         kind = FORMATS[output.lower()]
-        wide = images.route(self.image(uuid), threshold).cache()
+        wide = metadata.reject_reason(images.route(self.image(uuid), threshold)).cache()
         row = wide.first()
         if row is None:
             return "[]"
         image = row.asDict(True)
+        route = "planar" if always and kind != "lif" else "single lif" if kind == "lif" else image["route"]
+        if image["reject_reason"] and not (image["reject_reason"] == "gaps between tiles" and (always or route in ("single lif", "as it is"))):
+            return "[]"
         base = f"{folder}/{image['save_child_name'].replace('/', '_')}"
         os.makedirs(folder, exist_ok=True)
-        route = "planar" if always and kind != "lif" else "single lif" if kind == "lif" else image["route"]
-        bands = pixels.chunks(pixels.planes(wide))
+        source = self.found.where(F.col("path") == image["path"]).select("xml").first()
         if route == "as it is":
             target = containers.local(image["path"])
         elif route == "single lif":
             target = lif.write_single(wide, self.found, folder).first().file
-        elif kind == "zarr":
-            target = f"{base}.ome.zarr"
-            zarr.write_zarr(bands, image, target)
         else:
-            target = f"{base}.ome.tiff"
-            tiff.write_tiff(tiff.pyramid(bands, image["xs"], image["ys"]), image, target).collect()
-        stats = pixels.channel_stats(wide).groupBy("uuid").agg(F.array_sort(F.collect_list(F.struct("c", "vmin", "vmax"))).alias("s"))
-        out = wide.select("uuid", "save_child_name", "keyvalues").join(stats, "uuid", "left")
-        envelope = F.struct(
-            F.col("save_child_name").alias("name"),
-            F.lit(target).alias("full_path"),
-            F.array(F.struct(F.transform("s", lambda x: x["vmin"]).alias("channel_mins"), F.transform("s", lambda x: x["vmax"]).alias("channel_maxs"), F.col("keyvalues").alias("metadata"))).alias("keyvalues"),
-        )
-        return out.select(F.to_json(F.array(envelope)).alias("j")).first().j
+            target = self._write(wide, image, base, kind, source.xml if source else None)
+        if other_folder and route != "as it is":
+            os.makedirs(other_folder, exist_ok=True)
+            copy = f"{other_folder}/{os.path.basename(target)}"
+            if os.path.isdir(target):
+                shutil.copytree(target, copy, dirs_exist_ok=True)
+            else:
+                shutil.copyfile(target, copy)
+        measured = metadata.intensities(wide, pixels.channel_stats(wide))
+        values = [F.col("channel_mins"), F.col("channel_maxs"), F.col("display_black").alias("channel_display_black_values"), F.col("display_white").alias("channel_display_white_values"), F.col("keyvalues").alias("metadata")]
+        if with_metadata:
+            values.append(F.to_json(F.struct(*[c for c in wide.columns if c not in ("keyvalues", "reject_reason")])).alias("image_metadata_json"))
+        if with_xml:
+            values.append(F.lit(source.xml if source else None).alias("image_xml"))
+        envelope = F.struct(F.col("save_child_name").alias("name"), F.lit(target).alias("full_path"), *([F.lit(copy).alias("alt_path")] if other_folder and route != "as it is" else []), F.array(F.struct(*values)).alias("keyvalues"))
+        result = measured.select(F.to_json(F.array(envelope)).alias("j")).first().j
+        wide.unpersist()
+        return result
+
+    def _write(self, wide: DataFrame, image: dict, base: str, kind: str, xml: str | None) -> str:
+        bands = pixels.chunks(pixels.planes(wide, stored=True))
+        plan = mosaic.layout(wide).first()
+        if plan.fields or plan.flipx or plan.flipy or plan.swap:
+            bands = mosaic.assemble(bands, wide)
+            image |= {"xs": plan.width, "ys": plan.height}
+        if kind == "zarr":
+            zarr.write_zarr(bands, image, f"{base}.ome.zarr", xml)
+            return f"{base}.ome.zarr"
+        levels = tiff.pyramid(bands, image["xs"], image["ys"])
+        tiff.write_tiff(levels, image, f"{base}.ome.tiff", xml).collect()
+        for level in levels:
+            level.unpersist()
+        return f"{base}.ome.tiff"
+
+    def convert_all(self, uuids: list[str], folder: str, output: str = "ome-tiff", **options) -> dict[str, str]:
+        """Results by id. Images are written one after the other, each by all executors."""
+        return {uuid: self.convert(uuid, folder, output, **options) for uuid in uuids}

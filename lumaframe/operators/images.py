@@ -55,6 +55,14 @@ CONFOCAL = [
 ]
 
 
+#: Columns that the key-value record names and that only the whole description has.
+LATER = {
+    "contrastmethod": "array<string>", "experiment_name": "string", "experiment_time": "timestamp", "mic_type": "string", "detector_types": "array<string>", "detector_gains": "array<double>", "detector_offsets": "array<double>",
+    "exposure_times_s": "array<double>", "camera_gains": "array<double>", "camera_name": "string", "binning": "int",
+    "laser_intensities": "array<struct<wavelength_nm:double,intensity_percent:double>>", "led_intensities": "array<struct<wavelength_nm:int,intensity_percent:double>>",
+}
+
+
 def attr(name: str) -> Column:
     return F.try_element_at("attrs", F.lit(name))
 
@@ -142,8 +150,9 @@ def confocal(nodes: DataFrame) -> DataFrame:
         value = attr(name) if kind == "string" else number(name, kind)
         fields.append((value * factor if factor else value).alias(field))
     resonant = F.when(~scalar.missing(attr("IsResonantConfocalScanner")), attr("IsResonantConfocalScanner") == "1")
-    kind = F.when(F.col("tag").contains("Confocal"), "IncohConfMicr").otherwise("IncohWFMicr")
-    return own.select(*KEY, kind.alias("mic_type2"), resonant.alias("is_resonant_scanner"), *fields)
+    is_confocal = F.col("tag").contains("Confocal")
+    kind, kind2 = F.when(is_confocal, "IncohConfMicr").otherwise("IncohWFMicr"), F.when(is_confocal, "confocal").otherwise("camera")
+    return own.select(*KEY, kind.alias("mic_type"), kind2.alias("mic_type2"), resonant.alias("is_resonant_scanner"), *fields)
 
 
 def tile_positions(nodes: DataFrame) -> DataFrame:
@@ -155,14 +164,20 @@ def tile_positions(nodes: DataFrame) -> DataFrame:
 
 
 def overlaps(tiles: DataFrame, dims: DataFrame, eps: float = 1e-7) -> DataFrame:
-    """Overlap of neighbouring tiles by axis, from the least distance in a row or column; negative where there are gaps."""
+    """Overlap of neighbouring tiles by axis, from the least distance in a row or column; negative where there are gaps.
+
+    Tiles are in one row where sorted positions follow each other within ``eps``.
+    """
     out = []
     for axis, band in (("X", "Y"), ("Y", "X")):
-        rows = tiles.withColumn("_band", F.round(F.col(f"Pos{band}") / eps).cast("long"))
+        across = W.partitionBy(*KEY).orderBy(f"Pos{band}")
+        opens = F.coalesce((F.col(f"Pos{band}") - F.lag(f"Pos{band}").over(across) > eps).cast("int"), F.lit(1))
+        rows = tiles.withColumn("_opens", opens).withColumn("_band", F.sum("_opens").over(across.rowsBetween(W.unboundedPreceding, 0)))
         gap = relational.least_gap(rows, [*KEY, "_band"], f"Pos{axis}", "_gap", eps).groupBy(*KEY).agg(F.min("_gap").alias("_gap"))
         n, res = F.col(f"{axis.lower()}s"), F.col(f"{axis.lower()}res2")
         size = n * res / 1e6
-        out.append(gap.join(dims, KEY).select(*KEY, F.when(size > 0, 1 - F.col("_gap") / size).alias(f"OverlapPercentage{axis}")))
+        # rounded, so that tiles side by side have neither a gap nor an overlap by the last digit
+        out.append(gap.join(dims, KEY).select(*KEY, F.when(size > 0, F.round(1 - F.col("_gap") / size, 9)).alias(f"OverlapPercentage{axis}")))
     both = out[0].join(out[1], KEY, "full")
     return both.withColumn("OverlapIsNegative", (F.coalesce("OverlapPercentageX", F.lit(0.0)) < 0) | (F.coalesce("OverlapPercentageY", F.lit(0.0)) < 0))
 
@@ -198,15 +213,24 @@ def hierarchy(found: DataFrame) -> DataFrame:
     return found.join(names, key("element") == F.col("_id")).select(*KEY, "trail", "depth")
 
 
-def images(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One wide row for each image: identity, place of its pixels, extent, spacing, channels, display and settings."""
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """Tables with at most one row for each image, and columns of their own, as one table: put below each other and folded by image.
+
+    One aggregation stands for a join with each of them, however many there are.
+    """
+    columns = [c for p in parts for c in p.columns if c not in KEY]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.groupBy(*KEY).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
+
+
+def images(nodes: DataFrame, blocks: DataFrame, more: list[DataFrame] | None = None) -> DataFrame:
+    """One wide row for each image: identity, place of its pixels, extent, spacing, channels, display and settings; ``more`` tables go along."""
     found = elements(nodes)
-    own = found.where("is_image").drop("is_image")
     base = F.regexp_replace(F.substring_index("path", "/", -1), "[.][^.]*$", "")
     dims = dimensions(nodes)
     parts = [hierarchy(found), dims, channels(nodes), display(nodes), confocal(nodes), lasers(nodes), detectors(nodes), spectra(nodes), overlaps(tile_positions(nodes), dims)]
     tiles = tile_positions(nodes).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("num", "FieldX", "FieldY", "PosX", "PosY"))).alias("tile_positions"))
-    wide = reduce(lambda a, b: a.join(b, KEY, "left"), [*parts, tiles], own)
+    wide = stacked([found.where("is_image").drop("is_image"), *parts, tiles, *(more or [])]).where("uuid IS NOT NULL")
     # a .lof file has one block without a name
     wide = wide.withColumn("_block", F.when(F.lower("path").endswith(".lof"), F.lit("")).otherwise(F.col("block_id")))
     block = blocks.select("path", F.col("block_id").alias("_block"), F.col("position").alias("Position"), F.col("size").alias("_size"))
@@ -234,9 +258,22 @@ def children(nodes: DataFrame, uuid: str | None = None) -> DataFrame:
     return found.join(up, ["path", "parent_element"]).where(~scalar.noise_name(F.coalesce("name", F.lit("")))).orderBy("path", "element")
 
 
+def node(nodes: DataFrame, uuid: str) -> DataFrame:
+    """The element with an id and its direct children: (path, element, uuid, name, is_image, is_self)."""
+    found = elements(nodes)
+    own = found.where(F.col("uuid") == uuid).withColumn("is_self", F.lit(True))
+    return own.unionByName(children(nodes, uuid).withColumn("is_self", F.lit(False))).orderBy("path", "element")
+
+
 def key_values(wide: DataFrame) -> DataFrame:
     """The conditional key-value record as JSON: a key stands only where its value says something."""
-    rgb, confocal_ = F.coalesce("isrgb", F.lit(False)), F.col("mic_type2") == "IncohConfMicr"
+    for c, kind in LATER.items():
+        if c not in wide.columns:
+            wide = wide.withColumn(c, F.lit(None).cast(kind))
+    wide = wide.withColumn("_time", F.date_format(F.col("experiment_time").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"))
+    rgb, confocal_, camera = F.coalesce("isrgb", F.lit(False)), F.col("mic_type") == "IncohConfMicr", F.col("mic_type") == "IncohWFMicr"
+    known = lambda c: F.when(F.exists(c, lambda v: v.isNotNull()), F.col(c))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
     said = lambda c: F.when(~scalar.missing(F.col(c)), F.col(c))
     above = lambda c, least=0: F.when(F.col(c) > least, F.col(c))
     any_said = lambda c: F.when(F.exists(c, lambda v: F.coalesce(v != "", F.lit(False))), F.col(c))
@@ -246,17 +283,30 @@ def key_values(wide: DataFrame) -> DataFrame:
         "channel_names": any_said("channel_names"),
         "excitation_wavelengths": F.when(~rgb, any_above("excitation")),
         "emission_wavelengths": F.when(~rgb, any_above("emission")),
-        "filter_blocks": F.when(~rgb, any_said("filterblock")),
+        "filter_blocks": F.when(~rgb & F.exists("filterblock", lambda v: F.coalesce((v != "") & (v != "Unknown"), F.lit(False))), F.col("filterblock")),
+        "contrast_methods": F.when(~rgb, any_said("contrastmethod")),
+        "experiment_name": said("experiment_name"),
+        "experiment_datetime": said("_time"),
+        "microscope_type": F.when(F.col("mic_type") != "unknown", said("mic_type")),
         "gamma_values": F.when(F.exists("gammavalue", lambda v: v != 1), F.col("gammavalue")),
         **{k: said(c) for k, c in (("objective", "objective"), ("immersion", "immersion"), ("system_type_name", "SystemTypeName"), ("microscope_model", "MicroscopeModel"), ("system_serial_number", "system_serial_number"))},
         **{k: above(c) for k, c in (("numerical_aperture", "na"), ("magnification", "magnification"), ("refractive_index", "refractiveindex"), ("coverslip_thickness_um", "coverslip_thickness_um"))},
-        **{c: F.when(confocal_, above(c)) for c in ("pinholesize_um", "pinhole_airy", "zoom", "scan_speed", "pixel_dwell_time_us", "line_time_us", "frame_time_ms")},
+        "pinhole_size_um": F.when(confocal_, above("pinholesize_um")),
+        "detector_types": F.when(confocal_, any_said("detector_types")),
+        **{c: F.when(confocal_, known(c)) for c in ("detector_gains", "detector_offsets")},
+        "exposure_times_s": F.when(camera & F.exists("exposure_times_s", lambda v: F.coalesce(v > 0, F.lit(False))), F.col("exposure_times_s")),
+        "camera_gains": F.when(camera, known("camera_gains")),
+        "camera_name": F.when(camera, said("camera_name")),
+        "binning": F.when(camera, above("binning")),
+        "laser_intensities": F.when(~rgb & confocal_, some("laser_intensities")),
+        "led_intensities": F.when(~rgb & camera, some("led_intensities")),
+        **{c: F.when(confocal_, above(c)) for c in ("pinhole_airy", "zoom", "scan_speed", "pixel_dwell_time_us", "line_time_us", "frame_time_ms")},
         **{c: F.when(confocal_, above(c, 1)) for c in ("frame_average", "line_average", "frame_accumulation", "line_accumulation", "zstack_sections")},
         **{c: F.when(confocal_, said(c)) for c in ("scan_direction", "scan_mode")},
         **{c: F.when(confocal_, F.col(c)) for c in ("phase_x", "rotator_angle", "is_resonant_scanner", "zstack_begin_m", "zstack_end_m")},
         **{c: F.col(c) for c in ("stage_pos_x_m", "stage_pos_y_m", "temperature_c", "co2_percent", "objective_heater_c")},
     }
-    return wide.withColumn("keyvalues", F.to_json(F.struct(*[v.alias(k) for k, v in pairs.items()])))
+    return wide.withColumn("keyvalues", F.to_json(F.struct(*[v.alias(k) for k, v in pairs.items()]))).drop("_time")
 
 
 def route(wide: DataFrame, threshold: int = 3192) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions import scalar
-from lumaframe.operators import relational
+from lumaframe.operators import images, relational
 from lumaframe.operators.images import KEY, attr, in_order
 
 # Scanner record, field, type and factor.
@@ -107,11 +107,21 @@ def depth(nodes: DataFrame) -> DataFrame:
     return own.groupBy(*KEY).agg(F.min_by(begin, "node").alias("zstack_begin_m"), F.min_by(begin + attr("Length").try_cast("double"), "node").alias("zstack_end_m"))
 
 
+def parts(nodes: DataFrame) -> list[DataFrame]:
+    """What the records say, as tables with one row for each image and columns that begin with "old_"."""
+    found = [scanner(nodes), hardware(nodes), depth(nodes)]
+    return [t.select(*KEY, *[F.col(c).alias(f"old_{c}") for c in t.columns if c not in KEY], *([F.lit(True).alias(f"old{k}")] if k < 2 else [])) for k, t in enumerate(found)]
+
+
+def filled(wide: DataFrame) -> DataFrame:
+    """``wide`` (with the columns of ``parts``) with open fields filled, for images that have such records."""
+    names = [c[4:] for c in wide.columns if c.startswith("old_")]
+    has = F.coalesce(F.col("old0"), F.col("old1"), F.lit(False))
+    value = lambda c: F.when(has, F.col(f"old_{c}"))
+    own = {c: F.coalesce(F.when(~scalar.missing(F.col(c)), F.col(c)), value(c)) if c in wide.columns else value(c) for c in names}
+    return wide.withColumns(own).drop("old0", "old1", *[f"old_{c}" for c in names])
+
+
 def fill(wide: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``wide`` with open fields filled from the records, and lasers and detectors of images that have such records."""
-    old = scanner(nodes).join(hardware(nodes), KEY, "full").join(depth(nodes), KEY, "left")
-    names = [c for c in old.columns if c not in KEY]
-    old = old.select(F.col("path").alias("_path"), F.col("element").alias("_element"), *[F.col(c).alias(f"_{c}") for c in names])
-    joined = wide.join(old, (wide["path"] == old["_path"]) & (wide["element"] == old["_element"]), "left")
-    own = {c: F.coalesce(F.when(~scalar.missing(F.col(c)), F.col(c)), F.col(f"_{c}")) if c in wide.columns else F.col(f"_{c}") for c in names}
-    return joined.withColumns(own).drop("_path", "_element", *[f"_{c}" for c in names])
+    """``wide`` with open fields filled from the records of images that have some."""
+    return filled(wide.join(images.stacked(parts(nodes)), KEY, "left"))

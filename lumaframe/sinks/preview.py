@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumaframe.functions.scalar import COLOURS
+from lumaframe.operators import relational
 from lumaframe.sources import pixels
 
 
@@ -51,27 +55,96 @@ def render(planes: list[np.ndarray], colours: list[int], height: int) -> np.ndar
     return (share * 255).astype(np.uint8)
 
 
-def previews(wide: DataFrame, height: int = 256) -> DataFrame:
-    """(uuid, height, png) of each image. So many rows are skipped that a plane stays within about twice the height and
-    the group of an image is as small as its preview, whatever the image's size."""
+def previews(wide: DataFrame, height: int = 256, plane: dict[str, int] | None = None, channels: list[int] | None = None) -> DataFrame:
+    """(uuid, height, png) of each image: the middle plane, or the one that ``plane`` names by t, z and s; of all channels or those given.
+
+    So many rows are skipped that a plane stays within about twice the height and the group of an
+    image is as small as its preview, whatever the image's size. An image that can't be drawn at this
+    height is drawn at its own.
+    """
     steps = F.greatest(F.lit(1), F.floor(F.col("ys") / (2 * height))).cast("int")
     parts = None
     known = [r.step for r in wide.select(steps.alias("step")).distinct().orderBy("step").collect()]  # a few distinct strides
     for step in known:
-        one = pixels.chunks(pixels.planes(wide.where(steps == step), True), step)
+        wanted = pixels.planes(wide.where(steps == step), plane is None)
+        for axis, at in (plane or {}).items():
+            wanted = wanted.where(F.col(axis) == at)
+        if channels is not None:
+            wanted = wanted.where(F.col("c").isin(channels) | (F.col("samples") == 3))
+        one = pixels.chunks(wanted, step)
         parts = one if parts is None else parts.unionByName(one)
     luts = wide.select(F.col("uuid").alias("_u"), F.col("lutname"), F.col("ys").alias("full"))
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
         names = list(first["lutname"]) if first["lutname"] is not None else []
-        planes = []
-        for _, own in rows.sort_values(["c", "y0"]).groupby("c"):
+        planes, colours = [], []
+        for c, own in rows.sort_values(["c", "y0"]).groupby("c"):
             a = np.concatenate([pixels.array_of(r) for _, r in own.iterrows()])
             planes += [a] if a.ndim == 2 else list(np.moveaxis(a, 2, 0))
-        rgb = first["samples"] == 3
-        colours = [0xFF0000, 0x00FF00, 0x0000FF] if rgb else [COLOURS.get(names[k] if k < len(names) else "", 0xFFFFFF) for k in range(len(planes))]
+            colours += [COLOURS.get(names[c] if c < len(names) else "", 0xFFFFFF)] if a.ndim == 2 else [0xFF0000, 0x00FF00, 0x0000FF]
         return pd.DataFrame({"uuid": [first["uuid"]], "height": [height], "png": [encode_png(render(planes, colours, height))]})
 
     joined = parts.join(luts, parts["uuid"] == luts["_u"]).drop("_u")
     return joined.groupBy("uuid").applyInPandas(draw, "uuid string, height int, png binary")
+
+
+#: Heights of previews that are shown one after the other, and the side up to which an image has the greatest only.
+HEIGHTS, SMALL = (24, 100, 200), 2048
+
+
+def heights(width: Column, height: Column) -> Column:
+    """The heights at which an image is drawn, ascending: small images at once, large ones finer and finer."""
+    return F.when((width <= SMALL) & (height <= SMALL), F.array(F.lit(HEIGHTS[-1]))).otherwise(F.array(*map(F.lit, HEIGHTS)))
+
+
+def progressive(wide: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """(height, previews) from coarse to fine, each for the images that are drawn at that height; whoever has seen enough takes no more."""
+    for height in HEIGHTS:
+        yield height, previews(wide.where(F.array_contains(heights(F.col("xs"), F.col("ys")), height)), height)
+
+
+def latest_jobs(requests: DataFrame) -> DataFrame:
+    """Of requests (uuid, job_id, ...) those of each image's newest job: what a viewer has moved on from is not drawn."""
+    newest = requests.groupBy(F.col("uuid").alias("_u")).agg(F.max("job_id").alias("_job"))
+    return requests.join(newest, (requests["uuid"] == newest["_u"]) & (requests["job_id"] == newest["_job"])).drop("_u", "_job")
+
+
+def as_base64(drawn: DataFrame) -> DataFrame:
+    """(uuid, height, url): previews as data URLs."""
+    return drawn.select("uuid", "height", F.concat(F.lit("data:image/png;base64,"), F.base64("png")).alias("url"))
+
+
+def cached(wide: DataFrame, folder: str, height: int = 256, capacity: int = 100, version: str = "1") -> DataFrame:
+    """Previews from a cache of Parquet files, and those that it lacks, drawn and added; beyond ``capacity`` the oldest are left out.
+
+    An entry is known by uuid, height, version and when the image was taken. Entries left out are no
+    longer served; ``evict`` writes the cache anew without them.
+    """
+    spark = wide.sparkSession
+    key = F.xxhash64("uuid", F.lit(height), F.lit(version), F.coalesce(F.col("experiment_time").cast("string"), F.lit("")) if "experiment_time" in wide.columns else F.lit(""))
+    wanted = wide.withColumn("_key", key)
+    schema = "key bigint, uuid string, height int, png binary, used timestamp"
+    try:
+        old = spark.read.schema(schema).parquet(folder)
+        old.limit(1).count()
+    except AnalysisException:
+        old = spark.createDataFrame([], schema)
+    lacking = wanted.join(old.select(F.col("key").alias("_key")), "_key", "left_anti")
+    keys = wanted.select(F.col("uuid").alias("_u"), "_key")
+    if not lacking.isEmpty():
+        fresh = previews(lacking.drop("_key"), height)
+        fresh.join(keys, fresh["uuid"] == keys["_u"]).select(F.col("_key").alias("key"), "uuid", "height", "png", F.current_timestamp().alias("used")).write.mode("append").parquet(folder)
+    every = spark.read.schema(schema).parquet(folder)
+    newest = F.row_number().over(W.partitionBy("height").orderBy(F.desc("used"), "key"))
+    held = every.withColumn("_n", newest).where(F.col("_n") <= capacity).drop("_n")
+    return held.join(keys, held["key"] == keys["_key"]).select("uuid", "height", "png")
+
+
+def evict(spark: SparkSession, folder: str, target: str, capacity: int = 100) -> int:
+    """Write the newest ``capacity`` entries of each height to another folder; how many entries were left out."""
+    every = spark.read.parquet(folder)
+    old = relational.keep_latest(every, ["height"], [F.desc("used"), F.col("key")], capacity)
+    keep = every.join(old.select(F.col("key").alias("_k"), F.col("height").alias("_h")), (F.col("key") == F.col("_k")) & (F.col("height") == F.col("_h")), "left_anti")
+    keep.write.parquet(target)
+    return old.count()

@@ -9,10 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from xml.sax.saxutils import escape, quoteattr
 
+from lumaframe.sinks.ome import ome_xml
 from lumaframe.sources.pixels import BAND, array_of, halve
 
 # Fixed values of the file format: tags and the types of their values.
@@ -21,23 +21,6 @@ SHORT, LONG8, ASCII = 3, 16, 2
 DEFLATE = 8
 
 
-def ome_xml(image: dict) -> str:
-    """The OME description of one image."""
-    shape = {"SizeX": image["xs"], "SizeY": image["ys"], "SizeZ": image.get("zs") or 1, "SizeC": image.get("channels") or 1, "SizeT": image.get("ts") or 1}
-    kind = "uint16" if max(image.get("channelResolution") or [8]) > 8 else "uint8"
-    size = "".join(f" {k}={quoteattr(str(v))}" for k, v in shape.items())
-    size += "".join(f' PhysicalSize{a}="{image[f"{a.lower()}res2"]:g}" PhysicalSize{a}Unit="µm"' for a in "XYZ" if image.get(f"{a.lower()}res2"))
-    names = image.get("channel_names") or []
-    rgb = bool(image.get("isrgb"))
-    count = 1 if rgb else shape["SizeC"]
-    channels = "".join(f'<Channel ID="Channel:0:{k}" SamplesPerPixel="{3 if rgb else 1}"' + (f" Name={quoteattr(names[k])}" if k < len(names) and names[k] else "") + "/>" for k in range(count))
-    optics = "".join(f' {a}="{image[k]:g}"' for a, k in (("NominalMagnification", "magnification"), ("LensNA", "na")) if image.get(k))
-    objective = f'<Instrument ID="Instrument:0"><Objective ID="Objective:0"{optics} Model={quoteattr(image.get("objective") or "")}/></Instrument>'
-    data = "".join(f'<TiffData FirstZ="{z}" FirstC="{c}" FirstT="{t}" IFD="{(t * count + c) * shape["SizeZ"] + z}" PlaneCount="1"/>' for t in range(shape["SizeT"]) for c in range(count) for z in range(shape["SizeZ"]))
-    text = f'<?xml version="1.0" encoding="UTF-8"?><OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06">{objective}<Image ID="Image:0" Name={quoteattr(image.get("save_child_name") or "image")}><Description>{escape(image.get("objective") or "")}</Description><Pixels ID="Pixels:0" DimensionOrder="XYZCT" Type="{kind}"{size}>{channels}{data}</Pixels></Image></OME>'
-    return "".join(c if ord(c) < 128 else f"&#{ord(c)};" for c in text)
-
-
 def directory(tags: list[tuple[int, int, list | bytes]], at: int, after: int) -> bytes:
     """A directory that stands at ``at``, with the values that don't fit in it behind it."""
     body, extra = struct.pack("<Q", len(tags)), b""
@@ -53,7 +36,7 @@ def directory(tags: list[tuple[int, int, list | bytes]], at: int, after: int) ->
     return body + struct.pack("<Q", after) + extra
 
 
-def write_tiff(levels: list[DataFrame], image: dict, path: str) -> DataFrame:
+def write_tiff(levels: list[DataFrame], image: dict, path: str, original: str | None = None) -> DataFrame:
     """Write one image's levels to one file.
 
     Bands come sorted by plane and level to the task that writes; tiles are compressed where bands
@@ -67,7 +50,7 @@ def write_tiff(levels: list[DataFrame], image: dict, path: str) -> DataFrame:
     sizes = [(image["xs"], image["ys"])]
     for _ in levels[1:]:
         sizes.append((-(-sizes[-1][0] // 2), -(-sizes[-1][1] // 2)))
-    description = ome_xml(image).encode() + b"\0"
+    description = ome_xml(image, original=original).encode() + b"\0"
 
     def tiles(level: int):
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +116,10 @@ def write_tiff(levels: list[DataFrame], image: dict, path: str) -> DataFrame:
 
 
 def pyramid(bands: DataFrame, w: int, h: int, most: int = 8) -> list[DataFrame]:
+    """All levels, each made from the one before, which is kept on the executors' disks until the caller lets go of it."""
     levels = [bands]
     while max(w, h) > BAND and len(levels) < most:
+        levels[-1].persist(StorageLevel.DISK_ONLY)
         levels.append(halve(levels[-1]))
         w, h = -(-w // 2), -(-h // 2)
     return levels

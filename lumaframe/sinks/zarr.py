@@ -9,8 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
+from lumaframe.sinks.ome import ome_xml
 from lumaframe.sources.pixels import BAND, array_of, halve
 
 
@@ -46,30 +49,51 @@ def chunk_files(bands: DataFrame, path: str, level: int) -> DataFrame:
     return bands.mapInArrow(write, "file string, bytes bigint")
 
 
-def write_zarr(bands: DataFrame, image: dict, path: str) -> int:
-    """Write one image's bands and pyramid to ``path``; the number of chunk files."""
+def append_chunks(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write bands that arrive as a stream to level 0 of an array; a batch that runs again leaves the same files."""
+    return stream.writeStream.foreachBatch(lambda bands, _: chunk_files(bands, path, 0).count()).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def omero(image: dict, dtype: str) -> dict:
+    """How a viewer shows the channels: labels, colours, and the range of the type as their window."""
+    top, n = (65535 if dtype == "<u2" else 255), len(image.get("labels") or []) or image.get("channels") or 1
+    pick = lambda k, i, d: (image.get(k) or [])[i] if i < len(image.get(k) or []) else d
+    channels = [{"label": pick("labels", i, f"Channel {i + 1}"), "color": pick("colours", i, "ffffff"), "active": True, "window": {"min": 0, "max": top, "start": 0, "end": top}} for i in range(n)]
+    return {"id": 1, "name": image.get("save_child_name"), "version": "0.5", "channels": channels, "rdefs": {"model": "color" if n > 1 else "greyscale"}}
+
+
+def write_zarr(bands: DataFrame, image: dict, path: str, original: str | None = None) -> int:
+    """Write one image's bands, pyramid and description to ``path``; the number of chunk files. Each level is made from the one before."""
     w, h = image["xs"], image["ys"]
     shape = [image.get("ts") or 1, image.get("channels") or 1, image.get("zs") or 1]
     dtype = "<u2" if max(image.get("channelResolution") or [8]) > 8 else "|u1"
-    scale = [image.get("tres") or 1.0, 1.0, image.get("zres2") or 1.0, image.get("yres2") or 1.0, image.get("xres2") or 1.0]
-    files, sets = 0, []
+    known = lambda k, raw, d: image.get(k) if (image.get(k) or 0) > 0 else image[raw] * 1e6 if (image.get(raw) or 0) > 0 else d
+    x = known("xres2", "xres", 1.0)
+    y = known("yres2", "yres", x)
+    scale = [image.get("tres") or 1.0, 1.0, known("zres2", "zres", min(x, y)), y, x]
+    files, sets, kept = 0, [], []
     for level in range(level_count(w, h)):
+        if max(w, h) > BAND:
+            kept.append(bands.persist(StorageLevel.DISK_ONLY))
         files += chunk_files(bands, path, level).count()
         array = {"zarr_format": 2, "shape": [*shape, h, w], "chunks": [1, 1, 1, BAND, min(BAND, w)], "dtype": dtype, "compressor": {"id": "zlib", "level": 5}, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "."}
+        os.makedirs(f"{path}/{level}", exist_ok=True)
         with open(f"{path}/{level}/.zarray", "w") as file:
             json.dump(array, file)
         sets.append({"path": str(level), "coordinateTransformations": [{"type": "scale", "scale": [*scale[:3], scale[3] * 2**level, scale[4] * 2**level]}]})
-        if level + 1 < level_count(image["xs"], image["ys"]):
+        if max(w, h) > BAND:
             bands = halve(bands)
             w, h = -(-w // 2), -(-h // 2)
-    axes = [{"name": "t", "type": "time"}, {"name": "c", "type": "channel"}] + [{"name": n, "type": "space", "unit": "micrometer"} for n in "zyx"]
-    top = 65535 if dtype == "<u2" else 255
-    names = image.get("channel_names") or []
-    omero = [{"label": (names[k] if k < len(names) and names[k] else f"Channel {k}"), "active": True, "window": {"min": 0, "max": top, "start": 0, "end": top}} for k in range(shape[1])]
+    for level in kept:
+        level.unpersist()
+    axes = [{"name": "t", "type": "time", "unit": "second"}, {"name": "c", "type": "channel"}] + [{"name": n, "type": "space", "unit": "micrometer"} for n in "zyx"]
     with open(f"{path}/.zgroup", "w") as file:
         json.dump({"zarr_format": 2}, file)
     with open(f"{path}/.zattrs", "w") as file:
-        json.dump({"multiscales": [{"version": "0.4", "name": image.get("save_child_name"), "axes": axes, "datasets": sets}], "omero": {"channels": omero}}, file)
+        json.dump({"multiscales": [{"version": "0.4", "name": image.get("save_child_name"), "axes": axes, "datasets": sets}], "omero": omero(image, dtype), "leica": json.loads(image.get("keyvalues") or "{}")}, file)
+    os.makedirs(f"{path}/OME", exist_ok=True)
+    with open(f"{path}/OME/METADATA.ome.xml", "w") as file:
+        file.write(ome_xml(image, tiff=False, original=original))
     return files
 
 

@@ -18,11 +18,15 @@ CHUNK_KINDS = pa.schema(
 )
 
 
-def planes(wide: DataFrame, centre: bool = False) -> DataFrame:
+def planes(wide: DataFrame, centre: bool = False, stored: bool = False) -> DataFrame:
     """One row for each plane of each image with its byte offset; with ``centre`` only the middle time, slice and tile.
 
-    Images whose memory block isn't in the file have no planes.
+    Images whose memory block isn't in the file have no planes. ``stored``: extents are exchanged where
+    the settings say that axes are swapped, as such planes lie in the file. Pixels of linked images lie
+    in ``pixel_path``.
     """
+    path = F.coalesce("pixel_path", "path") if "pixel_path" in wide.columns else F.col("path")
+    swap = F.coalesce(F.col("swapxy"), F.lit(0)) != 0 if stored and "swapxy" in wide.columns else F.lit(False)
     one = lambda c: F.coalesce(F.col(c), F.lit(1))
     steps = lambda n, c: F.array(F.floor(one(c) / 2).cast("int")) if centre else F.sequence(F.lit(0), one(c) - 1)
     df = wide.select("*", F.when(F.coalesce("isrgb", F.lit(False)), 3).otherwise(1).alias("samples"))
@@ -33,7 +37,8 @@ def planes(wide: DataFrame, centre: bool = False) -> DataFrame:
     own = F.coalesce(F.get("channelbytesinc", F.col("c")), F.lit(0))
     offset = F.col("Position") + F.col("t") * F.col("tbytesinc") + F.col("s") * F.col("tilebytesinc") + F.col("z") * F.col("zbytesinc") + F.when(F.col("samples") == 3, F.lit(0)).otherwise(own)
     bits = F.coalesce(F.array_max("channelResolution"), F.lit(8))
-    return df.select("path", "uuid", "t", "c", "z", "s", F.col("xs").alias("w"), F.col("ys").alias("rows"), "samples", offset.alias("offset"), F.when(bits > 8, "<u2").otherwise("|u1").alias("dtype")).where("offset IS NOT NULL")
+    w, rows = F.when(swap, F.col("ys")).otherwise(F.col("xs")), F.when(swap, F.col("xs")).otherwise(F.col("ys"))
+    return df.select(path.alias("path"), "uuid", "t", "c", "z", "s", w.alias("w"), rows.alias("rows"), "samples", offset.alias("offset"), F.when(bits > 8, "<u2").otherwise("|u1").alias("dtype")).where("offset IS NOT NULL")
 
 
 def chunks(wanted: DataFrame, step: int = 1, band: int = BAND) -> DataFrame:

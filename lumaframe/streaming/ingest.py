@@ -25,6 +25,31 @@ def ingest(spark: SparkSession, path: str, table: str, checkpoint: str, describe
 
 
 def progress(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Progress lines as (percent, phase); other lines are dropped."""
+    """Progress lines ("phase: ... 45.5% ...") as (percent, phase); other lines are dropped."""
     percent = F.regexp_extract(line, "([0-9]+([.][0-9]+)?) ?%", 1).try_cast("double")
     return lines.select("*", percent.alias("percent"), F.trim(F.regexp_extract(line, "^([^:%\\[]*)", 1)).alias("phase")).where("percent IS NOT NULL")
+
+
+def events(lines: DataFrame, line: str = "value", order: str = "n") -> DataFrame:
+    """(type, payload) of a job's output lines: "progress" for lines with a percentage, "result" for a JSON array,
+    "error" for lines that say so, "end" for the last one; other lines are "log". Works on streams but for "end"."""
+    text = F.trim(F.col(line))
+    kind = F.when(text.rlike("[0-9] ?%"), "progress").when(text.startswith("[") & text.endswith("]"), "result").when(F.lower(text).rlike("^(error|traceback|exception)"), "error").otherwise("log")
+    out = lines.select("*", kind.alias("type"), text.alias("payload"))
+    if lines.isStreaming:
+        return out
+    closing = lines.agg((F.max(order) + 1).alias(order)).where(F.col(order).isNotNull()).select(order, F.lit("end").alias("type"), F.lit("").alias("payload"))
+    return out.select(order, "type", "payload").unionByName(closing)
+
+
+def chunk_progress(chunks: DataFrame, done: DataFrame, by: list[str]) -> DataFrame:
+    """By group: chunks in all, chunks written, bytes written, and per cent; ``done`` has a row (with bytes) for each chunk written."""
+    total = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    got = done.groupBy(*by).agg(F.count(F.lit(1)).alias("written"), F.sum("bytes").alias("bytes"))
+    out = total.join(got, by, "left").fillna({"written": 0, "bytes": 0})
+    return out.withColumn("percent", F.round(100 * F.col("written") / F.col("total"), 1))
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stop the jobs that were started under a tag (``spark.addTag``), for a request that nobody waits for any more."""
+    spark.interruptTag(tag)
