@@ -25,6 +25,13 @@ def listing(found: DataFrame) -> DataFrame:
     return shown.select("dir", "name", kind.alias("type"), "modified", "length").orderBy("dir", "name")
 
 
+def single_image(children: DataFrame) -> DataFrame:
+    """(path, single) for rows (path, name, type): whether a file shows one entry, which is neither a folder nor a file."""
+    shown = children.where(~scalar.noise_name(F.coalesce("name", F.lit(""))))
+    image = ~F.lower(F.coalesce("type", F.lit(""))).isin("folder", "file")
+    return shown.groupBy("path").agg(((F.count(F.lit(1)) == 1) & F.bool_and(image)).alias("single"))
+
+
 def child(tree: Column, uuid: Column) -> Column:
     """The first child with an id, in a tree held as JSON; null if there is none."""
     node = F.from_json(tree, NODE)

@@ -55,14 +55,23 @@ CONFOCAL = [
 ]
 
 
-#: Columns that the key-value record names and that only the whole description has.
+#: Columns of the key-value record with their types: those that a table lacks count as null.
 LATER = {
-    "contrastmethod": "array<string>", "experiment_name": "string", "experiment_time": "timestamp", "mic_type": "string", "detector_types": "array<string>", "detector_gains": "array<double>", "detector_offsets": "array<double>",
-    "exposure_times_s": "array<double>", "camera_gains": "array<double>", "camera_name": "string", "binning": "int",
+    **{c: "array<string>" for c in ("lutname", "channel_names", "filterblock", "contrastmethod", "detector_types")},
+    **{c: "array<double>" for c in ("excitation", "emission", "gammavalue", "detector_gains", "detector_offsets", "exposure_times_s", "camera_gains")},
+    **{c: "string" for c in ("mic_type", "mic_type2", "objective", "immersion", "SystemTypeName", "MicroscopeModel", "system_serial_number", "experiment_name", "scan_direction", "scan_mode", "camera_name")},
+    **{c: "double" for c in ("na", "magnification", "refractiveindex", "coverslip_thickness_um", "pinholesize_um", "pinhole_airy", "zoom", "pixel_dwell_time_us", "line_time_us", "frame_time_ms", "phase_x", "rotator_angle")},
+    **{c: "double" for c in ("zstack_begin_m", "zstack_end_m", "stage_pos_x_m", "stage_pos_y_m", "temperature_c", "co2_percent", "objective_heater_c")},
+    **{c: "int" for c in ("scan_speed", "frame_average", "line_average", "frame_accumulation", "line_accumulation", "zstack_sections", "binning")},
+    "isrgb": "boolean", "is_resonant_scanner": "boolean", "experiment_time": "timestamp",
     "laser_intensities": "array<struct<wavelength_nm:double,intensity_percent:double>>", "led_intensities": "array<struct<wavelength_nm:int,intensity_percent:double>>",
 }
 
 
+def with_all(wide: DataFrame) -> DataFrame:
+    return wide.withColumns({c: F.lit(None).cast(kind) for c, kind in LATER.items() if c not in wide.columns})
+
+
 def attr(name: str) -> Column:
     return F.try_element_at("attrs", F.lit(name))
 
@@ -267,9 +276,7 @@ def node(nodes: DataFrame, uuid: str) -> DataFrame:
 
 def key_values(wide: DataFrame) -> DataFrame:
     """The conditional key-value record as JSON: a key stands only where its value says something."""
-    for c, kind in LATER.items():
-        if c not in wide.columns:
-            wide = wide.withColumn(c, F.lit(None).cast(kind))
+    wide = with_all(wide)
     wide = wide.withColumn("_time", F.date_format(F.col("experiment_time").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"))
     rgb, confocal_, camera = F.coalesce("isrgb", F.lit(False)), F.col("mic_type") == "IncohConfMicr", F.col("mic_type") == "IncohWFMicr"
     known = lambda c: F.when(F.exists(c, lambda v: v.isNotNull()), F.col(c))

@@ -92,6 +92,11 @@ def graph(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return inside.unionByName(below).unionByName(roots)
 
 
+def without_repeats(names: Column) -> Column:
+    """Names without empty ones and without those that equal the one before."""
+    return F.filter(names, lambda n, i: (n != "") & ((i == 0) | (n != F.coalesce(F.get(names, i - 1), F.lit("")))))
+
+
 def every_image(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(path, uuid, name, root, order): all images that project files, folders and links reach, each once, to be sorted by (root, order).
 
@@ -99,7 +104,7 @@ def every_image(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     found = images.elements(nodes).where("is_image").select("path", F.concat_ws("#", "path", F.col("element").cast("string")).alias("_id"), "uuid")
     trails = tree.paths(graph(nodes, links)).select("id", "ids", "names", "order")
-    parts = F.filter("names", lambda n, i: (n != "") & ((i == 0) | (n != F.coalesce(F.get("names", i - 1), F.lit("")))))
+    parts = without_repeats(F.col("names"))
     rows = found.join(trails, found["_id"] == trails["id"]).select("path", "uuid", F.array_join(parts, "_").alias("name"), F.get("ids", F.lit(0)).alias("root"), "order")
     best = rows.groupBy("path", "uuid").agg(F.min(F.struct("root", "order", "name")).alias("b"))
     return best.select("path", "uuid", "b.name", "b.root", "b.order")

@@ -121,9 +121,7 @@ def summary_text(wide: DataFrame) -> DataFrame:
 
 def shown(wide: DataFrame) -> DataFrame:
     """``wide`` with what the description of an image shows of its channels: labels, colours, contrasts, light and detectors."""
-    for c, kind in images.LATER.items():
-        if c not in wide.columns:
-            wide = wide.withColumn(c, F.lit(None).cast(kind))
+    wide = images.with_all(wide)
     rgb, n = F.coalesce("isrgb", F.lit(False)), F.coalesce("channels", F.lit(1))
     each = F.sequence(F.lit(0), n - 1)
     contrast = lambda i: scalar.contrast_name(F.coalesce(F.get("contrastmethod", i), F.lit("")))

@@ -29,8 +29,8 @@ BOUNDS_SQL = "q AS (SELECT c, quantile_cont(v, 0.0001) AS lo, quantile_cont(v, 0
 
 #: Colour weights of a channel.
 RED, GREEN, BLUE = (lambda: F.col("c") * 25 % 256), (lambda: (255 - F.col("c") * 25) % 256), (lambda: F.col("c") * 83 % 256)
-#: The mosaic: ten channels as tiles of 16 x 64 in rows of four.
-TILE, FIELDS, OVERLAP = (16, 64), (3, 4), 0.1
+#: The mosaic: channels as tiles, in rows of four.
+ACROSS, OVERLAP = 4, 0.1
 
 
 def channel_minmax_strided(spark, sf_dir):
@@ -66,8 +66,11 @@ def flip_transpose(spark, sf_dir):
 
 
 def mosaic_stitch(spark, sf_dir):
-    px = plane_stack(spark, sf_dir).where(F.col("y") < TILE[0])
-    return array.stitch(px, "c", F.col("c") % 4, F.floor(F.col("c") / 4), TILE, OVERLAP, FIELDS)
+    """All rows of all channels: the tiles' height and number follow from the data."""
+    px = plane_stack(spark, sf_dir)
+    size = px.agg((F.max("y") + 1).alias("h"), F.max("c").alias("c")).first()
+    fields = (int(size.c or 0) // ACROSS + 1, ACROSS)
+    return array.stitch(px, "c", F.col("c") % ACROSS, F.floor(F.col("c") / ACROSS), (int(size.h or 0), 64), OVERLAP, fields)
 
 
 def chunk_index(spark, sf_dir):
@@ -107,8 +110,9 @@ SQL = {
     + " FROM px GROUP BY y, x",
     "flip_transpose": STACK_SQL + "SELECT c, x AS y, max(y) OVER (PARTITION BY c) - y AS x, v FROM px",
     "mosaic_stitch": STACK_SQL
-    + """, p AS (SELECT c, v, CAST(floor(c // 4 * 16 * (1 - 0.1)) AS BIGINT) + y AS yy, CAST(floor(c % 4 * 64 * (1 - 0.1)) AS BIGINT) + x AS xx FROM px WHERE y < 16)
-SELECT yy AS y, xx AS x, arg_max(v, c) AS v FROM p WHERE yy < 44 AND xx < 236 GROUP BY yy, xx""",
+    + """, n AS (SELECT max(y) + 1 AS h, max(c) // 4 + 1 AS rows FROM px),
+p AS (SELECT c, v, CAST(floor(c // 4 * h * CAST(0.9 AS DOUBLE)) AS BIGINT) + y AS yy, CAST(floor(c % 4 * 64 * CAST(0.9 AS DOUBLE)) AS BIGINT) + x AS xx, CASE WHEN rows <= 1 THEN h ELSE floor((rows - 1) * h * CAST(0.9 AS DOUBLE) + h) END AS tall FROM px, n)
+SELECT yy AS y, xx AS x, arg_max(v, c) AS v FROM p WHERE yy < tall AND xx < floor(3 * 64 * CAST(0.9 AS DOUBLE) + 64) GROUP BY yy, xx""",
     "chunk_index": STACK_SQL + "SELECT c, y // 16 AS chunk_y, x // 16 AS chunk_x, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS vmin, max(v) AS vmax FROM px GROUP BY c, y // 16, x // 16",
     "display_scale_12bit": STACK_SQL + "SELECT c, y, x, CAST(CASE WHEN v / 65535.0 > 1 THEN least(round_even(v / 65535.0, 0), 4095) ELSE round_even(v / CAST(65535 AS DOUBLE) * 4095, 0) END AS BIGINT) AS v FROM px",
     "rgb_interleave": STACK_SQL + "SELECT y, x, concat_ws(',', max(CASE WHEN c = 2 THEN v END), max(CASE WHEN c = 1 THEN v END), max(CASE WHEN c = 0 THEN v END)) AS bgr FROM px WHERE c < 3 GROUP BY y, x",

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumaframe.functions import scalar
-from lumaframe.operators import relational, tree
+from lumaframe.operators import browse, images, legacy, linked, metadata, relational, tree
+from lumaframe.sinks import preview
+from lumaframe.sources import containers
+from lumaframe.streaming import ingest
 
 QUERIES, SQL = {}, {}
 
@@ -29,6 +32,12 @@ def micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
+def node_rows(rows: DataFrame, tag: str, path, node, attrs: dict, parent=None) -> DataFrame:
+    """Rows of a table as nodes of one tag: each ``path`` is a document with one element."""
+    pairs = [x for k, v in attrs.items() for x in (F.lit(k), v.cast("string"))]
+    return rows.select(path.cast("string").alias("path"), node.cast("long").alias("node"), (F.lit(0) if parent is None else parent).cast("long").alias("parent"), F.lit(0).cast("long").alias("element"), F.lit(tag).alias("tag"), F.create_map(*pairs).alias("attrs"), F.lit("").alias("text"))
+
+
 def long(column):
     return (F.col(column) if isinstance(column, str) else column).cast("long")
 
@@ -106,20 +115,28 @@ def json_property(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
+UNITS = ("Meters", " mm ", "μm", "nm", "inches", "parsec", "in", "Centimetre", "millimetres", "cm", "micron", "inch")
+
+
 @query("""
-WITH u AS (SELECT p_partkey, p_size, ['Meters', ' mm ', 'μm', 'nm', 'inches', 'parsec'][p_size % 6 + 1] AS unit FROM part)
-SELECT p_partkey, unit, p_size * CASE lower(trim(unit)) WHEN 'meters' THEN 1e6 WHEN 'mm' THEN 1e3 WHEN 'nm' THEN 1e-3 ELSE CAST(1.0 AS DOUBLE) END AS micrometres FROM u""")
+WITH u AS (SELECT p_partkey, p_size, ['Meters', ' mm ', 'μm', 'nm', 'inches', 'parsec', 'in', 'Centimetre', 'millimetres', 'cm', 'micron', 'inch'][p_size % 12 + 1] AS unit FROM part)
+SELECT p_partkey, unit, p_size * CASE lower(trim(unit)) WHEN 'meters' THEN 1e6 WHEN 'mm' THEN 1e3 WHEN 'nm' THEN 1e-3 WHEN 'in' THEN 25400 WHEN 'inch' THEN 25400 WHEN 'centimetre' THEN 1e4 WHEN 'cm' THEN 1e4 WHEN 'millimetres' THEN 1e3 ELSE CAST(1.0 AS DOUBLE) END AS micrometres FROM u""")
 def unit_factor_lookup(spark, sf_dir):
-    unit = F.element_at(F.array(*[F.lit(u) for u in ("Meters", " mm ", "μm", "nm", "inches", "parsec")]), F.col("p_size") % 6 + 1)
+    unit = F.element_at(F.array(*map(F.lit, UNITS)), F.col("p_size") % 12 + 1)
     df = read(spark, sf_dir, "part").select("p_partkey", "p_size", unit.alias("unit"))
     return df.select("p_partkey", "unit", (F.col("p_size") * scalar.unit_factor(F.col("unit"))).alias("micrometres"))
 
 
 @query("""
-SELECT l_orderkey, """ + ", ".join(f"CAST(sum(CASE WHEN l_linenumber = {k} THEN l_quantity END) AS DOUBLE) AS d{k}" for k in (1, 2, 3, 4)) + " FROM lineitem GROUP BY l_orderkey")
+WITH d AS (SELECT l_orderkey, l_linenumber AS k, CAST(l_quantity AS INTEGER) AS n, CAST(l_extendedprice AS DOUBLE) AS len, CAST(l_partkey AS BIGINT) AS inc FROM lineitem),
+r AS (SELECT *, CASE WHEN n > 1 THEN len / (n - 1) ELSE 0.0 END AS res FROM d)
+SELECT l_orderkey, """ + ", ".join(f"CAST(coalesce(max(CASE WHEN k = {k} THEN n END), 1) AS INTEGER) AS {a}s, coalesce(max(CASE WHEN k = {k} THEN inc END), 0) AS {a}bytesinc, CAST(coalesce(max(CASE WHEN k = {k} THEN res END), 0) AS DOUBLE) AS {a}res" for k, a in ((1, "x"), (2, "y"), (3, "z"), (4, "t"))) + " FROM r GROUP BY l_orderkey")
 def dimension_pivot(spark, sf_dir):
-    out = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").pivot("l_linenumber", [1, 2, 3, 4]).agg(F.sum("l_quantity"))
-    return out.select("l_orderkey", *[F.col(str(k)).alias(f"d{k}") for k in (1, 2, 3, 4)])
+    """The lines of an order as the dimensions of an image."""
+    rows = read(spark, sf_dir, "lineitem")
+    attrs = {"DimID": F.col("l_linenumber"), "NumberOfElements": F.col("l_quantity").cast("int"), "Length": F.col("l_extendedprice").cast("double"), "BytesInc": F.col("l_partkey"), "Unit": F.lit("m")}
+    found = images.dimensions(node_rows(rows, "DimensionDescription", F.col("l_orderkey"), F.col("l_linenumber"), attrs))
+    return found.select(F.col("path").cast("long").alias("l_orderkey"), *[f"{a}{c}" for a in "xyzt" for c in ("s", "bytesinc", "res")])
 
 
 @query("SELECT page_id, url FROM pages WHERE NOT (lower(url) LIKE '%metadata%' OR lower(url) LIKE '%1%')")
@@ -128,11 +145,12 @@ def noise_name_filter(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, source, lang FROM (SELECT *, bool_or(lang = 'es') OVER (PARTITION BY source) AS has_es FROM documents) WHERE NOT has_es OR lang = 'es'""")
+WITH f AS (SELECT coalesce(source, 'none') AS dir, 'doc' || doc_id || CASE lang WHEN 'es' THEN '.xlef' WHEN 'de' THEN '.lif' ELSE '.txt' END AS name, lang FROM documents)
+SELECT dir, name, CASE WHEN lang IN ('es', 'de') THEN 'Folder' ELSE 'File' END AS type FROM (SELECT *, bool_or(coalesce(lang = 'es', false)) OVER (PARTITION BY dir) AS has_es FROM f) WHERE NOT has_es OR lang = 'es'""")
 def directory_priority(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    some = docs.groupBy(F.col("source").alias("_s")).agg(F.bool_or(F.col("lang") == "es").alias("some"))
-    return docs.join(some, F.col("source").eqNullSafe(F.col("_s"))).where(~F.col("some") | (F.col("lang") == "es")).select("doc_id", "source", "lang")
+    ext = F.when(F.col("lang") == "es", ".xlef").when(F.col("lang") == "de", ".lif").otherwise(".txt")
+    docs = read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("dir"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), ext).alias("name"), ext.alias("ext"), F.lit(0).alias("modified"), F.lit(0).alias("length"))
+    return browse.listing(docs).select("dir", "name", "type")
 
 
 @query("""
@@ -148,10 +166,17 @@ def semi_join_active(spark, sf_dir):
     return relational.semi_join_if_any(read(spark, sf_dir, "lineitem"), active, "l_suppkey", "s_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+@query("""
+WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 's' || s_suppkey, 'r' || (s_suppkey % 2) FROM supplier),
+w AS (SELECT 'r0' AS path, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN e ON a = path WHERE depth < 8)
+SELECT path, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY path""")
 def anti_join_visited(spark, sf_dir):
-    seen = read(spark, sf_dir, "lineitem").select("l_orderkey")
-    return read(spark, sf_dir, "orders").join(seen, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    """What one region reaches through nations and suppliers, which point back to regions."""
+    edge = lambda df, a, b: df.select(a.alias("path"), b.alias("target"))
+    name = lambda k, c: F.concat(F.lit(k), (F.col(c) if isinstance(c, str) else c).cast("string"))
+    nation, supplier = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
+    links = edge(nation, name("r", "n_regionkey"), name("n", "n_nationkey")).union(edge(supplier, name("n", "s_nationkey"), name("s", "s_suppkey"))).union(edge(supplier, name("s", "s_suppkey"), name("r", F.col("s_suppkey") % 2)))
+    return linked.reach(links, "r0")
 
 
 @query("""
@@ -178,12 +203,14 @@ def distinct_sorted_lines(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT user_id, event_type, min(event_id) AS first_id, count(*) AS n FROM events GROUP BY user_id, event_type)
-SELECT user_id, string_agg(event_type || '=' || n, ';' ORDER BY first_id) AS kinds FROM f GROUP BY user_id""")
+WITH r AS (SELECT user_id, event_type, event_id, event_id % 2 = 0 AS wave FROM events)
+SELECT user_id, event_type AS name, min(event_id) AS node, CAST(arg_max(event_id, event_id) FILTER (WHERE wave) AS DOUBLE) AS wavelength_nm, CAST(arg_max(event_id, event_id) FILTER (WHERE NOT wave) AS VARCHAR) AS power_state FROM r GROUP BY user_id, event_type""")
 def group_collect_map(spark, sf_dir):
-    kinds = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    lists = kinds.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("first_id", "event_type", "n"))).alias("a"))
-    return lists.select("user_id", F.array_join(F.transform("a", lambda k: F.concat_ws("=", k["event_type"], k["n"].cast("string"))), ";").alias("kinds"))
+    """A user's events as the records of lasers, one laser for each type."""
+    rows = read(spark, sf_dir, "events")
+    attrs = {"ObjectName": F.col("event_type"), "ClassName": F.lit("CLaser"), "Attribute": F.when(F.col("event_id") % 2 == 0, "Wavelength").otherwise("Power State"), "Variant": F.col("event_id")}
+    found = legacy.lasers(node_rows(rows, "FilterSettingRecord", F.col("user_id"), F.col("event_id"), attrs))
+    return found.select(F.col("path").cast("long").alias("user_id"), "name", "node", "wavelength_nm", "power_state")
 
 
 @query("""
@@ -194,23 +221,30 @@ def fill_if_missing(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, concat_ws(',', CASE WHEN p_size > 25 THEN 'size=' || p_size END, CASE WHEN p_brand <> '' THEN 'brand=' || p_brand END,
-  CASE WHEN p_type LIKE '%STEEL%' AND p_size <= 25 THEN 'steel=1' END) AS pairs FROM part""")
+WITH k AS (SELECT p_partkey, p_size, p_size / 50.0 AS na, p_size > 25 AS confocal, p_size % 3 = 0 AS rgb FROM part)
+SELECT p_partkey, CAST(CASE WHEN na > 0 THEN na END AS DOUBLE) AS na, CAST(CASE WHEN confocal AND p_size > 0 THEN p_size END AS DOUBLE) AS zoom, CAST(CASE WHEN confocal AND p_size % 4 > 1 THEN p_size % 4 END AS BIGINT) AS sections,
+  CASE WHEN NOT rgb AND p_size % 5 > 0 THEN '[' || (p_size % 5) || ',0]' END AS excitation, CASE WHEN NOT confocal THEN 'cam' END AS camera, CASE WHEN NOT rgb AND p_size % 2 = 0 THEN '["Unknown","A"]' END AS blocks FROM k""")
 def conditional_keyvalues(spark, sf_dir):
-    pairs = [
-        F.when(F.col("p_size") > 25, F.concat(F.lit("size="), F.col("p_size").cast("string"))),
-        F.when(F.col("p_brand") != "", F.concat(F.lit("brand="), F.col("p_brand"))),
-        F.when(F.col("p_type").contains("STEEL") & (F.col("p_size") <= 25), F.lit("steel=1")),
-    ]
-    return read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", *pairs).alias("pairs"))
+    """Parts as images: what the record says of each."""
+    size = F.col("p_size")
+    wide = read(spark, sf_dir, "part").select(
+        "p_partkey", (size / 50.0).alias("na"), F.when(size > 25, "IncohConfMicr").otherwise("IncohWFMicr").alias("mic_type"), (size % 3 == 0).alias("isrgb"), size.cast("double").alias("zoom"), (size % 4).cast("int").alias("zstack_sections"),
+        F.array((size % 5).cast("double"), F.lit(None)).alias("excitation"), F.lit("cam").alias("camera_name"), F.array(F.lit("Unknown"), F.when(size % 2 == 0, "A").otherwise("")).alias("filterblock"),
+    )
+    get = lambda k: F.get_json_object("keyvalues", f"$.{k}")
+    return images.key_values(wide).select(
+        "p_partkey", get("numerical_aperture").cast("double").alias("na"), get("zoom").cast("double").alias("zoom"), get("zstack_sections").cast("long").alias("sections"), get("excitation_wavelengths").alias("excitation"), get("camera_name").alias("camera"), get("filter_blocks").alias("blocks")
+    )
 
 
 @query("""
-SELECT route, count(*) AS n FROM (SELECT CASE WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 'single' WHEN l_quantity <= 10 AND l_tax <= 0.04 THEN 'as it is'
-  WHEN l_linestatus = 'O' THEN 'rgb' ELSE 'planar' END AS route FROM lineitem) GROUP BY route""")
+WITH w AS (SELECT l_returnflag = 'R' AS lif, l_linenumber > 1 AND l_discount > 0.05 AS gaps, CAST(l_quantity * 100 AS INTEGER) AS side, l_linestatus = 'O' AS rgb FROM lineitem)
+SELECT route, count(*) AS n FROM (SELECT CASE WHEN lif AND gaps THEN 'single lif' WHEN NOT lif AND (side <= 3192 OR gaps) THEN 'as it is' WHEN rgb THEN 'rgb' ELSE 'planar' END AS route FROM w) GROUP BY route""")
 def routing_case(spark, sf_dir):
-    route = F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.05), "single").when((F.col("l_quantity") <= 10) & (F.col("l_tax") <= 0.04), "as it is").when(F.col("l_linestatus") == "O", "rgb").otherwise("planar")
-    return read(spark, sf_dir, "lineitem").groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
+    """Line items as images: which writer each goes to."""
+    side = (F.col("l_quantity") * 100).cast("int")
+    wide = read(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "R", "a.lif").otherwise("a.lof").alias("path"), F.col("l_linenumber").alias("tiles"), (F.col("l_discount") > 0.05).alias("OverlapIsNegative"), side.alias("xs"), side.alias("ys"), (F.col("l_linestatus") == "O").alias("isrgb"))
+    return images.route(wide).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -237,21 +271,26 @@ def colour_pack_signed(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey, concat_ws(chr(10), c_name, CASE WHEN c_acctbal > 0 THEN 'balance ' || printf('%.2f', c_acctbal) END, 'segment ' || c_mktsegment) AS summary FROM customer""")
+SELECT c_custkey, concat_ws(chr(10), 'Name: ' || c_name, 'Size: ' || (c_custkey % 9 + 1) || ' x ' || (c_nationkey + 1) || ' pixels', CASE WHEN c_custkey % 4 > 1 THEN 'Channels: ' || (c_custkey % 4) END,
+  CASE WHEN c_acctbal > 0 THEN 'Pixel: ' || printf('%.2f', CAST(c_acctbal AS DOUBLE)) || ' µm' END, 'Microscope: ' || c_mktsegment, 'Objective: ' || c_mktsegment || CASE WHEN c_nationkey > 0 THEN ' (' || c_nationkey || '×)' ELSE '' END, 'Excitation: 488 nm, ' || c_nationkey || ' nm') AS summary FROM customer""")
 def summary_text(spark, sf_dir):
-    balance = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("balance "), F.format_string("%.2f", "c_acctbal")))
-    return read(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("\n", "c_name", balance, F.concat(F.lit("segment "), F.col("c_mktsegment"))).alias("summary"))
+    """Customers as images: what a viewer says of each."""
+    wide = read(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_name").alias("name"), (F.col("c_custkey") % 9 + 1).alias("xs"), (F.col("c_nationkey") + 1).alias("ys"), F.lit(1).alias("zs"), F.lit(1).alias("ts"), (F.col("c_custkey") % 4).alias("channels"), F.col("c_acctbal").cast("double").alias("xres2"),
+        F.col("c_mktsegment").alias("SystemTypeName"), F.col("c_mktsegment").alias("objective"), F.col("c_nationkey").cast("double").alias("magnification"), F.array(F.lit(488.0), F.col("c_nationkey").cast("double")).alias("excitation"),
+    )
+    return metadata.summary_text(wide).select("c_custkey", "summary")
 
 
 @query("""
-SELECT page_id, 'p' || page_id || '-lif' || CASE WHEN page_id % 2 = 0 THEN '' ELSE '_' || page_id % 7 END AS name FROM pages""")
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'p' || page_id || '-lif_img' ELSE 'x' || page_id || '_img' END AS name, 'p' || page_id || CASE WHEN page_id % 3 = 0 THEN '' ELSE '.ome' END AS stem, 'p' || page_id || '.lif' || CASE WHEN page_id % 5 = 0 THEN '' ELSE ' [a/b]' END AS shown FROM pages""")
 def name_with_extension(spark, sf_dir):
-    file = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("_"), (F.col("page_id") % 7).cast("string"))), F.when(F.col("page_id") % 3 == 0, ".ome.tiff").otherwise(".lif"))
-    base = scalar.stem(file)
-    start = F.concat(F.lit("p"), F.col("page_id").cast("string"))
-    rest = F.expr("substring(_base, length(_start) + 1)")
-    df = read(spark, sf_dir, "pages").select("page_id", base.alias("_base"), start.alias("_start"))
-    return df.select("page_id", F.when(F.col("_base").startswith(F.col("_start")), F.concat("_start", F.lit("-lif"), rest)).otherwise(F.col("_base")).alias("name"))
+    number = F.col("page_id").cast("string")
+    file = F.concat(F.lit("/data/p"), number, F.lit(".lif"))
+    own = F.concat(F.when(F.col("page_id") % 2 == 0, "p").otherwise("x"), number, F.lit("_img"))
+    result = F.concat(F.lit("p"), number, F.when(F.col("page_id") % 3 == 0, ".OME.tiff").otherwise(".ome.png"))
+    trail = F.when(F.col("page_id") % 5 != 0, "a/b")
+    return read(spark, sf_dir, "pages").select("page_id", browse.output_name(own, file).alias("name"), scalar.stem(result).alias("stem"), browse.shown_name(file, trail).alias("shown"))
 
 
 @query("""
@@ -291,38 +330,47 @@ def compare_tolerance(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, max(h) AS height FROM (SELECT doc_id, unnest(CASE WHEN n_chars <= 2048 THEN [200] ELSE [24, 100, 200] END) AS h FROM documents) GROUP BY doc_id""")
+SELECT doc_id, max(h) AS height, count(*) AS n FROM (SELECT doc_id, unnest(CASE WHEN n_chars <= 2048 THEN [200] ELSE [24, 100, 200] END) AS h FROM documents) GROUP BY doc_id""")
 def preview_heights(spark, sf_dir):
-    heights = F.when(F.col("n_chars") <= 2048, F.array(F.lit(200))).otherwise(F.array(F.lit(24), F.lit(100), F.lit(200)))
-    return read(spark, sf_dir, "documents").select("doc_id", F.explode(heights).alias("h")).groupBy("doc_id").agg(F.max("h").alias("height"))
+    df = read(spark, sf_dir, "documents").select("doc_id", F.explode(preview.heights(F.col("n_chars"), F.lit(10))).alias("h"))
+    return df.groupBy("doc_id").agg(F.max("h").alias("height"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""
-WITH l AS (SELECT conv_id, turn, role || ': [###] ' || (turn * 7 % 101) || '% done' AS line FROM conversations)
-SELECT conv_id, turn, CAST(regexp_extract(line, '([0-9]+)%', 1) AS BIGINT) AS percent, regexp_extract(line, '^([a-z]+):', 1) AS phase FROM l""")
+SELECT conv_id, turn, CAST(turn * 7 % 101 AS DOUBLE) AS percent, role AS phase FROM conversations WHERE turn % 3 > 0""")
 def progress_parse(spark, sf_dir):
-    line = F.concat("role", F.lit(": [###] "), (F.col("turn") * 7 % 101).cast("string"), F.lit("% done"))
-    df = read(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line"))
-    return df.select("conv_id", "turn", F.regexp_extract("line", "([0-9]+)%", 1).cast("long").alias("percent"), F.regexp_extract("line", "^([a-z]+):", 1).alias("phase"))
+    line = F.when(F.col("turn") % 3 > 0, F.concat("role", F.lit(": [###] "), (F.col("turn") * 7 % 101).cast("string"), F.lit("% done"))).otherwise("nothing to say")
+    df = read(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("value"))
+    return ingest.progress(df).select("conv_id", "turn", "percent", "phase")
 
 
 @query("""
-SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) GROUP BY page_id, tag""")
+WITH c AS (SELECT conv_id, role, turn FROM conversations)
+SELECT conv_id, tag, n, depth FROM (SELECT conv_id, role AS tag, count(*) AS n, CAST(1 AS INTEGER) AS depth FROM c GROUP BY conv_id, role UNION ALL SELECT conv_id, 'talk', 1, 0 FROM c GROUP BY conv_id UNION ALL SELECT conv_id, 'said', count(*), 2 FROM c GROUP BY conv_id)""")
 def xml_like_tag_scan(spark, sf_dir):
-    tags = F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)))
-    return read(spark, sf_dir, "pages").select("page_id", tags.alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    """Conversations as XML documents, parsed into nodes and counted by tag."""
+    one = F.concat(F.lit("<"), F.col("role"), F.lit(' turn="'), F.col("turn").cast("string"), F.lit('"><said/></'), F.col("role"), F.lit(">"))
+    docs = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(one)), "").alias("body"))
+    docs = docs.select(F.col("conv_id").cast("string").alias("path"), F.concat(F.lit("<talk>"), "body", F.lit("</talk>")).alias("xml"))
+    return containers.xml_nodes(docs).groupBy(F.col("path").cast("long").alias("conv_id"), "tag").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"))
 
 
 @query("""
-SELECT lang, n_docs, biggest FROM (SELECT lang, count(*) AS n_docs, CAST(max(n_chars) AS BIGINT) AS biggest FROM documents GROUP BY lang) ORDER BY lang""")
+WITH n AS (SELECT DISTINCT CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE CAST(n_nationkey * 7 % 100 AS VARCHAR) END AS name FROM nation)
+SELECT name, row_number() OVER (ORDER BY TRY_CAST(name AS BIGINT) IS NULL, TRY_CAST(name AS BIGINT), name) AS place FROM n""")
 def sorted_listing(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_chars").cast("long").alias("biggest")).orderBy("lang")
+    """Names in the order of a listing: numbers by value, then words. There are as many names as nations."""
+    name = F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise((F.col("n_nationkey") * 7 % 100).cast("string"))
+    names = read(spark, sf_dir, "nation").select(name.alias("name")).distinct()
+    return names.select("name", F.row_number().over(W.orderBy(scalar.numeric_order(F.col("name")))).cast("long").alias("place"))
 
 
 @query("""
-SELECT source, exactly FROM (SELECT source, count(*) = 1 AS exactly FROM documents WHERE lang = 'es' AND n_chars > 3000 GROUP BY source)""")
+WITH c AS (SELECT doc_id % 97 AS path, CASE WHEN n_chars > 900 THEN 'doc_histo' ELSE 'doc' END AS name, CASE WHEN lang = 'es' THEN 'Folder' ELSE 'image' END AS type FROM documents)
+SELECT path, count(*) = 1 AND bool_and(type <> 'Folder') AS single FROM c WHERE name = 'doc' GROUP BY path""")
 def single_visible_image(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'es' AND n_chars > 3000").groupBy("source").agg((F.count(F.lit(1)) == 1).alias("exactly"))
+    docs = read(spark, sf_dir, "documents").select((F.col("doc_id") % 97).alias("path"), F.when(F.col("n_chars") > 900, "doc_histo").otherwise("doc").alias("name"), F.when(F.col("lang") == "es", "Folder").otherwise("image").alias("type"))
+    return browse.single_image(docs)
 
 
 @query("""
