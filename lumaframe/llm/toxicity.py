@@ -4,8 +4,9 @@ Labelled documents give each word a log-odds score under Dirichlet priors: a wor
 towards those of its stem (its first letters), and a stem's towards the corpus. A linear-time scan
 (Ruzzo and Tompa) then finds all maximal-scoring segments of a text's words. By Karlin and
 Altschul's extreme-value law, chance alone gives K n exp(-lambda S) segments of score S or more in n
-words; that calibrates segments of texts of any length, and a logistic curve fitted to labelled
-documents that the scores have not seen turns the best segment's expectation into a probability.
+words; that calibrates segments of texts of any length, their sum statistic puts all of a text's
+segments together, and a logistic curve fitted to labelled documents that the scores have not seen
+turns this evidence into a probability.
 """
 
 from __future__ import annotations
@@ -107,9 +108,29 @@ class Scores:
         """Segments of this score or more that chance gives in n words."""
         return self.scale * max(n, 1) * float(np.exp(-self.rate * score))
 
-    def evidence(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The best segment's surprise: minus the log of its expectation; 0 where there is none."""
-        return np.where(best > 0, np.clip(self.rate * best - np.log(self.scale * np.maximum(n, 1)), -20.0, 60.0), -20.0)
+    def evidence(self, found: list[float], n: int) -> float:
+        """The surprise of a text of n words with segments of these scores: minus the log of its chance, -20 without any segment.
+
+        One segment's is minus the log of its expectation. Several together may surprise more than the
+        best alone: the sum T of r normalised scores has a chance of about exp(-T) T^(r-1) / (r! (r-1)!)
+        where T is large against r. The most surprising r counts.
+        """
+        if not found:
+            return -20.0
+        ground = float(np.log(self.scale * max(n, 1)))
+        total, best, fact = 0.0, -np.inf, 0.0
+        for r, score in enumerate(sorted(found, reverse=True), 1):
+            value = self.rate * score - ground
+            if r > 1 and value <= 0:
+                break
+            total += value
+            if r > 1:
+                fact += float(np.log(r * (r - 1)))  # of r! (r - 1)!
+            if r == 1:
+                best = total
+            elif total >= r * (r + 1):
+                best = max(best, total - (r - 1) * float(np.log(total)) + fact)
+        return float(np.clip(best, -20.0, 60.0))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -500, 500)))
@@ -166,11 +187,11 @@ def learn_scores(labelled: DataFrame) -> Scores:
     return Scores({r.word: clip(r.odds) for r in kept_words}, {r.stem: clip(r.stem_odds) for r in kept_stems})
 
 
-FOUND = "doc_id bigint, n_words bigint, best double, n_segments bigint, passages array<struct<start:int,end:int,score:double,expected:double>>"
+FOUND = "doc_id bigint, n_words bigint, best double, evidence double, n_segments bigint, passages array<struct<start:int,end:int,score:double,expected:double>>"
 
 
 def scan(documents: DataFrame, scores: Scores) -> DataFrame:
-    """For (doc_id, text): the number of words, the best segment's score, and every passage that chance hardly explains."""
+    """For (doc_id, text): the number of words, the best segment's score, the evidence of all segments together, and every passage that chance hardly explains."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
@@ -180,12 +201,14 @@ def scan(documents: DataFrame, scores: Scores) -> DataFrame:
                 n = np.diff(starts)
                 some = np.add.reduceat(np.concatenate([(each > 0).astype(np.int64), [0]]), starts[:-1]) * (n > 0)
                 best, count, passages = np.zeros(len(n)), np.zeros(len(n), np.int64), [[] for _ in n]
+                evidence = np.full(len(n), -20.0)
                 for i in np.flatnonzero(some).tolist():
                     found = segments(each[starts[i] : starts[i + 1]])
                     best[i], count[i] = max(s for _, _, s in found), len(found)
+                    evidence[i] = scores.evidence([s for _, _, s in found], int(n[i]))
                     likely = [(x, y, s, scores.expected(s, int(n[i]))) for x, y, s in found]
                     passages[i] = [{"start": x, "end": y, "score": s, "expected": e} for x, y, s, e in likely if e <= SIGNIFICANT]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n), pa.array(best), pa.array(count), pa.array(passages, kind)], ["doc_id", "n_words", "best", "n_segments", "passages"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n), pa.array(best), pa.array(evidence), pa.array(count), pa.array(passages, kind)], ["doc_id", "n_words", "best", "evidence", "n_segments", "passages"])
 
     return documents.select("doc_id", "text").mapInArrow(look, FOUND)
 
@@ -259,10 +282,9 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     scores = learn_scores(labelled.where(F.col("_fold") != CALIBRATION))
     fresh = labelled.where(F.col("_fold") == CALIBRATION)
     scores.rate, scores.scale = chance(fresh, scores)
-    rows = scan(fresh, scores).select("doc_id", "best", "n_words").join(F.broadcast(own), F.col("doc_id") == own["_id"]).select("best", "n_words", "toxic").toPandas()
+    rows = scan(fresh, scores).select("doc_id", "evidence").join(F.broadcast(own), F.col("doc_id") == own["_id"]).select("evidence", "toxic").toPandas()
     if rows["toxic"].nunique() == 2:
-        evidence = scores.evidence(rows["best"].to_numpy(np.float64), rows["n_words"].to_numpy(np.float64))
-        scores.slope, scores.offset = logistic(evidence, rows["toxic"].to_numpy(np.float64))
+        scores.slope, scores.offset = logistic(rows["evidence"].to_numpy(np.float64), rows["toxic"].to_numpy(np.float64))
     else:
         scores.slope, scores.offset = 1.0, -5.0
     return scores
@@ -278,9 +300,6 @@ def score_documents(documents: DataFrame, labels: DataFrame, text: str = "text",
     scores = learn(documents, labels, text, doc_id, label)
     slim = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     found = scan(slim, scores)
-    n, best = F.greatest(F.col("n_words"), F.lit(1)), F.col("best")
-    raw = F.lit(scores.rate) * best - F.log(F.lit(scores.scale) * n)
-    evidence = F.when(best > 0, F.greatest(F.lit(-20.0), F.least(F.lit(60.0), raw))).otherwise(F.lit(-20.0))
-    score = 1 / (1 + F.exp(-(F.lit(scores.slope) * evidence + F.lit(scores.offset))))
+    score = 1 / (1 + F.exp(-(F.lit(scores.slope) * F.col("evidence") + F.lit(scores.offset))))
     out = found.withColumn("score", score)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "passages")

@@ -199,6 +199,16 @@ def test_segments():
         assert got == [(a, b, round(s, 6)) for a, b, s in brute_segments(scores.tolist())]
 
 
+def test_evidence_of_several_segments():
+    scores = toxicity.Scores({}, {}, rate=0.8, scale=0.05)
+    one = scores.evidence([20.0], 400)
+    assert one == pytest.approx(-math.log(scores.expected(20.0, 400)))
+    assert scores.evidence([20.0, 1.0], 400) == one  # a segment that chance explains adds nothing
+    two = 2 * one
+    assert scores.evidence([20.0, 20.0], 400) == pytest.approx(two - math.log(two) + math.log(2))
+    assert scores.evidence([], 400) == -20.0 and scores.evidence([1e6] * 50, 1) == 60.0
+
+
 def test_toxicity(spark, docs, nothing):
     labels = spark.createDataFrame([(i, 1, int(i in (0, 2))) for i in range(15)] + [(None, 1, 1), (900, 0, None)], "doc_id bigint, quality int, toxic int")
     found = toxicity.score_documents(docs, labels).collect()
