@@ -29,14 +29,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Coordinates are joined in bands of ROWS: at a similarity of 0.8 a pair shares no band once in 300,000 pairs.
 BANDS, ROWS = 24, 4
-#: Coordinates in all; four bits of each make a sketch, by which pairs far from the similarity are told.
-COORDINATES = 192
-#: A sketch may differ in so many standard deviations more coordinates than expected at the similarity asked for.
-DEVIATIONS = 4.5
 #: Texts are worked on in groups of about so many bytes.
 GROUP_BYTES = 600_000
 #: A hot bucket's rows are dealt to this many keys.
 SALTS = 16
+#: Members, and heads they are compared with, that one task holds together.
+MEMBERS, HEADS = 1000, 500
 #: In its k-th round a bucket's members are compared with its first 8**k - 1.
 MORE = 8
 #: Buckets beyond this size are put together by their first member when pairs across components are looked for.
@@ -136,38 +134,14 @@ def text_groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         first = last
 
 
-def packed_sketch(found: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen coordinates to an integer."""
-    four = (mix64(found) & np.uint64(15)).reshape(len(found), -1, 16)
-    return np.bitwise_or.reduce(four << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
-
-
-def differing(a: str, b: str) -> Column:
-    """In how many coordinates two sketches differ."""
-    total = F.lit(0)
-    for k in range(COORDINATES // 16):
-        x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
-
-
-def most_differing(similarity: float) -> float:
-    """In how many coordinates the sketches of a pair with this similarity may differ."""
-    p = (1 - similarity) * 15 / 16
-    return COORDINATES * p + DEVIATIONS * float(np.sqrt(COORDINATES * p * (1 - p)))
-
-
 def signed(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, name, gone, d1, d2, bands, sketch) for (node, text, name, gone): digests of the word sequence, one hash for
-    each band of the signature, and the sketch.
+    """(node, name, gone, d1, d2, bands) for (node, text, name, gone): digests of the word sequence, and one hash for each band of the signature.
 
     A text without words has no bands, and digests of its own.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        darts = Darts(max(COORDINATES, bands * rows))
+        darts = Darts(bands * rows)
         for b in batches:
             for first, raw, starts in text_groups(b.column(1)):
                 n = len(starts) - 1
@@ -176,15 +150,13 @@ def signed(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 has = np.bincount(owner, minlength=n) > 0
                 value = np.zeros((n, bands), np.uint64)
                 for j in range(rows):
-                    value = mix64(value * _C[0] + found[:, j : bands * rows : rows] + np.uint64(j))
+                    value = mix64(value * _C[0] + found[:, j::rows] + np.uint64(j))
                 node = b.column(0).slice(first, n)
                 own = mix64(node.to_numpy().astype(np.int64).view(np.uint64) + _C[1])
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32), value[has].reshape(-1).view(np.int64))
-                sketch = packed_sketch(found[:, :COORDINATES])
-                sketches = pa.ListArray.from_arrays(np.arange(0, sketch.size + 1, sketch.shape[1], dtype=np.int32), sketch.reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([node, b.column(2).slice(first, n), b.column(3).slice(first, n), pa.array(np.where(has, d1, own).view(np.int64)), pa.array(np.where(has, d2, own).view(np.int64)), lists, sketches], ["node", "name", "gone", "d1", "d2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([node, b.column(2).slice(first, n), b.column(3).slice(first, n), pa.array(np.where(has, d1, own).view(np.int64)), pa.array(np.where(has, d2, own).view(np.int64)), lists], ["node", "name", "gone", "d1", "d2", "bands"])
 
-    return texts.mapInArrow(sign, "node bigint, name bigint, gone boolean, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>")
+    return texts.mapInArrow(sign, "node bigint, name bigint, gone boolean, d1 bigint, d2 bigint, bands array<bigint>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -244,12 +216,49 @@ def all_salts() -> Column:
 
 
 def unsettled(groups: DataFrame, labels: DataFrame, done: int) -> DataFrame:
-    """The rows of groups that lie in more than one component and have members beyond the first ``done`` + 1, with components."""
+    """The rows of groups that lie in more than one component and have members beyond the first ``done`` + 1, with
+    components, and the number of parts that a group's members are dealt to."""
     named = labels.select(F.col("node").alias("_node"), "component")
     placed = groups.join(named, groups["rep"] == named["_node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("_node")
     mixed = placed.groupBy("group").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n"))
-    open_ = mixed.where((F.col("_low") != F.col("_high")) & (F.col("_n") > done + 1)).select("group", all_salts())
-    return placed.withColumn("_salt", salted("rep")).join(open_, ["group", "_salt"])
+    open_ = mixed.where((F.col("_low") != F.col("_high")) & (F.col("_n") > done + 1)).select("group", F.ceil(F.col("_n") / MEMBERS).cast("int").alias("parts"), all_salts())
+    return placed.withColumn("_salt", salted("rep")).join(open_, ["group", "_salt"]).drop("_salt")
+
+
+def compared(members: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the links between heads and later members of other components, by groups, parts of their members and blocks of their heads.
+
+    Both sides have rep, component, size, alike, own (shingles of their own), shingles, and the keys
+    group, part and block. A task counts the shingles that each pair shares and gives only links: no
+    pair is a row. It holds at most about MEMBERS members and HEADS heads.
+    """
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.zeros((2, 0), np.int64)]
+        if left.num_rows and right.num_rows:
+            col = lambda t, k: t.column(k).to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), "<u4") for x in left.column("shingles")]
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            value = np.concatenate(sets)
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], owner[order]
+            size, alike, part, own, rep = (col(left, k) for k in ("size", "alike", "component", "own", "rep"))
+            for h in range(right.num_rows):
+                mine = np.frombuffer(right.column("shingles")[h].as_buffer(), "<u4")
+                first, last = np.searchsorted(value, mine), np.searchsorted(value, mine, side="right")
+                n = last - first
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                shared = np.bincount(owner[at], minlength=len(sets))
+                hs, ha, hc, ho, hr = (right.column(k)[h].as_py() for k in ("size", "alike", "component", "own", "rep"))
+                later = (own > ho) | ((own == ho) & (rep > hr))
+                near = (part != hc) & later & (np.abs(alike - ha) <= 1 - similarity + 1e-9)
+                hit = np.flatnonzero(near & (shared >= similarity * (size + hs - shared) - 1e-9))
+                out.append(np.stack([np.minimum(rep[hit], hr), np.maximum(rep[hit], hr)]))
+        found = np.concatenate(out, axis=1)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    keys = ("group", "part", "block")
+    return members.groupBy(*keys).cogroup(heads.groupBy(*keys)).applyInArrow(count, "a bigint, b bigint").distinct()
 
 
 def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -299,14 +308,11 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     * Buckets whose members are not all in one component are looked at again, with their first 7,
       63, 511, ... members against later ones of other components, until each is in one component or
       all its pairs across components have been dealt with. Members with the fewest shingles of
-      their own come first: they lie in the middle of a group, so most others join them at once. A
-      pair is compared unless the shingles that each shares with any other component are too few
-      for the similarity, or their similarities to the bucket's first differ by more than the
-      triangle inequality (of one less the similarity) lets a link have, or their signatures differ
-      in so many coordinates as a pair with the similarity does once in 300,000. Large buckets with
-      the same first member are dealt with together, and a group's members are dealt to SALTS keys.
-      So large buckets of true duplicates are never expanded into pairs, nor are those of documents
-      that resemble one another less.
+      their own come first: they lie in the middle of a group, so most others join them at once.
+      Members go that share too few shingles with any other component for a link. Heads and members
+      meet in blocks of bounded size, in which the shingles of each pair are counted and only links
+      are given. Large buckets with the same first member are dealt with together. So no pair that
+      could join two components is left out, and no pair but a link becomes a row.
 
     Links are verified on 32-bit hashes of the shingles: two shingles of a pair fall together by chance
     once in 4 billion. doc_ids are whole numbers.
@@ -321,7 +327,7 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     texts = documents.select(node.alias("node"), body.alias("text"), name.alias("name"), F.col(doc_id).isNull().alias("gone"))
     known = cut(signed(texts))
     texts = texts.select("node", "text")
-    copies = known.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.min(F.struct("name", "node")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    copies = known.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.min(F.struct("name", "node")).alias("first"), F.first("bands").alias("bands"))
     copies = cut(copies)
     rows = copies.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = rows.groupBy("band", "hash").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -331,7 +337,6 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
     sets = cut(shingle_sets(texts.join(wanted, texts["node"] == wanted["_rep"], "left_semi").dropDuplicates(["node"])))
     led = written(verified(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), sets, 0.0))
-    tried = led.select("a", "b")
     labels = connected_components(led.where(F.col("alike") >= similarity - 1e-9).select("a", "b"))
     group = F.when(F.col("n") > LARGE, F.xxhash64(F.lit(-1), "lead")).otherwise(F.xxhash64("band", "hash"))
     groups = members.where("n > 2 AND rep <> lead").select(group.alias("group"), "lead", "rep").distinct()
@@ -340,23 +345,22 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     if not empty(first):
         # a document that shares too few of its shingles with any other component is in no link that matters
         shared = shared_shingles(sets, first).where(F.col("common") >= similarity * F.col("size") - 1e-9)
-        groups = written(groups.join(shared, "rep").join(copies.select("rep", "sketch"), "rep").withColumn("order", F.struct(F.col("size") - F.col("common"), "rep")))
+        groups = written(groups.join(shared, "rep").withColumn("own", F.col("size") - F.col("common")))
+    own_sets = sets.select(F.col("node").alias("rep"), "shingles")
     done, upto = 0, MORE - 1
     while not empty(first):
         still = written(unsettled(groups, labels, done))
         if empty(still):
             break
-        at = F.row_number().over(W.partitionBy("group").orderBy("order"))
-        heads = still.withColumn("_at", at).where(F.col("_at") <= upto).where(F.col("_at") > done)
-        heads = heads.select("group", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "size", "common", "alike", "order", "sketch")], all_salts())
-        most = F.least("common", "_common")
-        near = F.abs(F.col("alike") - F.col("_alike")) <= 1 - similarity + 1e-9
-        close = differing("sketch", "_sketch") <= most_differing(similarity)
-        pairs = still.join(heads, ["group", "_salt"]).where(close & (F.col("component") != F.col("_component")) & (F.col("_order") < F.col("order")) & near & (most >= similarity * (F.col("size") + F.col("_size") - most) - 1e-9))
-        pairs = pairs.select(F.least("_rep", "rep").alias("a"), F.greatest("_rep", "rep").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        fresh = written(verified(pairs, sets, similarity).select("a", "b"))
+        at = F.row_number().over(W.partitionBy("group").orderBy("own", "rep"))
+        heads = written(still.withColumn("_at", at).where(F.col("_at") <= upto).where(F.col("_at") > done).withColumn("block", F.floor((F.col("_at") - done - 1) / HEADS).cast("int")))
+        columns = ("rep", "component", "size", "alike", "own", "shingles", "group", "part", "block")
+        blocks = heads.groupBy("group").agg((F.max("block") + 1).alias("_blocks"))
+        part = F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")).cast("int")
+        members = still.join(blocks, "group").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        members, heads = (t.join(own_sets, "rep").select(*[F.col(c).alias(c) for c in columns]) for t in (members, heads))
+        fresh = written(compared(members, heads, similarity))
         done, upto = upto, MORE * (upto + 1) - 1
         if not empty(fresh):
             labels = joined_labels(labels, fresh)
