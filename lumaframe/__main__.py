@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--other-out", help="a second folder for the result")
     parser.add_argument("--with-metadata", action="store_true")
     parser.add_argument("--with-xml", action="store_true")
-    parser.add_argument("--seek", action="store_true", help="open files where they are mounted and read headers only")
+    parser.add_argument("--seek", action=argparse.BooleanOptionalAction, default=None, help="open files where they are mounted and read headers only")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     library = Library(spark, args.path, args.seek)

@@ -18,7 +18,7 @@ FORMATS = {"ome-tiff": "tiff", "ometiff": "tiff", "ome.tiff": "tiff", "tiff": "t
 class Library:
     """The containers below a path. Tables are built once and kept until the library is closed."""
 
-    def __init__(self, spark: SparkSession, path: str, seek: bool = False) -> None:
+    def __init__(self, spark: SparkSession, path: str, seek: bool | None = None) -> None:
         self.spark = spark
         self.found = containers.containers(spark, path, seek).cache()
         self.nodes = containers.xml_nodes(self.found).cache()

@@ -110,7 +110,7 @@ def summary_text(wide: DataFrame) -> DataFrame:
     details = F.concat_ws(", ", F.when(col("magnification") > 0, F.concat(F.regexp_replace(col("magnification").cast("string"), "[.]0$", ""), F.lit("×"))), F.when(col("na") > 0, F.concat(F.lit("NA "), col("na").cast("string"))), scalar.fill(col("immersion")))
     objective = F.when(~scalar.missing(col("objective")), F.concat(col("objective"), F.when(details != "", F.concat(F.lit(" ("), details, F.lit(")"))).otherwise("")))
     size = F.concat(F.concat_ws(" x ", col("xs").cast("string"), col("ys").cast("string"), F.when(col("zs") > 1, col("zs").cast("string"))), F.lit(" pixels"))
-    spacing = F.when(col("xres2") > 0, F.format_string("%.2f µm", col("xres2").cast("double")))
+    spacing = F.when(col("xres2") > 0, F.format_string("%.2f µm", F.bround(col("xres2").cast("double"), 2)))
     lines = [
         scalar.line("Name", col("name")), scalar.line("Size", F.when(col("xs").isNotNull() & col("ys").isNotNull(), size)), scalar.line("Channels", F.when(col("channels") > 1, col("channels"))), scalar.line("Times", F.when(col("ts") > 1, col("ts"))),
         scalar.line("Pixel", spacing), scalar.line("Experiment", col("experiment_name")), scalar.line("Date", F.date_format(col("experiment_time", "timestamp"), "yyyy-MM-dd HH:mm:ss")), scalar.line("Microscope", F.concat_ws(" ", scalar.fill(col("SystemTypeName")), scalar.fill(col("MicroscopeModel")))),

@@ -73,6 +73,8 @@ def previews(wide: DataFrame, height: int = 256, plane: dict[str, int] | None =
             wanted = wanted.where(F.col("c").isin(channels) | (F.col("samples") == 3))
         one = pixels.chunks(wanted, step)
         parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        return wide.sparkSession.createDataFrame([], "uuid string, height int, png binary")
     luts = wide.select(F.col("uuid").alias("_u"), F.col("lutname"), F.col("ys").alias("full"))
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:

@@ -77,9 +77,13 @@ def read_lof(file) -> tuple[str, str, list[dict]]:
     """(type name, XML, the memory block)."""
     frame(file)
     name = text(file)
-    for _ in range(2):  # version numbers
-        take(file, "Bi")
-    _, size = take(file, "BQ")
+    for what in ("major version", "minor version"):
+        mark, _ = take(file, "Bi")
+        if mark != MARK:
+            raise ValueError(f"no mark before the {what}")
+    mark, size = take(file, "BQ")
+    if mark != MARK:
+        raise ValueError("no mark before the size of the pixels")
     position = file.tell()
     file.seek(size, os.SEEK_CUR)
     frame(file)
@@ -97,13 +101,20 @@ def local(path: str) -> str:
     return urllib.parse.unquote(urllib.parse.urlparse(path).path) if path.startswith("file:") else path
 
 
-def containers(spark: SparkSession, path: str, seek: bool = False) -> DataFrame:
+def mounted(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one of the file system, which executors open as Spark itself does."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
+def containers(spark: SparkSession, path: str, seek: bool | None = None) -> DataFrame:
     """One row for each container file below ``path``; what can't be read has a problem instead of XML.
 
-    By default Spark reads the files, whatever store they are in, up to its 2 GiB limit for one file.
-    With ``seek``, files on a path that every executor mounts are opened there and only headers are
-    read, whatever their size.
+    With ``seek``, files are opened where they lie, and only headers are read, whatever their size;
+    this is how files of a mounted file system are read if nothing is said. Files of other stores are
+    read whole by Spark, up to its 2 GiB limit for one file.
     """
+    seek = mounted(spark, path) if seek is None else seek
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{lif,lof,xlef,xlcf,xlif,LIF,LOF,XLEF,XLCF,XLIF}").load(path)
     return parse(files.select("path", "modificationTime", F.lit(None).cast("binary").alias("content") if seek else F.col("content")))
 
