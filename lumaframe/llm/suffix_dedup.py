@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import cut, mix64, release, text_bytes
+from lumaframe.llm.common import mix64, release, text_bytes, written
 
 LENGTH = 100
 GRAM = 37
@@ -277,9 +277,10 @@ def dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     far as they reach. An empty table gives no rows.
     """
     texts = documents.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranked = cut(sort_by_pair(sampled(texts)).where("again OR NOT alone"))
+    ranked = written(sort_by_pair(sampled(texts)).where("again OR NOT alone"))
     release(documents.sparkSession)  # the sampled positions, by far the most rows, have been sorted
-    by_eights = sort_by_pair(eights(texts, open_rows(ranked).select("doc", "place", "n", "ahead"))).where("again OR NOT alone")
+    by_eights = written(sort_by_pair(eights(texts, open_rows(ranked).select("doc", "place", "n", "ahead"))).where("again OR NOT alone"))
+    release(documents.sparkSession)
     last = sort_by_pair(singles(open_rows(by_eights)))
     runs = repeats(ranked).unionByName(repeats(by_eights)).unionByName(repeats(last)).groupBy("doc").agg(F.collect_list(F.struct("place", "until")).alias("runs"))
     joined = texts.join(runs, texts["key"] == runs["doc"], "left").select("key", "text", "runs")
