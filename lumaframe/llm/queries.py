@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import decontamination, language_model, license_scan, line_dedup, minhash, mixing, quality_rules, suffix_dedup, token_files, toxicity
+from lumaframe.llm import decontamination, filter_audit, language_model, license_scan, line_dedup, minhash, mixing, quality_rules, suffix_dedup, token_files, toxicity
 from lumaframe.llm.common import table
 
 
@@ -125,6 +125,34 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Failures by document (f), documents by mask (c), the orders (o) and what each step of an order does.
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY body) AS first FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 3 * length(body) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+      FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM a p, a q, a r, a s, a t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+k AS (SELECT part, n, good, toxic, fails, filter_order, step, contains(fails, substr(filter_order, step, 1)) AS own,
+        len(list_intersect(string_split(fails, ''), string_split(substr(filter_order, 1, step - 1), ''))) > 0 AND step > 1 AND fails <> '' AS gone FROM c, o, (SELECT unnest(range(1, 6)) AS step)),
+h AS (SELECT part, substr(filter_order, step, 1) AS x, sum(n) AS shapley FROM k WHERE own AND NOT gone GROUP BY 1, 2)
+SELECT k.part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (own AND NOT gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (own AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = substr(filter_order, step, 1)), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (own AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (own AND NOT gone), 0) AS BIGINT) AS toxic_lost, CAST(coalesce(any_value(shapley), 0) AS BIGINT) AS shapley
+FROM k LEFT JOIN h ON k.part = h.part AND h.x = substr(filter_order, step, 1)
+GROUP BY k.part, filter_order, step
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -137,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_classes": op8_minhash_classes,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_files": op10_token_files,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -144,4 +173,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
         "op9_quality_rules": OP9_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
