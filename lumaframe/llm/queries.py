@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import decontamination, filter_audit, language_model, license_scan, line_dedup, minhash, mixing, quality_rules, suffix_dedup, token_files, toxicity
+from lumaframe.llm import decontamination, filter_audit, language_model, license_scan, line_dedup, minhash, mixing, neighbours, quality_rules, suffix_dedup, token_files, toxicity
 from lumaframe.llm.common import table
 
 
@@ -125,6 +125,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -165,6 +169,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_classes": op8_minhash_classes,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_files": op10_token_files,
+        "op12_neighbours": op12_neighbours,
         "op13_filter_audit": op13_filter_audit,
     }
 
