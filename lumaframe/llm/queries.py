@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import decontamination, filter_audit, language_model, license_scan, line_dedup, minhash, mixing, neighbours, quality_rules, suffix_dedup, token_files, toxicity
+from lumaframe.llm import collocations, decontamination, filter_audit, language_model, license_scan, line_dedup, minhash, mixing, neighbours, quality_rules, suffix_dedup, token_files, toxicity
 from lumaframe.llm.common import table
 
 
@@ -125,6 +125,33 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+#: Words in pieces (w), what follows each (g), the counts of one to three words (f1 to f3), both kinds of candidates (c2, c3) and what is dropped.
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, unnest(pieces) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, ws[i + 1] AS w1, ws[i + 2] AS w2, ws[i + 3] AS w3 FROM (SELECT lang, ws, unnest(range(len(ws))) AS i FROM w)),
+t AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+f1 AS (SELECT lang, w1 AS w, count(*) AS f FROM g GROUP BY lang, w1),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10),
+x AS (SELECT lang, w1, w2, max(f) AS longer FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY lang, w1, w2),
+c2 AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, a.f AS l, b.f AS r, f2.f::HUGEINT * f2.f * 1000000 // (a.f::HUGEINT * b.f) AS score
+       FROM f2 JOIN f1 a ON a.lang = f2.lang AND a.w = f2.w1 JOIN f1 b ON b.lang = f2.lang AND b.w = f2.w2 LEFT JOIN x ON x.lang = f2.lang AND x.w1 = f2.w1 AND x.w2 = f2.w2 WHERE longer IS NULL OR 100 * longer < 50 * f2.f),
+s AS (SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.f AS a, a.f AS l1, q.f AS r1, p.f AS l2, b.f AS r2,
+        f3.f::HUGEINT * f3.f * 1000000 // (a.f::HUGEINT * q.f) AS s1, f3.f::HUGEINT * f3.f * 1000000 // (p.f::HUGEINT * b.f) AS s2
+      FROM f3 JOIN f1 a ON a.lang = f3.lang AND a.w = f3.w1 JOIN f1 b ON b.lang = f3.lang AND b.w = f3.w3
+        JOIN f2 p ON p.lang = f3.lang AND p.w1 = f3.w1 AND p.w2 = f3.w2 JOIN f2 q ON q.lang = f3.lang AND q.w1 = f3.w2 AND q.w2 = f3.w3),
+c AS (SELECT * FROM c2 UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM k JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -169,6 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_classes": op8_minhash_classes,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_files": op10_token_files,
+        "op11_collocations": op11_collocations,
         "op12_neighbours": op12_neighbours,
         "op13_filter_audit": op13_filter_audit,
     }
@@ -178,5 +206,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
         "op9_quality_rules": OP9_SQL,
+        "op11_collocations": OP11_SQL,
         "op13_filter_audit": OP13_SQL,
     }
