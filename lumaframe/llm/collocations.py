@@ -93,8 +93,8 @@ def cut_places(raw: np.ndarray, most: int) -> list[int]:
     return [*places, len(raw)]
 
 
-def segments(documents: DataFrame) -> DataFrame:
-    """(segment, lang, words, sizes, positions): the vertical lists of every segment, each of one language."""
+def segments(documents: DataFrame, most: int = SEGMENT) -> DataFrame:
+    """(segment, lang, words, sizes, positions): the vertical lists of every segment, each of one language and of about ``most`` bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -115,12 +115,12 @@ def segments(documents: DataFrame) -> DataFrame:
             raw, starts = text_bytes(b.column(1))
             for i, lang in enumerate(b.column(0).to_pylist()):
                 text = raw[starts[i] : starts[i + 1]]
-                places = cut_places(text, SEGMENT)
+                places = cut_places(text, most)
                 for a, z in zip(places, places[1:], strict=False):
                     if z > a:
                         held.setdefault(lang, []).append(text[a:z].copy())
                         size[lang] = size.get(lang, 0) + z - a
-                        if size[lang] >= SEGMENT or sum(size.values()) >= 2 * SEGMENT:
+                        if size[lang] >= most or sum(size.values()) >= 2 * most:
                             yield close(max(size, key=size.get))
         for lang in list(held):
             yield close(lang)
@@ -234,14 +234,14 @@ def score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", (wide(a) * million) * wide(a), wide(left) * wide(right)).cast("long")
 
 
-def collocations(documents: DataFrame, least: int = 10, most: int = 2000, inside: int = 50) -> DataFrame:
+def collocations(documents: DataFrame, least: int = 10, most: int = 2000, inside: int = 50, segment: int = SEGMENT) -> DataFrame:
     """Each language's ``most`` best phrases of two or three words: (lang, rank, phrase, a, l, r, n, score).
 
     Phrases stand at least ``least`` times (a). l and r are the frequencies of the two parts at the cut where the score is
     lowest, n is the number of all words. A pair within a frequent triple that has at least ``inside`` per cent of its
     occurrences is left out.
     """
-    parts = written(segments(documents))
+    parts = written(segments(documents, segment))
     vocabulary = parts.select("segment", "lang", F.posexplode(F.arrays_zip("words", "sizes")).alias("place", "w")).select("segment", "lang", "place", F.col("w.words").alias("word"), F.col("w.sizes").cast("long").alias("n"))
     totals = parts.groupBy("lang").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
     words = written(numbered(vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)))
