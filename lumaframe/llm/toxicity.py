@@ -271,9 +271,11 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     """Scores and calibration from the labelled documents outside the held-out fold.
 
     The labels taken are at most about ``max_labelled`` rows, which bounds what is broadcast and what
-    the driver fits; rows without a label, and labels without a document, teach nothing.
+    the driver fits; rows without a label, and labels without a document, teach nothing. Of several labels of one doc_id
+    the greatest counts, once; other columns of ``labels`` aren't read.
     """
     own = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).where(fold(F.col(doc_id)) != HELD_OUT).select(F.col(doc_id).cast("bigint").alias("_id"), F.col(label).cast("bigint").alias("toxic"))
+    own = own.groupBy("_id").agg(F.max("toxic").alias("toxic"))  # one label for each doc_id
     n = own.count()
     if n > max_labelled:
         own = own.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(max_labelled / n * (1 << 30)))
