@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -45,12 +44,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that only cut plans refer to: Spark removes them once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new folder beside the session's checkpoints, which executors and driver share."""
     ensure_checkpoint_dir(spark)
@@ -69,6 +62,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has (in whatever case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def empty(df: DataFrame) -> bool:
     """Whether a table has no rows, in one job over all its partitions."""
     return df.limit(1).count() == 0

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumaframe.llm.common import WORD_TABLE, column_bytes, mix64, text_bytes
-from lumaframe.llm.suffix_dedup import Fingerprints, in_order, known_repeats, powers
+from lumaframe.llm.suffix_dedup import NULL_ID, Fingerprints, in_order, known_repeats, powers, tag_of, tagged
 from lumaframe.llm.words import bounds
 
 #: A phrase has at least this many words; so has a line or paragraph that may be removed.
@@ -36,10 +36,9 @@ CUT = 6
 GROUP_BYTES = 4_000_000
 LINE = re.compile(rb"\n")
 PARAGRAPH = re.compile(rb"\n[\x20\x09-\x0D]*\n")
-#: Stands for a null doc_id in ranks, and sorts first.
-NULL_ID = -(1 << 63)
 
-UNITS = "key bigint, start int, until int, d1 bigint, d2 bigint, again boolean"
+#: ``start`` has the text's tag in its upper half.
+UNITS = "key bigint, start bigint, until int, d1 bigint, d2 bigint, again boolean"
 KEPT = "doc_id bigint, n_words bigint, n_removed bigint, n_chars bigint, spans array<struct<start:int,end:int>>, kept string"
 _LANES = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -133,10 +132,11 @@ def unit_rows(texts: DataFrame, units: Units) -> DataFrame:
             if not found:
                 continue
             doc, start, until, d1, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
+            start = start + b.column(2).to_numpy()[doc]
             again = known_repeats(d1, d2, keys[doc], start)
             own = mix64(keys[doc].astype(np.int64).view(np.uint64) * _LANES[0] + start.astype(np.uint64))
             d1, d2 = np.where(again, own, d1), np.where(again, mix64(own), d2)
-            arrays = [pa.array(keys[doc]), pa.array(start.astype(np.int32)), pa.array(until.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(again)]
+            arrays = [pa.array(keys[doc]), pa.array(start.astype(np.int64)), pa.array(until.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(again)]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "until", "d1", "d2", "again"])
 
     return texts.mapInArrow(find, UNITS)
@@ -148,19 +148,18 @@ def dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", unit
     ``units``: ``phrases()`` (as when None), ``pieces(LINE)`` or ``pieces(PARAGRAPH)``. Units are compared
     by their words in lower case, through two 64-bit hashes. Documents are ranked by doc_id, a whole
     number, null first. Overlapping and touching removed units make one run. Null and empty texts keep
-    an empty text; a text shorter than a unit stays whole. Rows that share a doc_id are versions of one
-    document: a unit is not earlier than itself at the same place, and all such rows lose the same
-    places. An empty table gives no rows. Further columns are ignored, whatever their names.
+    an empty text; a text shorter than a unit stays whole. Of rows that share a doc_id, those with equal
+    texts are one document (a unit is not earlier than itself at the same place, and all lose the same places); others
+    are documents of their own, in the order of their texts' hashes. An empty table gives no rows. Further columns are ignored, whatever their names.
 
     A digest's rows are ranked in one task: at most one row for each Arrow batch that holds it.
     """
     units = units or phrases()
-    own = F.col(doc_id).cast("bigint")
-    texts = documents.select(F.coalesce(own, F.lit(NULL_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), own.isNull().alias("gone"))
+    texts = tagged(documents, text, doc_id)
     place = F.rank().over(W.partitionBy("d1", "d2").orderBy("key", "start"))
-    gone = unit_rows(texts.select("key", "text"), units).withColumn("_place", place).where("again OR _place > 1")
-    runs = gone.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "until")).alias("runs"))
-    joined = texts.join(runs, texts["key"] == runs["_key"], "left").select("key", "text", "runs", "gone")
+    gone = unit_rows(texts, units).withColumn("_place", place).where("again OR _place > 1")
+    runs = gone.groupBy(F.col("key").alias("_key"), tag_of("start").alias("_tag")).agg(F.collect_list(F.struct((F.col("start") - tag_of("start")).cast("int").alias("start"), "until")).alias("runs"))
+    joined = texts.join(runs, (texts["key"] == runs["_key"]) & (texts["tag"] == runs["_tag"]), "left").select("key", "text", "runs")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -172,8 +171,6 @@ def dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", unit
                 if own.values is not None and len(own.values):
                     low, high = (own.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
                     for start, until in sorted(set(zip(low.tolist(), high.tolist(), strict=True))):
-                        if until > len(body):  # of another version of the document
-                            continue
                         if found and found[-1][1] >= start:
                             found[-1][1] = max(found[-1][1], until)
                         else:
@@ -193,7 +190,7 @@ def dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", unit
                 n_chars.append(chars + len(left[-1]))
                 spans.append(mine)
                 kept.append("".join(left))
-            ids = pa.array([None if gone else k for k, gone in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.int64())
+            ids = pa.array([None if k == NULL_ID else k for k in b.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n_words, n_removed, n_chars)), pa.array(spans, kind), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "n_chars", "spans", "kept"])
 
     return joined.mapInArrow(remove, KEPT)

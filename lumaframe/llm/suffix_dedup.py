@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import mix64, release, text_bytes, written
+from lumaframe.llm.common import mix64, text_bytes, written
 
 LENGTH = 100
 GRAM = 37
@@ -127,22 +127,36 @@ def known_repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, place: np.ndarr
     return out
 
 
-#: ``place`` is the first of ``n`` windows of a document; they name the position ``place + ahead``.
-PAIRS = "r1 bigint, r2 bigint, doc bigint, place int, n tinyint, ahead tinyint, again boolean"
+#: ``place`` is the first of ``n`` windows of a document; they name the position ``place + ahead``. Its upper half is the
+#: text's tag, so that of rows with one doc_id each text has places of its own, and equal texts have the same ones.
+PAIRS = "r1 bigint, r2 bigint, doc bigint, place bigint, n tinyint, ahead tinyint, again boolean"
 
 
 def pairs(r1: np.ndarray, r2: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, ahead: np.ndarray, more: dict | None = None) -> pa.RecordBatch:
     """Rows of PAIRS, and of the columns in ``more``. A row known to be a repeat gets a rank of its own, so that it meets no other."""
     again = known_repeats(r1, r2, doc, place)
     r1 = np.where(again, mix64(doc.astype(np.uint64) * np.uint64(_ODD) + place.astype(np.uint64)), r1)
-    arrays = [pa.array(x) for x in (r1.view(np.int64), np.where(again, 0, r2).view(np.int64), doc, place.astype(np.int32), n.astype(np.int8), ahead.astype(np.int8), again)]
+    arrays = [pa.array(x) for x in (r1.view(np.int64), np.where(again, 0, r2).view(np.int64), doc, place.astype(np.int64), n.astype(np.int8), ahead.astype(np.int8), again)]
     more = more or {}
     return pa.RecordBatch.from_arrays([*arrays, *more.values()], ["r1", "r2", "doc", "place", "n", "ahead", "again", *more])
 
 
 def in_order(b: pa.RecordBatch) -> pa.RecordBatch:
-    ids = b.column(0).to_numpy(zero_copy_only=False)
-    return b if (ids[1:] >= ids[:-1]).all() else b.take(pa.array(np.argsort(ids, kind="stable")))
+    """A batch of (key, text, tag, ...) by key and tag."""
+    ids, tags = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+    sorted_already = (ids[1:] > ids[:-1]) | ((ids[1:] == ids[:-1]) & (tags[1:] >= tags[:-1]))
+    return b if sorted_already.all() else b.take(pa.array(np.lexsort((tags, ids))))
+
+
+def tagged(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(key, text, tag): the doc_id, or the least number for null, the text, or the empty one, and 31 bits of its hash, 32 bits up."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    tag = F.shiftleft(F.xxhash64(body).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")), 32)
+    return documents.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("key"), body.alias("text"), tag.alias("tag"))
+
+
+def tag_of(place: str) -> Column:
+    return F.shiftleft(F.shiftright(place, 32), 32)
 
 
 def sampled(texts: DataFrame) -> DataFrame:
@@ -153,7 +167,7 @@ def sampled(texts: DataFrame) -> DataFrame:
             raw, starts = text_bytes(b.column(1))
             rank, reach, first, n, at = samples(raw, starts)
             doc = np.searchsorted(starts, first, side="right") - 1
-            yield pairs(rank, reach, b.column(0).to_numpy()[doc], first - starts[doc], n, at - first)
+            yield pairs(rank, reach, b.column(0).to_numpy()[doc], first - starts[doc] + b.column(2).to_numpy()[doc], n, at - first)
 
     return texts.mapInArrow(find, PAIRS)
 
@@ -201,7 +215,7 @@ def eights(texts: DataFrame, cells: DataFrame) -> DataFrame:
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in map(in_order, batches):
-            ids = b.column(0).to_numpy()
+            ids, tags = b.column(0).to_numpy(), b.column(2).to_numpy()
             found: list[tuple[np.ndarray, ...]] = []
             size = 0
 
@@ -213,18 +227,18 @@ def eights(texts: DataFrame, cells: DataFrame) -> DataFrame:
 
             for i in range(b.num_rows):
                 raw, _ = text_bytes(b.column(1).slice(i, 1))
-                own = b.column(2)[i].values
+                own = b.column(3)[i].values
                 place, n, ahead = (own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-                fits = place + n + LENGTH - 1 <= len(raw)
-                order = np.argsort(place[fits], kind="stable")
-                place, n, ahead = place[fits][order], n[fits][order], ahead[fits][order]
+                place -= tags[i]
+                order = np.argsort(place, kind="stable")
+                place, n, ahead = place[order], n[order], ahead[order]
                 done = 0
                 while done < len(place):  # the cells within one stretch of the text at a time
                     low = int(place[done])
                     until = int(np.searchsorted(place, low + SLICE))
                     part = slice(done, until)
                     got = ranked(raw[low : int(place[until - 1] + n[until - 1]) + LENGTH - 1], place[part] - low, n[part], ahead[part])
-                    found.append((got[0], got[1], got[2] + low, *got[3:], np.full(len(got[0]), ids[i])))
+                    found.append((got[0], got[1], got[2] + low + tags[i], *got[3:], np.full(len(got[0]), ids[i])))
                     size += len(got[0])
                     done = until
                 if size > SLICE // TOGETHER:
@@ -233,8 +247,8 @@ def eights(texts: DataFrame, cells: DataFrame) -> DataFrame:
             if found:
                 yield close()
 
-    per_doc = cells.groupBy("doc").agg(F.collect_list(F.struct("place", "n", "ahead")).alias("cells"))
-    joined = texts.join(per_doc, texts["key"] == per_doc["doc"]).select("key", "text", "cells")
+    per_doc = cells.groupBy("doc", tag_of("place").alias("_tag")).agg(F.collect_list(F.struct("place", "n", "ahead")).alias("cells"))
+    joined = texts.join(per_doc, (texts["key"] == per_doc["doc"]) & (texts["tag"] == per_doc["_tag"])).select("key", "text", "tag", "cells")
     return joined.mapInArrow(rank, EIGHTS)
 
 
@@ -272,18 +286,16 @@ def dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     """Per document: n_bytes, the maximal removed byte runs (original offsets), and the bytes kept.
 
     Texts are whole and read as UTF-8 bytes; a null text is empty. Texts under 100 bytes stay as
-    they are. Null doc_ids sort first. Rows that share a doc_id are versions of one document: a
-    string is not earlier than itself at the same start, and all such rows lose the same runs, as
-    far as they reach. An empty table gives no rows.
+    they are. Null doc_ids sort first. Of rows that share a doc_id, those with equal texts are one
+    document (a string is not earlier than itself at the same start, and all lose the same runs); others are
+    documents of their own, in the order of their texts' hashes. An empty table gives no rows. Other columns are not read.
     """
-    texts = documents.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = tagged(documents, text, doc_id)
     ranked = written(sort_by_pair(sampled(texts)).where("again OR NOT alone"))
-    release(documents.sparkSession)  # the sampled positions, by far the most rows, have been sorted
     by_eights = written(sort_by_pair(eights(texts, open_rows(ranked).select("doc", "place", "n", "ahead"))).where("again OR NOT alone"))
-    release(documents.sparkSession)
     last = sort_by_pair(singles(open_rows(by_eights)))
-    runs = repeats(ranked).unionByName(repeats(by_eights)).unionByName(repeats(last)).groupBy("doc").agg(F.collect_list(F.struct("place", "until")).alias("runs"))
-    joined = texts.join(runs, texts["key"] == runs["doc"], "left").select("key", "text", "runs")
+    runs = repeats(ranked).unionByName(repeats(by_eights)).unionByName(repeats(last)).groupBy("doc", tag_of("place").alias("_tag")).agg(F.collect_list(F.struct((F.col("place") - tag_of("place")).alias("place"), (F.col("until") - tag_of("place")).alias("until"))).alias("runs"))
+    joined = texts.join(runs, (texts["key"] == runs["doc"]) & (texts["tag"] == runs["_tag"]), "left").select("key", "text", "runs")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
