@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import WORD_TABLE, column_bytes, cut
+from lumaframe.llm.common import WORD_TABLE, column_bytes, cut, free_names
 
 WINDOW = 13
 #: A proximity match has this many of a phrase's words, each within SLOP words of its place; for a shorter phrase both are scaled.
@@ -263,7 +263,7 @@ def search(segments: DataFrame, phrases: Phrases) -> DataFrame:
     for r in term_counts(segments).collect():  # as many rows as the phrases have terms, at most
         often[r.term] = r.n
     terms, offsets, length = phrases.by_rarity(often)
-    owners = [[str(i) for i in x] for x in phrases.items]
+    owners = [[str(i) for i in x if i is not None] for x in phrases.items]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,7 +325,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     """Per document: doc_id, n_words, hits (word runs inside an occurring window), items, near_items.
 
     doc_ids are whole numbers. Null texts have no words; null doc_ids come back as null; rows that share a doc_id each have
-    their row. Items without words match nothing. An empty benchmark or table gives rows without
+    their row. Items without words match nothing. What an item without an item_id hits is hit, but it has no name to be listed; rows
+    that share an item_id are one item with several texts. An empty benchmark or table gives rows without
     hits, or none. Each block of the benchmark is indexed and searched over all documents; with more
     than one block, what the blocks found in a document is put together and joined to its rows.
     """
@@ -374,6 +375,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
 def filter_documents(documents: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``documents`` that are not contaminated, all columns as they were; rows are told apart by doc_id and text."""
     key = F.xxhash64(F.col(doc_id), F.col(text))
-    marked = documents.withColumn("_row_key", key)
-    dirty = contamination(marked, benchmark, text, "_row_key").where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
-    return marked.join(dirty, marked["_row_key"] == dirty["_dirty"], "left_anti").drop("_row_key")
+    (own,) = free_names(documents, "_row_key")
+    marked = documents.withColumn(own, key)
+    dirty = contamination(marked, benchmark, text, own).where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
+    return marked.join(dirty, marked[own] == dirty["_dirty"], "left_anti").drop(own)

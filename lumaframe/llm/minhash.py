@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import cut, empty, mix64, text_bytes, written
+from lumaframe.llm.common import cut, empty, free_names, mix64, text_bytes, written
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.suffix_dedup import Fingerprints
 from lumaframe.llm.words import bounds
@@ -377,6 +377,7 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
 
 def filter_documents(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each class, that with the least doc_id, all columns as they were; of rows equal in doc_id and text one stays."""
-    named = documents.withColumn("_node", numbers(text, doc_id)[1])
+    (own,) = free_names(documents, "_node")
+    named = documents.withColumn(own, numbers(text, doc_id)[1])
     stay = classes(documents, text, doc_id).where("row_id = stays").select(F.col("row_id").alias("_stay")).distinct()
-    return named.join(stay, named["_node"] == stay["_stay"], "left_semi").dropDuplicates(["_node"]).drop("_node")
+    return named.join(stay, named[own] == stay["_stay"], "left_semi").dropDuplicates([own]).drop(own)

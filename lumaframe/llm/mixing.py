@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import SPACE_CLASS, cut
+from lumaframe.llm.common import SPACE_CLASS, cut, free_names
 
 #: Sources in code-point order weigh so much, over and over.
 WEIGHTS = (5, 2, 1)
@@ -174,13 +174,14 @@ def apply_mix(documents: DataFrame, text: str = "text", source: str = "source",
 
     The decision is made once for each row (told apart by doc_id, source and text).
     """
-    marked = documents.withColumn("_row_key", F.xxhash64(F.col(doc_id), F.col(source), F.col(text)))
-    taken = mix(marked, text, source, "_row_key", **options).where("taken > 0")
-    times = taken.groupBy("doc_id").agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias("_total")).withColumnRenamed("doc_id", "_key")
-    joined = marked.join(times, marked["_row_key"] == times["_key"])
-    alike = W.partitionBy("_row_key")
+    own, key, total, often, copy = free_names(documents, "_row_key", "_key", "_total", "_times", "_copy")
+    marked = documents.withColumn(own, F.xxhash64(F.col(doc_id), F.col(source), F.col(text)))
+    taken = mix(marked, text, source, own, **options).where("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias(key)).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias(total))
+    joined = marked.join(times, marked[own] == times[key])
+    alike = W.partitionBy(own)
     number = F.row_number().over(alike.orderBy(F.lit(0)))
     rows = F.count(F.lit(1)).over(alike)
-    times = F.floor(F.col("_total") / rows) + (number <= F.col("_total") % rows).cast("long")
-    joined = joined.withColumn("_times", times).where("_times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*documents.columns)
+    times = F.floor(F.col(total) / rows) + (number <= F.col(total) % rows).cast("long")
+    joined = joined.withColumn(often, times).where(F.col(often) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often).cast("int")))).select(*documents.columns)

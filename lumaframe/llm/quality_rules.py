@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import SPACE_CLASS, cut
+from lumaframe.llm.common import SPACE_CLASS, cut, free_names
 
 #: A document needs this many words.
 MIN_WORDS = 50
@@ -162,6 +162,7 @@ def filter_documents(documents: DataFrame, text: str = "text", host: str = "sour
 
     Verdicts come back by document id and text hash, null-safe, so repeated rows stay or go together.
     """
-    marked = documents.withColumn("_text_hash", F.xxhash64(F.col(text)))
-    kept = host_quality(marked, text, host, (doc_id, "_text_hash")).where("kept").select(F.col(doc_id).alias("_id"), F.col("_text_hash").alias("_hash")).distinct()
-    return marked.join(kept, marked[doc_id].eqNullSafe(kept["_id"]) & marked["_text_hash"].eqNullSafe(kept["_hash"]), "left_semi").drop("_text_hash")
+    (own,) = free_names(documents, "_text_hash")
+    marked = documents.withColumn(own, F.xxhash64(F.col(text)))
+    kept = host_quality(marked, text, host, (doc_id, own)).where("kept").select(F.col(doc_id).alias("_id"), F.col(own).alias("_hash")).distinct()
+    return marked.join(kept, marked[doc_id].eqNullSafe(kept["_id"]) & marked[own].eqNullSafe(kept["_hash"]), "left_semi").drop(own)
