@@ -269,6 +269,21 @@ def collocations(documents: DataFrame, least: int = 10, most: int = 2000, inside
     cuts = F.array(*(F.struct(score(F.col("a"), F.col(x), F.col(y)).alias("score"), F.lit(k).alias("k"), F.col(x).alias("l"), F.col(y).alias("r")) for k, (x, y) in enumerate((("a1", "a23"), ("a12", "a3")))))
     three = three.withColumn("cut", F.array_min(cuts)).select("lang", F.concat_ws(" ", "word1", "word2", "word3").alias("phrase"), "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
 
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = two.unionByName(three).withColumn("rank", rank).where(F.col("rank") <= most)
+    ranked = best(written(two.unionByName(three)), most)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def best(candidates: DataFrame, most: int) -> DataFrame:
+    """Each language's ``most`` first by score, then a, then phrase, with their ``rank``.
+
+    Scores are counted in steps of about one per cent, and only the steps that are needed for so many rows
+    are ranked, so a language's candidates don't meet in one task.
+    """
+    step = F.floor(F.log2(F.col("score") + 1) * 64).cast("long")
+    placed = candidates.withColumn("step", step)
+    above = F.sum("rows").over(W.partitionBy("of").orderBy(F.desc("down")).rowsBetween(W.unboundedPreceding, -1))
+    steps = placed.groupBy(F.col("lang").alias("of"), F.col("step").alias("down")).agg(F.count(F.lit(1)).alias("rows"))
+    needed = steps.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < most)
+    kept = placed.join(needed, (placed["lang"] == needed["of"]) & (placed["step"] == needed["down"]), "left_semi").drop("step")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= most)
