@@ -197,7 +197,7 @@ def collide(queries: DataFrame, every: DataFrame, k: int, blocks: int, seed: int
     # a cell's name holds the vectors' length, the block of queries and the group of vectors
     left = queries.select(dim, F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("block"), upto(GROUPS).alias("grp"), F.lit(0).alias("kind"), "class_id", "v", "near", "scores")
     right = every.select(dim, upto(blocks).alias("block"), F.pmod(F.xxhash64("class_id", F.lit(1)), F.lit(GROUPS)).alias("grp"), F.lit(1).alias("kind"), "class_id", "v", *none)
-    cells = left.unionByName(right).repartition(max(spread(every), blocks * GROUPS), "dim", "block", "grp").sortWithinPartitions("dim", "block", "grp", "kind")
+    cells = left.unionByName(right).repartition(max(spread(every), 4 * blocks * GROUPS), "dim", "block", "grp").sortWithinPartitions("dim", "block", "grp", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: tuple | None = None
