@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.operators import images, linked, metadata, mosaic, tree
 from lumaframe.sinks import lif, preview, tiff, zarr
-from lumaframe.sources import containers, pixels
+from lumaframe.sources import containers, pixels, plane_source
 
 FORMATS = {"ome-tiff": "tiff", "ometiff": "tiff", "ome.tiff": "tiff", "tiff": "tiff", "ome-zarr": "zarr", "omezarr": "zarr", "ome.zarr": "zarr", "zarr": "zarr", "lif": "lif"}
 
@@ -18,9 +18,9 @@ FORMATS = {"ome-tiff": "tiff", "ometiff": "tiff", "ome.tiff": "tiff", "tiff": "t
 class Library:
     """The containers below a path. Tables are built once and kept until the library is closed."""
 
-    def __init__(self, spark: SparkSession, path: str, seek: bool | None = None) -> None:
-        self.spark = spark
-        self.found = containers.containers(spark, path, seek).cache()
+    def __init__(self, spark: SparkSession, path: str, seek: bool | None = None, store: str | None = None) -> None:
+        self.spark, self.store = spark, store
+        self.found = containers.containers(spark, path, seek, store).cache()
         self.nodes = containers.xml_nodes(self.found).cache()
         self.blocks = containers.memory_blocks(self.found)
         self._described: DataFrame | None = None
@@ -57,11 +57,21 @@ class Library:
     def image(self, uuid: str) -> DataFrame:
         return self.images().where(F.col("uuid") == uuid)
 
+    def save_planes(self, folder: str) -> None:
+        """Write the index of all planes that ``planes`` reads."""
+        plane_source.save_index(pixels.planes(self.images()), folder)
+
+    def planes(self, folder: str, **options) -> DataFrame:
+        """Bands of planes by an index, as a data source that conditions on uuid, t, c, z, s and y0 are pushed into."""
+        plane_source.register(self.spark)
+        own = {"store": self.store} if self.store else {}
+        return self.spark.read.format(plane_source.NAME).options(**own, **options).load(folder)
+
     def stats(self, share: float = 0.1) -> DataFrame:
-        return pixels.channel_stats(self.images(), share)
+        return pixels.channel_stats(self.images(), share, self.store)
 
     def previews(self, height: int = 256, **options) -> DataFrame:
-        return preview.previews(self.images(), height, **options)
+        return preview.previews(self.images(), height, store=self.store, **options)
 
     def convert(self, uuid: str, folder: str, output: str = "ome-tiff", threshold: int = 3192, always: bool = False, other_folder: str | None = None, with_metadata: bool = False, with_xml: bool = False) -> str:
         """Write one image to a folder that every executor mounts; the result envelope as JSON, "[]" if there is no such image
@@ -87,7 +97,7 @@ class Library:
         if route == "as it is":
             target = containers.local(image["path"])
         elif route == "single lif":
-            target = lif.write_single(wide, self.found, folder).first().file
+            target = lif.write_single(wide, self.found, folder, self.store).first().file
         else:
             target = self._write(wide, image, base, kind, source.xml if source else None)
         if other_folder and route != "as it is":
@@ -97,7 +107,7 @@ class Library:
                 shutil.copytree(target, copy, dirs_exist_ok=True)
             else:
                 shutil.copyfile(target, copy)
-        measured = metadata.intensities(wide, pixels.channel_stats(wide))
+        measured = metadata.intensities(wide, pixels.channel_stats(wide, store=self.store))
         values = [F.col("channel_mins"), F.col("channel_maxs"), F.col("display_black").alias("channel_display_black_values"), F.col("display_white").alias("channel_display_white_values"), F.col("keyvalues").alias("metadata")]
         if with_metadata:
             values.append(F.to_json(F.struct(*[c for c in wide.columns if c not in ("keyvalues", "reject_reason")])).alias("image_metadata_json"))
@@ -109,7 +119,7 @@ class Library:
         return result
 
     def _write(self, wide: DataFrame, image: dict, base: str, kind: str, xml: str | None) -> str:
-        bands = pixels.chunks(pixels.planes(wide, stored=True))
+        bands = pixels.chunks(pixels.planes(wide, stored=True), store=self.store)
         plan = mosaic.layout(wide).first()
         if plan.fields or plan.flipx or plan.flipy or plan.swap:
             bands = mosaic.assemble(bands, wide)

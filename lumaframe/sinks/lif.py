@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.sources.containers import MAGIC, MARK, local
+from lumaframe.sources import stores
+from lumaframe.sources.containers import MAGIC, MARK
 
 #: Bytes copied at once.
 PIECE = 25_600_000
@@ -40,7 +41,7 @@ def header(document: str, uuid: str, name: str) -> tuple[str, str]:
     raise ValueError(f"no image {uuid}")
 
 
-def write_single(wide: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+def write_single(wide: DataFrame, found: DataFrame, folder: str, store: str | None = None) -> DataFrame:
     """(uuid, file, bytes): one file for each image row, each written by one task on a folder that every executor mounts."""
     xml = found.select(F.col("path").alias("_path"), "xml")
     rows = wide.join(xml, wide["path"] == xml["_path"]).select("path", "uuid", "save_child_name", "Position", "MemorySize", "xml")
@@ -52,7 +53,7 @@ def write_single(wide: DataFrame, found: DataFrame, folder: str) -> DataFrame:
             for r in b.to_pylist():
                 document, block = header(r["xml"], r["uuid"], r["save_child_name"])
                 file = f"{folder}/{r['save_child_name'].replace('/', '_')}.lif"
-                with open(local(r["path"]), "rb") as source, open(f"{file}.part", "wb") as target:
+                with stores.opened(r["path"], store) as source, open(f"{file}.part", "wb") as target:
                     target.write(framed(string(document)))
                     target.write(framed(struct.pack("<Bq", MARK, 0) + string("MemBlock_root")))
                     target.write(framed(struct.pack("<Bq", MARK, r["MemorySize"]) + string(block)))

@@ -55,7 +55,7 @@ def render(planes: list[np.ndarray], colours: list[int], height: int) -> np.ndar
     return (share * 255).astype(np.uint8)
 
 
-def previews(wide: DataFrame, height: int = 256, plane: dict[str, int] | None = None, channels: list[int] | None = None) -> DataFrame:
+def previews(wide: DataFrame, height: int = 256, plane: dict[str, int] | None = None, channels: list[int] | None = None, store: str | None = None) -> DataFrame:
     """(uuid, height, png) of each image: the middle plane, or the one that ``plane`` names by t, z and s; of all channels or those given.
 
     So many rows are skipped that a plane stays within about twice the height and the group of an
@@ -71,7 +71,7 @@ def previews(wide: DataFrame, height: int = 256, plane: dict[str, int] | None =
             wanted = wanted.where(F.col(axis) == at)
         if channels is not None:
             wanted = wanted.where(F.col("c").isin(channels) | (F.col("samples") == 3))
-        one = pixels.chunks(wanted, step)
+        one = pixels.chunks(wanted, step, store=store)
         parts = one if parts is None else parts.unionByName(one)
     if parts is None:
         return wide.sparkSession.createDataFrame([], "uuid string, height int, png binary")

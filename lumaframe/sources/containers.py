@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumaframe.sources import stores
+from lumaframe.sources.stores import local
+
 # Fixed values of the file formats.
 MAGIC, MARK = 0x70, 0x2A
 FRAMED, LINKED = (".lif", ".lof"), (".xlef", ".xlcf", ".xlif")
@@ -97,30 +100,30 @@ def plain_xml(raw: bytes) -> str:
     return raw.decode("utf-8")
 
 
-def local(path: str) -> str:
-    return urllib.parse.unquote(urllib.parse.urlparse(path).path) if path.startswith("file:") else path
-
-
 def mounted(spark: SparkSession, path: str) -> bool:
     """Whether a path is one of the file system, which executors open as Spark itself does."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
 
 
-def containers(spark: SparkSession, path: str, seek: bool | None = None) -> DataFrame:
+def containers(spark: SparkSession, path: str, seek: bool | None = None, store: str | None = None) -> DataFrame:
     """One row for each container file below ``path``; what can't be read has a problem instead of XML.
 
     With ``seek``, files are opened where they lie, and only headers are read, whatever their size;
-    this is how files of a mounted file system are read if nothing is said. Files of other stores are
-    read whole by Spark, up to its 2 GiB limit for one file.
+    this is how files are read, if nothing is said, that a ``store`` opens, or that lie in a mounted file system or another one
+    that pyarrow reaches (see ``stores``). Files that Spark alone reaches are read whole, up to its 2 GiB limit for one file.
     """
-    seek = mounted(spark, path) if seek is None else seek
+    if store:
+        names = stores.listed(path, (*FRAMED, *LINKED), store)
+        files = spark.createDataFrame(names, "path string, modificationTime timestamp").repartition(max(1, len(names) // 16))
+        return parse(files.withColumn("content", F.lit(None).cast("binary")), store)
+    seek = stores.scheme(path) in stores.KNOWN[1:] or mounted(spark, path) if seek is None else seek
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{lif,lof,xlef,xlcf,xlif,LIF,LOF,XLEF,XLCF,XLIF}").load(path)
     return parse(files.select("path", "modificationTime", F.lit(None).cast("binary").alias("content") if seek else F.col("content")))
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """The container rows of files (path, modificationTime, content), batch or stream; a null content is read from the path."""
+def parse(files: DataFrame, store: str | None = None) -> DataFrame:
+    """The container rows of files (path, modificationTime, content), batch or stream; of a null content the header is read from the path."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,7 +132,7 @@ def parse(files: DataFrame) -> DataFrame:
                 kind = os.path.splitext(name)[1].lower()
                 row = {"path": name, "kind": kind, "modified": modified, "xml": None, "type_name": None, "blocks": [], "problem": None}
                 try:
-                    with io.BytesIO(raw) if raw is not None else open(local(name), "rb") as file:
+                    with io.BytesIO(raw) if raw is not None else stores.opened(name, store) as file:
                         if kind == ".lif":
                             row["xml"], row["blocks"] = read_lif(file)
                         elif kind == ".lof":

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.sources.containers import local
+from lumaframe.sources import stores
 
 BAND = 512
+#: Bytes from one row to the next up to which both are read at once.
+NEAR = 8192
 CHUNKS = "uuid string, t int, c int, z int, s int, y0 int, h int, w int, step int, samples int, dtype string, data binary"
 CHUNK_KINDS = pa.schema(
     [("uuid", pa.string())] + [(k, pa.int32()) for k in ("t", "c", "z", "s", "y0", "h", "w", "step", "samples")] + [("dtype", pa.string()), ("data", pa.binary())]
@@ -41,35 +43,40 @@ def planes(wide: DataFrame, centre: bool = False, stored: bool = False) -> DataF
     return df.select(path.alias("path"), "uuid", "t", "c", "z", "s", w.alias("w"), rows.alias("rows"), "samples", offset.alias("offset"), F.when(bits > 8, "<u2").otherwise("|u1").alias("dtype")).where("offset IS NOT NULL")
 
 
-def chunks(wanted: DataFrame, step: int = 1, band: int = BAND) -> DataFrame:
+def read_band(ranges: stores.Ranges, r: dict, step: int, band: int) -> dict | None:
+    """The band of a plane that begins at row y0, every step-th row of it; nothing if the stride has none of its rows.
+
+    Rows that are far apart are read one by one, others with what lies between them.
+    """
+    line = r["w"] * r["samples"] * np.dtype(r["dtype"]).itemsize
+    first = -(-r["y0"] // step) * step
+    lines = range(first, min(r["y0"] + band, r["rows"]), step)
+    if not lines:
+        return None
+    if step == 1 or step * line < NEAR:
+        size = (lines[-1] - first + 1) * line
+        raw = ranges.read(r["path"], r["offset"] + first * line, size).ljust(size, b"\0")
+        raw = raw if step == 1 else b"".join(raw[(y - first) * line : (y - first + 1) * line] for y in lines)
+    else:
+        raw = b"".join(ranges.read(r["path"], r["offset"] + y * line, line).ljust(line, b"\0") for y in lines)
+    return {k: r[k] for k in ("uuid", "t", "c", "z", "s", "w", "samples", "dtype")} | {"y0": first // step, "h": len(lines), "step": step, "data": raw}
+
+
+def chunks(wanted: DataFrame, step: int = 1, band: int = BAND, store: str | None = None) -> DataFrame:
     """Bands of ``band`` rows of every plane, every step-th row of them; rows that the file lacks read as zero.
 
-    The files lie on a path that every executor mounts. Reading is dealt out by band, and the stride
-    is taken before anything is read.
+    Files are read by ranges from wherever they lie (see ``stores``). Reading is dealt out by band, and the
+    stride is taken before anything is read.
     """
     rows = wanted.withColumn("y0", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(band))))
     rows = rows.repartition(F.col("uuid"), "t", "c", "z", "s", "y0").select("path", "uuid", "t", "c", "z", "s", "y0", "w", "rows", "samples", "offset", "dtype")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                line = r["w"] * r["samples"] * np.dtype(r["dtype"]).itemsize
-                last = min(r["y0"] + band, r["rows"])
-                first = -(-r["y0"] // step) * step
-                lines = range(first, last, step)
-                with open(local(r["path"]), "rb") as file:
-                    if step == 1:
-                        file.seek(r["offset"] + first * line)
-                        raw = file.read(line * len(lines)).ljust(line * len(lines), b"\0")
-                    else:
-                        parts = []
-                        for y in lines:
-                            file.seek(r["offset"] + y * line)
-                            parts.append(file.read(line).ljust(line, b"\0"))
-                        raw = b"".join(parts)
-                if lines:
-                    out = {k: r[k] for k in ("uuid", "t", "c", "z", "s", "w", "samples", "dtype")} | {"y0": first // step, "h": len(lines), "step": step, "data": raw}
-                    yield pa.RecordBatch.from_pylist([out], schema=CHUNK_KINDS)
+        with stores.Ranges(store) as ranges:
+            for b in batches:
+                for r in b.to_pylist():
+                    if (out := read_band(ranges, r, step, band)) is not None:
+                        yield pa.RecordBatch.from_pylist([out], schema=CHUNK_KINDS)
 
     return rows.mapInArrow(read, CHUNKS)
 
@@ -98,7 +105,7 @@ def pixels(bands: DataFrame) -> DataFrame:
     return bands.mapInArrow(explode, "uuid string, t int, c int, z int, s int, y int, x int, v int")
 
 
-def channel_stats(wide: DataFrame, share: float = 0.1) -> DataFrame:
+def channel_stats(wide: DataFrame, share: float = 0.1, store: str | None = None) -> DataFrame:
     """(uuid, c, vmin, vmax) of every round(1 / share)-th row of the middle plane: each band gives its own, Spark the rest."""
     step = max(1, round(1 / share))
 
@@ -112,7 +119,7 @@ def channel_stats(wide: DataFrame, share: float = 0.1) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("uuid", pa.string()), ("c", pa.int32()), ("vmin", pa.int32()), ("vmax", pa.int32())]))
 
-    found = chunks(planes(wide, True), step).mapInArrow(extremes, "uuid string, c int, vmin int, vmax int")
+    found = chunks(planes(wide, True), step, store=store).mapInArrow(extremes, "uuid string, c int, vmin int, vmax int")
     return found.groupBy("uuid", "c").agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
 
 
