@@ -73,14 +73,15 @@ class Library:
     def previews(self, height: int = 256, **options) -> DataFrame:
         return preview.previews(self.images(), height, store=self.store, **options)
 
-    def convert(self, uuid: str, folder: str, output: str = "ome-tiff", threshold: int = 3192, always: bool = False, other_folder: str | None = None, with_metadata: bool = False, with_xml: bool = False) -> str:
+    def convert(self, uuid: str, folder: str, output: str = "ome-tiff", threshold: int = 3192, always: bool = False, other_folder: str | None = None, with_metadata: bool = False, with_xml: bool = False, compression: str | None = None) -> str:
         """Write one image to a folder that every executor mounts; the result envelope as JSON, "[]" if there is no such image
         or none that can be written.
 
         Planes are turned as the settings say and mosaics put together. Small images of linked
         containers stay as they are, and mosaics with gaps become containers of their own, unless
         ``always`` is set. ``other_folder``: the result is copied there too, over what is there.
-        ``with_metadata``, ``with_xml``: the description as JSON and the container's XML go along.
+        ``with_metadata``, ``with_xml``: the description as JSON and the container's XML go along. ``compression``: for tiled files "deflate"
+        (if nothing is said), "lzw" or "none", for arrays "blosc" (if nothing is said) or "zlib".
         """
         kind = FORMATS[output.lower()]
         wide = metadata.reject_reason(images.route(self.image(uuid), threshold)).cache()
@@ -99,7 +100,7 @@ class Library:
         elif route == "single lif":
             target = lif.write_single(wide, self.found, folder, self.store).first().file
         else:
-            target = self._write(wide, image, base, kind, source.xml if source else None)
+            target = self._write(wide, image, base, kind, source.xml if source else None, compression)
         if other_folder and route != "as it is":
             os.makedirs(other_folder, exist_ok=True)
             copy = f"{other_folder}/{os.path.basename(target)}"
@@ -118,17 +119,17 @@ class Library:
         wide.unpersist()
         return result
 
-    def _write(self, wide: DataFrame, image: dict, base: str, kind: str, xml: str | None) -> str:
+    def _write(self, wide: DataFrame, image: dict, base: str, kind: str, xml: str | None, compression: str | None) -> str:
         bands = pixels.chunks(pixels.planes(wide, stored=True), store=self.store)
         plan = mosaic.layout(wide).first()
         if plan.fields or plan.flipx or plan.flipy or plan.swap:
             bands = mosaic.assemble(bands, wide)
             image |= {"xs": plan.width, "ys": plan.height}
         if kind == "zarr":
-            zarr.write_zarr(bands, image, f"{base}.ome.zarr", xml)
+            zarr.write_zarr(bands, image, f"{base}.ome.zarr", xml, compression or "blosc")
             return f"{base}.ome.zarr"
         levels = tiff.pyramid(bands, image["xs"], image["ys"])
-        tiff.write_tiff(levels, image, f"{base}.ome.tiff", xml).collect()
+        tiff.write_or_store(levels, image | {"tile_w": plan.tile_w, "tile_h": plan.tile_h}, f"{base}.ome.tiff", xml, compression or "deflate")
         for level in levels:
             level.unpersist()
         return f"{base}.ome.tiff"

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumaframe.functions import scalar
 from lumaframe.sources.pixels import BAND, CHUNK_KINDS, CHUNKS, array_of
 
 PIECES = "uuid string, t int, c int, z int, band int, place int, y int, x int, h int, w int, height int, width int, samples int, dtype string, data binary"
@@ -47,7 +48,7 @@ def layout(wide: DataFrame, whole_steps: bool = False) -> DataFrame:
         F.col("uuid").alias("_uuid"), F.col("xs").alias("slot_w"), F.col("ys").alias("slot_h"), side("X", "xs").alias("width"), side("Y", "ys").alias("height"),
         flag("flipx", "tilescan_flipx").alias("flipx"), flag("flipy", "tilescan_flipy").alias("flipy"), flag("swapxy", "tilescan_swapxy").alias("swap"),
         over["X"].alias("over_x"), over["Y"].alias("over_y"), fields.alias("fields"),
-    )
+    ).withColumns({"tile_w": scalar.tile_side(F.lit(BAND), F.col("width")), "tile_h": scalar.tile_side(F.lit(BAND), F.col("height"))})
 
 
 def turned(a: np.ndarray, y0: int, rows: int, flipx: bool, flipy: bool, swap: bool) -> tuple[np.ndarray, int, int]:

@@ -13,10 +13,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from lumaframe.functions.codecs import blosc_decode, blosc_encode
 from lumaframe.sinks.ome import ome_xml
 from lumaframe.sources.pixels import BAND, array_of, halve
 
 
+# How an array's record names its compressor.
+COMPRESSORS = {"blosc": {"id": "blosc", "cname": "zstd", "clevel": 5, "shuffle": 1, "blocksize": 0}, "zlib": {"id": "zlib", "level": 5}}
+
+
 def level_count(w: int, h: int, side: int = BAND) -> int:
     n = 1
     while max(w, h) > side:
@@ -24,7 +29,15 @@ def level_count(w: int, h: int, side: int = BAND) -> int:
     return n
 
 
-def chunk_files(bands: DataFrame, path: str, level: int) -> DataFrame:
+def packed(raw: bytes, size: int, compressor: str) -> bytes:
+    return blosc_encode(raw, size) if compressor == "blosc" else zlib.compress(raw, 5)
+
+
+def unpacked(raw: bytes, compressor: str) -> bytes:
+    return blosc_decode(raw) if compressor == "blosc" else zlib.decompress(raw)
+
+
+def chunk_files(bands: DataFrame, path: str, level: int, compressor: str = "blosc") -> DataFrame:
     """Write each band as its chunks; (file, bytes) of what was written. The folder is one that every executor mounts."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +51,7 @@ def chunk_files(bands: DataFrame, path: str, level: int) -> DataFrame:
                         part = plane[:, x : x + BAND]
                         tile[: part.shape[0], : part.shape[1]] = part
                         name = f"{path}/{level}/{r['t']}.{r['c'] + k}.{r['z']}.{r['y0'] // BAND}.{x // BAND}"
-                        raw = zlib.compress(tile.tobytes(), 5)
+                        raw = packed(tile.tobytes(), tile.itemsize, compressor)
                         os.makedirs(os.path.dirname(name), exist_ok=True)
                         with open(f"{name}.part", "wb") as file:
                             file.write(raw)
@@ -62,8 +75,11 @@ def omero(image: dict, dtype: str) -> dict:
     return {"id": 1, "name": image.get("save_child_name"), "version": "0.5", "channels": channels, "rdefs": {"model": "color" if n > 1 else "greyscale"}}
 
 
-def write_zarr(bands: DataFrame, image: dict, path: str, original: str | None = None) -> int:
-    """Write one image's bands, pyramid and description to ``path``; the number of chunk files. Each level is made from the one before."""
+def write_zarr(bands: DataFrame, image: dict, path: str, original: str | None = None, compressor: str = "blosc") -> int:
+    """Write one image's bands, pyramid and description to ``path``; the number of chunk files. Each level is made from the one before.
+
+    ``compressor``: "blosc" (zstd over shuffled bytes) or "zlib".
+    """
     w, h = image["xs"], image["ys"]
     shape = [image.get("ts") or 1, image.get("channels") or 1, image.get("zs") or 1]
     dtype = "<u2" if max(image.get("channelResolution") or [8]) > 8 else "|u1"
@@ -75,8 +91,8 @@ def write_zarr(bands: DataFrame, image: dict, path: str, original: str | None =
     for level in range(level_count(w, h)):
         if max(w, h) > BAND:
             kept.append(bands.persist(StorageLevel.DISK_ONLY))
-        files += chunk_files(bands, path, level).count()
-        array = {"zarr_format": 2, "shape": [*shape, h, w], "chunks": [1, 1, 1, BAND, min(BAND, w)], "dtype": dtype, "compressor": {"id": "zlib", "level": 5}, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "."}
+        files += chunk_files(bands, path, level, compressor).count()
+        array = {"zarr_format": 2, "shape": [*shape, h, w], "chunks": [1, 1, 1, BAND, min(BAND, w)], "dtype": dtype, "compressor": COMPRESSORS[compressor], "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "."}
         os.makedirs(f"{path}/{level}", exist_ok=True)
         with open(f"{path}/{level}/.zarray", "w") as file:
             json.dump(array, file)
@@ -107,7 +123,7 @@ def read_zarr(path: str, level: int = 0) -> np.ndarray:
             continue
         t, c, z, y, x = map(int, name.split("."))
         with open(f"{path}/{level}/{name}", "rb") as file:
-            tile = np.frombuffer(zlib.decompress(file.read()), meta["dtype"]).reshape(meta["chunks"][3:])
+            tile = np.frombuffer(unpacked(file.read(), meta["compressor"]["id"]), meta["dtype"]).reshape(meta["chunks"][3:])
         y, x = y * meta["chunks"][3], x * meta["chunks"][4]
         part = out[t, c, z, y : y + tile.shape[0], x : x + tile.shape[1]]
         part[...] = tile[: part.shape[0], : part.shape[1]]

@@ -83,12 +83,19 @@ class Ranges:
         if self.file is not None:
             self.file.close()
 
-    def read(self, path: str, at: int, size: int) -> bytes:
-        """``size`` bytes from ``at`` on; fewer at the file's end."""
+    def _open(self, path: str) -> None:
         if path != self.path:
             self.__exit__()
             system, name = find(path, self.store)
             self.path, self.file = path, system.open_input_file(name)
+
+    def size(self, path: str) -> int:
+        self._open(path)
+        return self.file.size()
+
+    def read(self, path: str, at: int, size: int) -> bytes:
+        """``size`` bytes from ``at`` on; fewer at the file's end."""
+        self._open(path)
         return self.file.read_at(size, at) if size > 0 else b""
 
 
