@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lumaframe.operators import images, linked, metadata, mosaic, tree
 from lumaframe.sinks import lif, preview, tiff, zarr
-from lumaframe.sources import containers, pixels, plane_source
+from lumaframe.sinks.preview_cache import PreviewCache
+from lumaframe.sources import containers, pixels, plane_source, schema
 
 FORMATS = {"ome-tiff": "tiff", "ometiff": "tiff", "ome.tiff": "tiff", "tiff": "tiff", "ome-zarr": "zarr", "omezarr": "zarr", "ome.zarr": "zarr", "zarr": "zarr", "lif": "lif"}
 
@@ -18,13 +19,20 @@ FORMATS = {"ome-tiff": "tiff", "ometiff": "tiff", "ome.tiff": "tiff", "tiff": "t
 class Library:
     """The containers below a path. Tables are built once and kept until the library is closed."""
 
-    def __init__(self, spark: SparkSession, path: str, seek: bool | None = None, store: str | None = None) -> None:
-        self.spark, self.store = spark, store
+    def __init__(self, spark: SparkSession, path: str, seek: bool | None = None, store: str | None = None, ome_schema: str | None = None) -> None:
+        self.spark, self.store, self.ome_schema = spark, store, ome_schema
+        self._rules: dict | None = None
         self.found = containers.containers(spark, path, seek, store).cache()
         self.nodes = containers.xml_nodes(self.found).cache()
         self.blocks = containers.memory_blocks(self.found)
         self._described: DataFrame | None = None
 
+    def rules(self) -> dict:
+        """What the schema given for descriptions, with all it includes, lists for attributes; nothing without one."""
+        if self._rules is None:
+            self._rules = schema.rules(schema.allowed(schema.closure(self.spark, self.ome_schema))) if self.ome_schema else {}
+        return self._rules
+
     def close(self) -> None:
         """Let go of the tables that are kept."""
         for table in (self.found, self.nodes, self._described):
@@ -70,7 +78,10 @@ class Library:
     def stats(self, share: float = 0.1) -> DataFrame:
         return pixels.channel_stats(self.images(), share, self.store)
 
-    def previews(self, height: int = 256, **options) -> DataFrame:
+    def previews(self, height: int = 256, cache: PreviewCache | None = None, **options) -> DataFrame:
+        """A PNG of each image; with a cache, from its files where it has them."""
+        if cache is not None:
+            return cache.get(self.images(), height, store=self.store, **options)
         return preview.previews(self.images(), height, store=self.store, **options)
 
     def convert(self, uuid: str, folder: str, output: str = "ome-tiff", threshold: int = 3192, always: bool = False, other_folder: str | None = None, with_metadata: bool = False, with_xml: bool = False, compression: str | None = None) -> str:
@@ -88,7 +99,7 @@ class Library:
         row = wide.first()
         if row is None:
             return "[]"
-        image = row.asDict(True)
+        image = row.asDict(True) | {"schema_rules": self.rules()}
         route = "planar" if always and kind != "lif" else "single lif" if kind == "lif" else image["route"]
         if image["reject_reason"] and not (image["reject_reason"] == "gaps between tiles" and (always or route in ("single lif", "as it is"))):
             return "[]"

@@ -77,10 +77,26 @@ def planes(pixels: ET.Element, image: dict, count: int, tiff: bool) -> None:
         ET.SubElement(pixels, "Plane", **attributes(TheT=t, TheC=c, TheZ=z, DeltaT=(image.get("tres") or 0.0) * t if image.get("tres") else None, ExposureTime=exposure, **at, **units))
 
 
+def conform(top: ET.Element, rules: dict[tuple[str, str], list[str]]) -> None:
+    """Bring attributes to the values that a schema lists: another case becomes the listed one, other values "Other", or none where that isn't listed."""
+    for node in top.iter():
+        for attribute, value in list(node.attrib.items()):
+            listed = rules.get((node.tag, attribute))
+            if listed is None or value in listed:
+                continue
+            known = {v.casefold(): v for v in listed}
+            best = known.get(value.casefold(), known.get("other"))
+            if best is None:
+                del node.attrib[attribute]
+            else:
+                node.set(attribute, best)
+
+
 def ome_xml(image: dict, tiff: bool = True, original: str | None = None) -> str:
     """The description of one image row (see ``metadata.describe`` and ``shown``); ``original`` goes along as an annotation.
 
-    Characters outside ASCII become references, so any reader can take it.
+    Characters outside ASCII become references, so any reader can take it. Where the row has ``schema_rules``
+    (see ``sources.schema``), attributes conform to them.
     """
     shape = shape_of(image)
     rgb = bool(image.get("isrgb"))
@@ -103,6 +119,8 @@ def ome_xml(image: dict, tiff: bool = True, original: str | None = None) -> str:
     for k in range(count):
         channel(pixels, image, k, 3 if rgb else 1)
     planes(pixels, image, count, tiff)
+    if image.get("schema_rules"):
+        conform(top, image["schema_rules"])
     if original:
         notes = ET.SubElement(top, "StructuredAnnotations")
         value = ET.SubElement(ET.SubElement(notes, "XMLAnnotation", ID="Annotation:0", Namespace="original-metadata"), "Value")

@@ -51,5 +51,5 @@ def chunk_progress(chunks: DataFrame, done: DataFrame, by: list[str]) -> DataFra
 
 
 def cancel(spark: SparkSession, tag: str) -> None:
-    """Stop the jobs that were started under a tag (``spark.addTag``), for a request that nobody waits for any more."""
-    spark.interruptTag(tag)
+    """Stop the jobs that were started under a tag (``SparkContext.addJobTag``), for a request that nobody waits for any more."""
+    spark.sparkContext.cancelJobsWithTag(tag)

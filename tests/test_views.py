@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumaframe.api import Library
 from lumaframe.operators import metadata
 from lumaframe.sinks import preview, zarr
+from lumaframe.sinks.preview_cache import PreviewCache
 from lumaframe.sources import containers, pixels
 
 
@@ -53,13 +54,16 @@ def test_chosen_planes(library):
 
 
 def test_cache(library, spark, tmp_path):
+    """The two things the former cache was tested for: nothing is drawn twice, and the oldest goes."""
     folder = str(tmp_path / "cache")
-    first = {r.uuid: r.png for r in preview.cached(library.image("new-id"), folder, 5).collect()}
-    both = {r.uuid: r.png for r in preview.cached(library.images().where("name <> 'wide'"), folder, 5).collect()}
+    cache = PreviewCache(spark, folder, capacity=2)
+    first = {r.uuid: r.png for r in cache.get(library.image("new-id"), 5).collect()}
+    both = {r.uuid: r.png for r in cache.get(library.images().where("name <> 'wide'"), 5).collect()}
     assert set(both) == {"new-id", "old-id"} and both["new-id"] == first["new-id"]
-    assert spark.read.parquet(folder).count() == 2  # the first was not drawn again
-    assert preview.evict(spark, folder, str(tmp_path / "fresh"), 1) == 1
-    assert [r.uuid for r in spark.read.parquet(str(tmp_path / "fresh")).collect()] == ["old-id"]
+    assert spark.read.parquet(cache.log).where("kind = 'put'").count() == 2  # the first was not drawn again
+    cache.capacity = 1
+    cache.get(library.image("old-id"), 5).collect()
+    assert [r.uuid for r in cache.entries().collect()] == ["old-id"]
 
 
 def test_chunks_as_a_stream(library, spark, tmp_path):
