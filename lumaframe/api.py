@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import shutil
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaframe.operators import images, linked, metadata, mosaic, tree
-from lumaframe.sinks import lif, preview, tiff, zarr
+from lumaframe.sinks import copies, lif, preview, tiff, zarr
 from lumaframe.sinks.preview_cache import PreviewCache
 from lumaframe.sources import containers, pixels, plane_source, schema
 
@@ -90,7 +90,7 @@ class Library:
 
         Planes are turned as the settings say and mosaics put together. Small images of linked
         containers stay as they are, and mosaics with gaps become containers of their own, unless
-        ``always`` is set. ``other_folder``: the result is copied there too, over what is there.
+        ``always`` is set. ``other_folder``: the result is copied there too, by ranges that are compared, over what is there.
         ``with_metadata``, ``with_xml``: the description as JSON and the container's XML go along. ``compression``: for tiled files "deflate"
         (if nothing is said), "lzw" or "none", for arrays "blosc" (if nothing is said) or "zlib".
         """
@@ -115,10 +115,7 @@ class Library:
         if other_folder and route != "as it is":
             os.makedirs(other_folder, exist_ok=True)
             copy = f"{other_folder}/{os.path.basename(target)}"
-            if os.path.isdir(target):
-                shutil.copytree(target, copy, dirs_exist_ok=True)
-            else:
-                shutil.copyfile(target, copy)
+            copies.copy(self.spark, target, copy)
         measured = metadata.intensities(wide, pixels.channel_stats(wide, store=self.store))
         values = [F.col("channel_mins"), F.col("channel_maxs"), F.col("display_black").alias("channel_display_black_values"), F.col("display_white").alias("channel_display_white_values"), F.col("keyvalues").alias("metadata")]
         if with_metadata:
@@ -145,6 +142,8 @@ class Library:
             level.unpersist()
         return f"{base}.ome.tiff"
 
-    def convert_all(self, uuids: list[str], folder: str, output: str = "ome-tiff", **options) -> dict[str, str]:
-        """Results by id. Images are written one after the other, each by all executors."""
-        return {uuid: self.convert(uuid, folder, output, **options) for uuid in uuids}
+    def convert_all(self, uuids: list[str], folder: str, output: str = "ome-tiff", together: int = 4, **options) -> dict[str, str]:
+        """Results by id. So many images are written at the same time, so that a small one doesn't leave executors without work."""
+        self.images()  # described once, for all
+        with ThreadPoolExecutor(together) as pool:
+            return dict(zip(uuids, pool.map(lambda uuid: self.convert(uuid, folder, output, **options), uuids), strict=True))
