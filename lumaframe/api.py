@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from concurrent.futures import ThreadPoolExecutor
 
@@ -134,6 +135,8 @@ class Library:
             bands = mosaic.assemble(bands, wide)
             image |= {"xs": plan.width, "ys": plan.height}
         if kind == "zarr":
+            measured = metadata.windows(wide, pixels.channel_stats(wide, 0.05, self.store))
+            image["windows"] = {r.c: (r.low, r.high) for r in measured.collect()}  # a row for each channel
             zarr.write_zarr(bands, image, f"{base}.ome.zarr", xml, compression or "blosc")
             return f"{base}.ome.zarr"
         levels = tiff.pyramid(bands, image["xs"], image["ys"])
@@ -142,6 +145,21 @@ class Library:
             level.unpersist()
         return f"{base}.ome.tiff"
 
+    def write(self, uuid: str, folder: str, output: str, colour: bool | None = None, compression: str | None = None) -> str | None:
+        """Write one image as it is told, whatever its container or size; the path, or nothing for an image that can't be written.
+
+        ``colour``: only a colour image (True), or only another (False).
+        """
+        row = metadata.reject_reason(self.image(uuid), colour).select("reject_reason").first()
+        if row is None or row.reject_reason:
+            return None
+        said = json.loads(self.convert(uuid, folder, output, always=True, compression=compression))
+        return said[0]["full_path"] if said else None
+
+    def search(self, top: str, uuid: str) -> DataFrame:
+        """(path, depth, name): the nearest file that a project file reaches whose first element has an id."""
+        return linked.search(self.nodes, containers.links(self.nodes), top, uuid)
+
     def convert_all(self, uuids: list[str], folder: str, output: str = "ome-tiff", together: int = 4, **options) -> dict[str, str]:
         """Results by id. So many images are written at the same time, so that a small one doesn't leave executors without work."""
         self.images()  # described once, for all

@@ -215,11 +215,12 @@ def channel_colours(luts: Column, channels: Column, isrgb: Column) -> Column:
     return F.when(isrgb, F.array(*map(F.lit, SAMPLES))).otherwise(own)
 
 
-def window(low: Column, high: Column, top: int) -> Column:
+def window(low: Column, high: Column, top: int | Column) -> Column:
     """(min, max) that a viewer shows: what was measured, inside the type's range; the whole range where that is empty."""
-    start, end = F.coalesce(low, F.lit(0)), F.coalesce(high, F.lit(top))
-    end = F.when(end <= start, F.lit(top)).otherwise(end)
-    return F.struct(F.greatest(start, F.lit(0)).cast("long").alias("min"), F.least(end, F.lit(top)).cast("long").alias("max"))
+    top = top if isinstance(top, Column) else F.lit(top)
+    start, end = F.coalesce(low, F.lit(0)), F.coalesce(high, top)
+    end = F.when(end <= start, top).otherwise(end)
+    return F.struct(F.greatest(start, F.lit(0)).cast("long").alias("min"), F.least(end, top).cast("long").alias("max"))
 
 
 def axis_scale(micrometres: Column, metres: Column, fallback: Column) -> Column:

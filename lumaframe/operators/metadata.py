@@ -85,10 +85,22 @@ def describe(nodes: DataFrame, found: DataFrame, blocks: DataFrame | None = None
     wide = widefield.defaults(wide.drop("_overX", "_overY", *[c for c in wide.columns if c[:2] in ("a_", "b_", "c_")]))
     linked_there = not nodes.where("tag = 'Block'").isEmpty()
     wide = linked.with_pixels(wide, nodes, found) if linked_there else wide.withColumn("pixel_path", F.col("path"))
+    wide = identified(wide, found)
+    factor = scalar.unit_factor(F.col("resunit"))
+    wide = wide.withColumns({f"{a}res2": scalar.reconciled(F.col(f"{a}res"), F.col(f"{a}res2"), factor) for a in "xyz"})
     shape = F.struct(*[F.col(c).alias(n) for n, c in (("x", "xs"), ("y", "ys"), ("z", "zs"), ("c", "channels"), ("t", "ts"), ("s", "tiles"))], F.coalesce("isrgb", F.lit(False)).alias("isrgb"))
     return wide.withColumn("dimensions", shape)
 
 
+def identified(wide: DataFrame, found: DataFrame) -> DataFrame:
+    """``wide`` with an id for single-image files that name none: one made of the path and of the sizes of what the file holds."""
+    lengths = found.select(F.col("path").alias("_file"), F.length("xml").alias("_chars"))
+    out = wide.join(lengths, wide["path"] == lengths["_file"], "left")
+    unnamed = F.lower("path").endswith(".lof") & (scalar.missing(F.col("uuid")) | F.col("uuid").eqNullSafe(F.col("block_id")))
+    own = scalar.file_uuid(F.col("path"), F.col("_chars"), F.coalesce("MemorySize", F.lit(0)))
+    return out.withColumn("uuid", F.when(unnamed, own).otherwise(F.col("uuid"))).drop("_file", "_chars")
+
+
 def reject_reason(wide: DataFrame, colour: bool | None = None) -> DataFrame:
     """``wide`` with reject_reason: why a writer can't take the image (``colour``: one for colour images or for others), null if it can."""
     gone = [F.when(F.col(c).isNull(), c) for c in ("xs", "ys", "channels", "Position")]
@@ -137,12 +149,21 @@ def shown(wide: DataFrame) -> DataFrame:
             "acquisition_mode": scalar.acquisition(F.col("mic_type2")),
             "detector_kinds": F.transform("detector_types", scalar.detector_type),
             "bits": scalar.bit_depths(F.col("channelResolution"), n, rgb),
+            "scale_x": scalar.axis_scale(F.col("xres2"), F.col("xres"), F.lit(1.0)),
+            "scale_y": scalar.axis_scale(F.col("yres2"), F.col("yres"), scalar.axis_scale(F.col("xres2"), F.col("xres"), F.lit(1.0))),
             "display_black": scalar.display_levels(F.col("blackvalue"), F.col("channelResolution"), n),
             "display_white": scalar.display_levels(F.col("whitevalue"), F.col("channelResolution"), n, 1.0),
         }
     )
 
 
+def windows(wide: DataFrame, stats: DataFrame) -> DataFrame:
+    """(c, low, high) of one image's channels for a viewer: what was measured, within the type's range."""
+    top = F.when(F.coalesce(F.array_max("channelResolution"), F.lit(8)) > 8, 65535).otherwise(255)
+    shown = stats.join(wide.select(F.col("uuid").alias("_u"), top.alias("_top")), F.col("uuid") == F.col("_u"))
+    return shown.select("c", scalar.window(F.col("vmin"), F.col("vmax"), F.col("_top")).alias("w")).select("c", F.col("w.min").alias("low"), F.col("w.max").alias("high"))
+
+
 def intensities(wide: DataFrame, stats: DataFrame) -> DataFrame:
     """``wide`` with channel_mins and channel_maxs by channel: those measured, else the whole range of the type."""
     rows = stats.groupBy(F.col("uuid").alias("_u")).agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("vmin", "vmax")))).alias("_m"))

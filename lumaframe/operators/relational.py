@@ -65,6 +65,11 @@ def overlay(left: DataFrame, right: DataFrame, key: tuple[str, str], columns: di
     return joined.withColumns({own: F.coalesce(f"_{own}", own) for own in columns}).drop("_k", *[f"_{own}" for own in columns])
 
 
+def all_notes(*lists: Column) -> Column:
+    """Several lists in one, in their order; a list that isn't there adds nothing."""
+    return F.concat(*(F.coalesce(a, F.array().cast("array<string>")) for a in lists))
+
+
 def drop_repeats(rows: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
     """Rows whose value differs from the one before in their group."""
     before = F.lag(column).over(W.partitionBy(*by).orderBy(*order))

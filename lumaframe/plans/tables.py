@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import scalar
 from lumaframe.operators import browse, images, legacy, linked, metadata, relational, tree
-from lumaframe.sinks import preview
+from lumaframe.sinks import preview, tiff, zarr
 from lumaframe.sources import containers
 from lumaframe.streaming import ingest
 
@@ -305,13 +305,54 @@ def level_count_scales(spark, sf_dir):
 
 
 @query("""
-SELECT t.range AS t, c.range AS c, z.range AS z, (t.range * 3 + c.range) * 5 + z.range AS plane FROM range(4) t, range(3) c, range(5) z""")
+SELECT l_orderkey, l_linenumber, l_orderkey AS t, CAST(l_linenumber AS BIGINT) % 3 AS c, l_partkey % 5 AS z, (l_orderkey * 3 + CAST(l_linenumber AS BIGINT) % 3) * 5 + l_partkey % 5 AS plane FROM lineitem""")
 def plane_ordinal(spark, sf_dir):
     from lumaframe.operators import array
 
-    t, c, z = (spark.range(n).withColumnRenamed("id", k) for n, k in ((4, "t"), (3, "c"), (5, "z")))
-    planes = F.broadcast(t).crossJoin(F.broadcast(c)).crossJoin(z)
-    return planes.select("t", "c", "z", array.plane_ordinal(F.col("t"), F.col("c"), F.col("z"), 3, 5).alias("plane"))
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("t"), (F.col("l_linenumber").cast("long") % 3).alias("c"), (F.col("l_partkey") % 5).alias("z"))
+    return df.select("*", array.plane_ordinal(F.col("t"), F.col("c"), F.col("z"), 3, 5).alias("plane"))
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) + 1 + l_partkey % 700 AS size FROM lineitem),
+s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, size) - 1 AS row, size FROM n)
+SELECT row, size, CAST(16 + coalesce(sum(size) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM s""")
+def tile_offsets(spark, sf_dir):
+    """Where rows of packed tiles begin in a file that many tasks write: prefix sums in two levels."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_quantity").cast("long") + 1, F.col("l_partkey") % 700).alias("sizes"))
+    per_order = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", F.get("sizes", F.lit(0)) + F.get("sizes", F.lit(1))))
+    placed = lines.withColumn("nth", per_order)
+    before = placed.groupBy("l_orderkey").agg(F.max("nth").alias("n"))
+    group = before.withColumn("grp", F.floor(F.col("l_orderkey") / 1000))
+    own = group.withColumn("inside", F.sum("n").over(W.partitionBy("grp").orderBy("l_orderkey")) - F.col("n"))
+    sums = group.groupBy("grp").agg(F.sum("n").alias("total"))
+    base = sums.withColumn("base", F.sum("total").over(W.orderBy("grp")) - F.col("total")).select("grp", "base")
+    numbers = own.join(base, "grp").select("l_orderkey", (F.col("base") + F.col("inside")).alias("first"))
+    rows = placed.join(numbers, "l_orderkey").select((F.col("first") + F.col("nth") - 1).alias("row"), "sizes")
+    offsets, _ = tiff.with_offsets(rows, rows.count())
+    return offsets.select("row", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b).alias("size"), "offset")
+
+
+@query("""
+WITH RECURSIVE k AS (SELECT 0 AS level, l_suppkey % 3 AS c, l_partkey % 97 AS y, l_orderkey % 61 AS x FROM lineitem
+UNION SELECT level + 1, c, y // 2, x // 2 FROM k WHERE level < 6)
+SELECT DISTINCT CAST(level AS INTEGER) AS level, c, y, x FROM k""")
+def dirty_parents(spark, sf_dir):
+    """The chunks of all levels that have to be made anew after some of level 0 have changed."""
+    changed = read(spark, sf_dir, "lineitem").select(F.lit(0).alias("level"), (F.col("l_suppkey") % 3).alias("c"), (F.col("l_partkey") % 97).alias("y"), (F.col("l_orderkey") % 61).alias("x")).distinct()
+    every = changed
+    for level in range(1, 7):
+        changed = zarr.above(changed, "c").withColumn("level", F.lit(level)).select("level", "c", "y", "x")
+        every = every.unionByName(changed)
+    return every
+
+
+@query("""
+SELECT o_orderkey, list_concat(CASE WHEN o_orderkey % 3 = 0 THEN [o_orderpriority] ELSE [] END, CASE WHEN o_orderkey % 2 = 0 THEN [o_orderstatus, o_orderpriority] ELSE [] END) AS notes FROM orders""")
+def annotation_union(spark, sf_dir):
+    """The annotations of an image and of what it is part of, in one list; either may lack."""
+    notes = relational.all_notes(F.when(F.col("o_orderkey") % 3 == 0, F.array("o_orderpriority")), F.when(F.col("o_orderkey") % 2 == 0, F.array("o_orderstatus", "o_orderpriority")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", notes.alias("notes"))
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 NAMESPACE = "http://www.openmicroscopy.org/Schemas/OME/2016-06"
@@ -37,6 +38,12 @@ def instrument(top: ET.Element, image: dict) -> None:
             kind, gain = some(image.get("detector_kinds"), k), some(image.get("detector_gains"), k)
             level = {"Voltage" if kind == "PMT" else "Gain": gain, "Offset": some(image.get("detector_offsets"), k), "Zoom": image.get("zoom")}
             ET.SubElement(node, "Detector", **attributes(ID=f"Detector:{k}", Model=name, Type=kind, **level))
+    for k, band in enumerate(image.get("filterblock") or []):
+        if band:
+            edges = re.search(r"(\d+)-(\d+)", band)
+            part = ET.SubElement(node, "Filter", **attributes(ID=f"Filter:{k}", Model=band, Type="BandPass" if edges else None))
+            if edges:
+                ET.SubElement(part, "TransmittanceRange", CutIn=edges[1], CutInUnit="nm", CutOut=edges[2], CutOutUnit="nm")
     immersion = (image.get("immersion") or "").capitalize().replace("Dry", "Air")
     power = image.get("magnification")
     ET.SubElement(node, "Objective", **attributes(ID="Objective:0", Model=image.get("objective"), NominalMagnification=power if power and power > 0 else None, LensNA=image.get("na") or None, Immersion=immersion if immersion in MEDIA else "Other"))
@@ -54,7 +61,9 @@ def channel(pixels: ET.Element, image: dict, k: int, samples: int) -> None:
     if samples == 1 and line and line in lasers:
         ET.SubElement(node, "LightSourceSettings", ID=f"LightSource:{lasers.index(line)}", Wavelength=number(line))
     if samples == 1 and some(image.get("detector_types"), k):
-        ET.SubElement(node, "DetectorSettings", **attributes(ID=f"Detector:{k}", Gain=some(image.get("detector_gains"), k)))
+        ET.SubElement(node, "DetectorSettings", **attributes(ID=f"Detector:{k}", Gain=some(image.get("detector_gains"), k), Offset=some(image.get("detector_offsets"), k), Zoom=image.get("zoom")))
+    if samples == 1 and some(image.get("filterblock"), k):
+        ET.SubElement(ET.SubElement(node, "LightPath"), "EmissionFilterRef", ID=f"Filter:{k}")
 
 
 def planes(pixels: ET.Element, image: dict, count: int, tiff: bool) -> None:
@@ -70,13 +79,33 @@ def planes(pixels: ET.Element, image: dict, count: int, tiff: bool) -> None:
     step = (image.get("zres2") or 0.0) * (-1 if begin is not None and (image.get("zstack_end_m") or 0) < begin else 1)
     if x is None and y is None and begin is None and not image.get("tres"):
         return
-    exposure = some(image.get("exposure_times_s"), 0)
+    exposures = image.get("exposure_times_s")
     for t, c, z in order:
+        exposure = some(exposures, c if exposures and len(exposures) >= count else 0)
         at = {"PositionX": None if x is None else x * 1e6, "PositionY": None if y is None else y * 1e6, "PositionZ": None if begin is None else begin * 1e6 + z * step}
         units = {f"{k}Unit": "µm" for k, v in at.items() if v is not None}
         ET.SubElement(pixels, "Plane", **attributes(TheT=t, TheC=c, TheZ=z, DeltaT=(image.get("tres") or 0.0) * t if image.get("tres") else None, ExposureTime=exposure, **at, **units))
 
 
+def annotate(top: ET.Element, node: ET.Element, image: dict, original: str | None) -> None:
+    """All annotations of an image in one list: those it comes with (``annotations``: a map each), and its container's description."""
+    maps = [a for a in image.get("annotations") or [] if a]
+    if not maps and not original:
+        return
+    notes, number = ET.SubElement(top, "StructuredAnnotations"), 0
+    if original:
+        value = ET.SubElement(ET.SubElement(notes, "XMLAnnotation", ID=f"Annotation:{number}", Namespace="original-metadata"), "Value")
+        ET.SubElement(value, "OriginalMetadata").text = original
+        number += 1
+    for pairs in maps:
+        value = ET.SubElement(ET.SubElement(notes, "MapAnnotation", ID=f"Annotation:{number}", Namespace="key-values"), "Value")
+        for k, v in pairs.items():
+            ET.SubElement(value, "M", K=str(k)).text = str(v)
+        number += 1
+    for n in range(number):
+        ET.SubElement(node, "AnnotationRef", ID=f"Annotation:{n}")
+
+
 def conform(top: ET.Element, rules: dict[tuple[str, str], list[str]]) -> None:
     """Bring attributes to the values that a schema lists: another case becomes the listed one, other values "Other", or none where that isn't listed."""
     for node in top.iter():
@@ -109,6 +138,12 @@ def ome_xml(image: dict, tiff: bool = True, original: str | None = None) -> str:
     ET.SubElement(node, "Description").text = image.get("summary") or image.get("objective") or ""
     ET.SubElement(node, "InstrumentRef", ID="Instrument:0")
     ET.SubElement(node, "ObjectiveSettings", **attributes(ID="Objective:0", RefractiveIndex=image.get("refractiveindex") or None))
+    around = attributes(Temperature=image.get("temperature_c"), TemperatureUnit="°C" if image.get("temperature_c") is not None else None, CO2Percent=None if image.get("co2_percent") is None else image["co2_percent"] / 100)
+    if around:
+        ET.SubElement(node, "ImagingEnvironment", **around)
+    stage = {a: image.get(f"stage_pos_{a.lower()}_m") for a in "XY"}
+    if any(v is not None for v in stage.values()):
+        ET.SubElement(node, "StageLabel", **attributes(Name="Position", **{k: v * 1e6 for k, v in stage.items() if v is not None}, **{f"{k}Unit": "µm" for k, v in stage.items() if v is not None}))
     size = {f"Size{a}": n for a, n in shape.items()} | {"SizeC": 3 if rgb else shape["C"]}
     for a in "XYZ":
         if value := image.get(f"{a.lower()}res2"):
@@ -121,9 +156,6 @@ def ome_xml(image: dict, tiff: bool = True, original: str | None = None) -> str:
     planes(pixels, image, count, tiff)
     if image.get("schema_rules"):
         conform(top, image["schema_rules"])
-    if original:
-        notes = ET.SubElement(top, "StructuredAnnotations")
-        value = ET.SubElement(ET.SubElement(notes, "XMLAnnotation", ID="Annotation:0", Namespace="original-metadata"), "Value")
-        ET.SubElement(value, "OriginalMetadata").text = original
+    annotate(top, node, image, original)
     text = ET.tostring(top, encoding="unicode")
     return '<?xml version="1.0" encoding="UTF-8"?>' + "".join(c if ord(c) < 128 else f"&#{ord(c)};" for c in text)

@@ -96,12 +96,18 @@ def child_means(path: str, level: int, meta: dict, compressor: str, at: tuple[in
     return out
 
 
+def above(changed: DataFrame, *same: str) -> DataFrame:
+    """The chunks of the next level that lie above those that changed, each once."""
+    half = lambda c: F.floor(F.col(c) / 2).cast(changed.schema[c].dataType).alias(c)
+    return changed.select(*same, half("y"), half("x")).distinct()
+
+
 def parents(changed: DataFrame, path: str, level: int) -> DataFrame:
     """(t, c, z, y, x, file, bytes): the chunks of a level above those that changed, each made anew from the four below it."""
     with open(f"{path}/{level - 1}/.zarray") as file:
         meta = json.load(file)
     compressor, shape = meta["compressor"]["id"], tuple(meta["shape"][3:])
-    dirty = changed.select("t", "c", "z", F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x")).distinct()
+    dirty = above(changed, "t", "c", "z")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,10 +146,11 @@ def append_chunks(stream: DataFrame, path: str, checkpoint: str, image: dict | N
 
 
 def omero(image: dict, dtype: str) -> dict:
-    """How a viewer shows the channels: labels, colours, and the range of the type as their window."""
+    """How a viewer shows the channels: labels, colours, and as their window what was measured (``windows``), or the range of the type."""
     top, n = (65535 if dtype == "<u2" else 255), len(image.get("labels") or []) or image.get("channels") or 1
     pick = lambda k, i, d: (image.get(k) or [])[i] if i < len(image.get(k) or []) else d
-    channels = [{"label": pick("labels", i, f"Channel {i + 1}"), "color": pick("colours", i, "ffffff"), "active": True, "window": {"min": 0, "max": top, "start": 0, "end": top}} for i in range(n)]
+    shown = [(image.get("windows") or {}).get(i, (0, top)) for i in range(n)]
+    channels = [{"label": pick("labels", i, f"Channel {i + 1}"), "color": pick("colours", i, "ffffff"), "active": True, "window": {"min": 0, "max": top, "start": low, "end": high}} for i, (low, high) in enumerate(shown)]
     return {"id": 1, "name": image.get("save_child_name"), "version": "0.5", "channels": channels, "rdefs": {"model": "color" if n > 1 else "greyscale"}}
 
 
@@ -152,10 +159,9 @@ def describe_array(path: str, image: dict, original: str | None = None, compress
     w, h = image["xs"], image["ys"]
     shape = [image.get("ts") or 1, image.get("channels") or 1, image.get("zs") or 1]
     dtype = "<u2" if max(image.get("channelResolution") or [8]) > 8 else "|u1"
-    known = lambda k, raw, d: image.get(k) if (image.get(k) or 0) > 0 else image[raw] * 1e6 if (image.get(raw) or 0) > 0 else d
-    x = known("xres2", "xres", 1.0)
-    y = known("yres2", "yres", x)
-    scale = [image.get("tres") or 1.0, 1.0, known("zres2", "zres", min(x, y)), y, x]
+    x, y = image.get("scale_x") or 1.0, image.get("scale_y") or image.get("scale_x") or 1.0
+    z = next((v for v in (image.get("zres2"), (image.get("zres") or 0) * 1e6) if v and v > 0), min(x, y))
+    scale = [image.get("tres") or 1.0, 1.0, z, y, x]
     sets, chunk = [], [1, 1, 1, BAND, min(BAND, w)]
     for level in range(level_count(w, h)):
         array = {"zarr_format": 2, "shape": [*shape, h, w], "chunks": chunk, "dtype": dtype, "compressor": COMPRESSORS[compressor], "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "."}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lumaframe.functions import scalar
+
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -42,6 +44,12 @@ def events(lines: DataFrame, line: str = "value", order: str = "n") -> DataFrame
     return out.select(order, "type", "payload").unionByName(closing)
 
 
+def timed(jobs: DataFrame, began: str = "began", ended: str = "ended") -> DataFrame:
+    """Jobs with when they began (as it is shown) and how long they took: ``at``, ``took``; a job that runs has not taken any time yet."""
+    seconds = (F.unix_micros(F.col(ended).cast("timestamp")) - F.unix_micros(F.col(began).cast("timestamp"))) / 1e6
+    return jobs.withColumns({"at": scalar.pretty_time(F.col(began).cast("string")), "took": F.when(seconds >= 0, scalar.elapsed_text(seconds))})
+
+
 def chunk_progress(chunks: DataFrame, done: DataFrame, by: list[str]) -> DataFrame:
     """By group: chunks in all, chunks written, bytes written, and per cent; ``done`` has a row (with bytes) for each chunk written."""
     total = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
