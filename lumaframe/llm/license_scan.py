@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -41,6 +41,8 @@ NOTICES = {
 TAG = "spdx license identifier"
 #: Families of licence identifiers by their beginnings; the longest that fits counts.
 FAMILIES = ["agpl", "apache", "bsd", "cc-by", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc0", "epl", "gpl", "isc", "lgpl", "mit", "mpl", "unlicense"]
+#: Families that ask for little more than their notice to be kept.
+PERMISSIVE = ("apache", "bsd", "cc0", "isc", "mit", "unlicense", "zlib")
 #: How sure one finding of each kind makes us.
 SURE = {"tag": 0.9, "base": 0.8, "notice": 0.6}
 
@@ -59,7 +61,7 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def family(identifier: str) -> str:
-    name = identifier.lower().rstrip("+")
+    name = identifier.lower().rstrip("+.:")  # a sentence's end is no part of it
     fits = [f for f in FAMILIES if name == f or name.startswith(f + "-")]
     return max(fits, key=len) if fits else name
 
@@ -130,26 +132,56 @@ def operands(order: list[str]) -> set[str]:
     return stack[-1] if stack else set()
 
 
+def met(order: list[str], allowed: Collection[str]) -> bool:
+    """Whether licences of the families allowed are enough for an expression in postfix order."""
+    stack: list[bool] = []
+    for token in order:
+        if token == "with":
+            stack.pop()
+        elif token in ("and", "or"):
+            right = stack.pop()
+            stack[-1] = stack[-1] and right if token == "and" else stack[-1] or right
+        else:
+            stack.append(family(token) in allowed)
+    return bool(stack) and stack[-1]
+
+
+def needed(order: list[str]) -> set[str]:
+    """The licences without which an expression can't be met, whatever else holds: of a choice those that both sides need."""
+    stack: list[set[str]] = []
+    for token in order:
+        if token == "with":
+            stack.pop()
+        elif token in ("and", "or"):
+            right = stack.pop()
+            stack[-1] = stack[-1] | right if token == "and" else stack[-1] & right
+        else:
+            stack.append({family(token)})
+    return stack[-1] if stack else set()
+
+
 SCAN = (
     "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, "
-    "findings array<struct<kind:string,label:string,word:bigint>>, expressions array<string>, choices array<array<string>>, score double"
+    "findings array<struct<kind:string,label:string,word:bigint>>, expressions array<string>, needed array<string>, permitted boolean, choices array<array<string>>, score double"
 )
 
 
-def scan(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", ways: bool = True) -> DataFrame:
+def scan(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", ways: bool = False, allowed: Collection[str] = PERMISSIVE) -> DataFrame:
     """One row per document with every finding, its labels, and the licence expressions behind its tags.
 
     Words are compared, so punctuation and case don't matter and a phrase may run over line ends.
     Null text: no words, no labels. Rows that share a doc_id, and null doc_ids, each have their own
-    row. Labels have all licences that the expressions name. ``choices`` has all ways to meet
-    them, however many; it is null if ``ways`` is false. Nothing is shuffled.
+    row. Labels have all licences that the expressions name. ``needed`` has those that every way to meet an expression
+    takes, and ``permitted`` says whether licences of the families ``allowed`` meet all expressions; it is null where there
+    are none. Both take one pass over an expression. ``choices`` has all ways, however many, and is null unless ``ways`` is set.
+    Other columns are not read; a text of any length is searched in one pass. An empty table gives no rows. Nothing is shuffled.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
         kind = pa.schema(
             [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.list_(pa.string())), ("labels", pa.list_(pa.string()))]
-            + [("findings", pa.list_(pa.struct([("kind", pa.string()), ("label", pa.string()), ("word", pa.int64())]))), ("expressions", pa.list_(pa.string())), ("choices", pa.list_(pa.list_(pa.string()))), ("score", pa.float64())]
+            + [("findings", pa.list_(pa.struct([("kind", pa.string()), ("label", pa.string()), ("word", pa.int64())]))), ("expressions", pa.list_(pa.string())), ("needed", pa.list_(pa.string())), ("permitted", pa.bool_()), ("choices", pa.list_(pa.list_(pa.string()))), ("score", pa.float64())]
         )
         for b in batches:
             rows = []
@@ -183,6 +215,8 @@ def scan(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", ways:
                         "labels": sorted(labels),
                         "findings": findings,
                         "expressions": expressions,
+                        "needed": sorted({x for o in orders for x in needed(o)}),
+                        "permitted": all(met(o, allowed) for o in orders if o) if any(orders) else None,
                         "choices": [sorted(c) for o in orders for c in choices(o)] if ways else None,
                         "score": 1 - doubt,
                     }

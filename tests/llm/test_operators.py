@@ -320,7 +320,7 @@ def test_proximity(spark):
 
 
 def test_license_scan(docs, nothing):
-    rows = license_scan.scan(docs).collect()
+    rows = license_scan.scan(docs, ways=True).collect()
     assert len(rows) == docs.count()
     for r in rows:
         text = next(x[1] for x in awkward() if x[0] == r.doc_id)

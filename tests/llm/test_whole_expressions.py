@@ -13,10 +13,10 @@ def test_no_way_is_left_out(spark):
     many = "SPDX-License-Identifier: " + " AND ".join(f"(x{i} OR y{i} WITH except-{i})" for i in range(40))
     names = [("apache", "zlib"), *pairs[1:]]
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    row = license_scan.scan(docs).first()
+    row = license_scan.scan(docs, ways=True).first()
     assert row.labels == sorted(itertools.chain(*names))
     assert sorted(row.choices) == sorted(sorted(x) for x in itertools.product(*names))
-    row = license_scan.scan(spark.createDataFrame([(1, many)], "doc_id bigint, text string"), ways=False).first()
+    row = license_scan.scan(spark.createDataFrame([(1, many)], "doc_id bigint, text string")).first()
     assert row.labels == sorted(f"{k}{i}" for k in "xy" for i in range(40)) and row.choices is None
 
 
@@ -57,3 +57,35 @@ def test_longest_beginning():
         assert license_scan.postfix(text) == shorter_and_shorter(text), text
     long = "(" * 20000 + "MIT and " * 20000
     assert license_scan.postfix(long) == []
+
+
+def test_expressions_are_evaluated():
+    """Against all truth assignments: what meets an expression, and what it can't be met without."""
+    import random
+
+    names = ["mit", "isc", "zlib", "apache-2.0", "gpl-3.0"]
+    families = [license_scan.family(n) for n in names]
+    rng = random.Random(9)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.2:
+            name = rng.choice(names)
+            return (name + rng.choice(["", "", " WITH some-exception"]), lambda on, f=license_scan.family(name): f in on)
+        (a, f), (b, g), word = grow(depth - 1), grow(depth - 1), rng.choice(["AND", "OR"])
+        return f"({a}) {word} ({b})", (lambda on: f(on) and g(on)) if word == "AND" else (lambda on: f(on) or g(on))
+
+    for _ in range(400):
+        text, truth = grow(3)
+        order = license_scan.postfix(text)
+        for k in range(1 << 5):
+            on = {f for i, f in enumerate(families) if k >> i & 1}
+            assert license_scan.met(order, on) == truth(on), (text, on)
+        assert license_scan.needed(order) == {f for f in families if not truth(set(families) - {f})}, text
+    assert not license_scan.met([], families) and license_scan.needed([]) == set()
+
+
+def test_and_differs_from_or(spark):
+    texts = ["SPDX-License-Identifier: MIT AND GPL-3.0-only.", "SPDX-License-Identifier: MIT OR GPL-3.0-only.", "SPDX-License-Identifier: MIT.", "no tag", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, r.needed, r.permitted) for r in license_scan.scan(docs).collect()}
+    assert got == {0: (["gpl", "mit"], ["gpl", "mit"], False), 1: (["gpl", "mit"], [], True), 2: (["mit"], ["mit"], True), 3: ([], [], None), 4: ([], [], None)}
