@@ -26,15 +26,19 @@ def encode_png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines, 6)) + part(b"IEND", b"")
 
 
-def area_resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Means over the areas that new pixels cover."""
+def area_means(a: np.ndarray, m: int) -> np.ndarray:
+    """m means over equal stretches of the first axis, whatever pixels their edges cut: differences of running sums."""
+    n = len(a)
+    edge = np.linspace(0, n, m + 1)
+    at = np.minimum(edge.astype(np.int64), n - 1)
+    sums = np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, 0, dtype=np.float64)])
+    upto = sums[at] + (edge - at).reshape(-1, *[1] * (a.ndim - 1)) * a[at]
+    return np.diff(upto, axis=0) * (m / n)
 
-    def weights(n: int, m: int) -> np.ndarray:
-        edge = np.linspace(0, n, m + 1)
-        at = np.arange(n)
-        return np.clip(np.minimum(edge[1:, None], at + 1) - np.maximum(edge[:-1, None], at), 0, None) * (m / n)
 
-    return weights(a.shape[0], h) @ a.astype(np.float64) @ weights(a.shape[1], w).T
+def area_resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Means over the areas that new pixels cover."""
+    return area_means(area_means(a, h).T, w).T
 
 
 def render(planes: list[np.ndarray], colours: list[int], height: int) -> np.ndarray:
@@ -60,18 +64,12 @@ def previews(wide: DataFrame, height: int = 256, plane: dict[str, int] | None =
     height is drawn at its own.
     """
     steps = F.greatest(F.lit(1), F.floor(F.col("ys") / (2 * height))).cast("int")
-    parts = None
-    known = [r.step for r in wide.select(steps.alias("step")).distinct().orderBy("step").collect()]  # a few distinct strides
-    for step in known:
-        wanted = pixels.planes(wide.where(steps == step), plane is None)
-        for axis, at in (plane or {}).items():
-            wanted = wanted.where(F.col(axis) == at)
-        if channels is not None:
-            wanted = wanted.where(F.col("c").isin(channels) | (F.col("samples") == 3))
-        one = pixels.chunks(wanted, step, store=store)
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
-        return wide.sparkSession.createDataFrame([], "uuid string, height int, png binary")
+    wanted = pixels.planes(wide.withColumn("step", steps), plane is None)
+    for axis, at in (plane or {}).items():
+        wanted = wanted.where(F.col(axis) == at)
+    if channels is not None:
+        wanted = wanted.where(F.col("c").isin(channels) | (F.col("samples") == 3))
+    parts = pixels.chunks(wanted, store=store)
     luts = wide.select(F.col("uuid").alias("_u"), F.col("lutname"), F.col("ys").alias("full"))
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:

@@ -25,7 +25,7 @@ def planes(wide: DataFrame, centre: bool = False, stored: bool = False) -> DataF
 
     Images whose memory block isn't in the file have no planes. ``stored``: extents are exchanged where
     the settings say that axes are swapped, as such planes lie in the file. Pixels of linked images lie
-    in ``pixel_path``.
+    in ``pixel_path``. A column ``step`` goes along.
     """
     path = F.coalesce("pixel_path", "path") if "pixel_path" in wide.columns else F.col("path")
     swap = F.coalesce(F.col("swapxy"), F.lit(0)) != 0 if stored and "swapxy" in wide.columns else F.lit(False)
@@ -40,7 +40,8 @@ def planes(wide: DataFrame, centre: bool = False, stored: bool = False) -> DataF
     offset = F.col("Position") + F.col("t") * F.col("tbytesinc") + F.col("s") * F.col("tilebytesinc") + F.col("z") * F.col("zbytesinc") + F.when(F.col("samples") == 3, F.lit(0)).otherwise(own)
     bits = F.coalesce(F.array_max("channelResolution"), F.lit(8))
     w, rows = F.when(swap, F.col("ys")).otherwise(F.col("xs")), F.when(swap, F.col("xs")).otherwise(F.col("ys"))
-    return df.select(path.alias("path"), "uuid", "t", "c", "z", "s", w.alias("w"), rows.alias("rows"), "samples", offset.alias("offset"), F.when(bits > 8, "<u2").otherwise("|u1").alias("dtype")).where("offset IS NOT NULL")
+    more = ["step"] if "step" in wide.columns else []
+    return df.select(path.alias("path"), "uuid", "t", "c", "z", "s", w.alias("w"), rows.alias("rows"), "samples", offset.alias("offset"), F.when(bits > 8, "<u2").otherwise("|u1").alias("dtype"), *more).where("offset IS NOT NULL")
 
 
 def read_band(ranges: stores.Ranges, r: dict, step: int, band: int) -> dict | None:
@@ -66,16 +67,16 @@ def chunks(wanted: DataFrame, step: int = 1, band: int = BAND, store: str | None
     """Bands of ``band`` rows of every plane, every step-th row of them; rows that the file lacks read as zero.
 
     Files are read by ranges from wherever they lie (see ``stores``). Reading is dealt out by band, and the
-    stride is taken before anything is read.
+    stride is taken before anything is read. Where ``wanted`` has a column ``step``, each plane has its own.
     """
     rows = wanted.withColumn("y0", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(band))))
-    rows = rows.repartition(F.col("uuid"), "t", "c", "z", "s", "y0").select("path", "uuid", "t", "c", "z", "s", "y0", "w", "rows", "samples", "offset", "dtype")
+    rows = rows.repartition(F.col("uuid"), "t", "c", "z", "s", "y0").select("path", "uuid", "t", "c", "z", "s", "y0", "w", "rows", "samples", "offset", "dtype", F.col("step") if "step" in wanted.columns else F.lit(step).alias("step"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with stores.Ranges(store) as ranges:
             for b in batches:
                 for r in b.to_pylist():
-                    if (out := read_band(ranges, r, step, band)) is not None:
+                    if (out := read_band(ranges, r, r["step"], band)) is not None:
                         yield pa.RecordBatch.from_pylist([out], schema=CHUNK_KINDS)
 
     return rows.mapInArrow(read, CHUNKS)
