@@ -42,6 +42,8 @@ GRAMS = 64
 TOGETHER = 8
 #: Window starts that are looked at together.
 SLICE = 1 << 19
+#: Most keys of documents, of 16 bytes each, that are sent to all tasks.
+SENT = 2_000_000
 #: Stands for a null doc_id, and sorts first.
 NULL_ID = -(1 << 63)
 
@@ -155,6 +157,18 @@ def tagged(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
     return documents.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("key"), body.alias("text"), tag.alias("tag"))
 
 
+def apart(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(the texts that may have a key, the others): so that only the first are shuffled to what a key has.
+
+    Keys (doc, _tag) are sent to all tasks if they are ``SENT`` at most; of more, all texts are taken for the first.
+    """
+    if keys.count() > SENT:
+        return texts, None
+    near = F.broadcast(keys.select("doc", "_tag"))
+    met = (texts["key"] == near["doc"]) & (texts["tag"] == near["_tag"])
+    return texts.join(near, met, "left_semi"), texts.join(near, met, "left_anti")
+
+
 def tag_of(place: str) -> Column:
     return F.shiftleft(F.shiftright(place, 32), 32)
 
@@ -247,7 +261,8 @@ def eights(texts: DataFrame, cells: DataFrame) -> DataFrame:
             if found:
                 yield close()
 
-    per_doc = cells.groupBy("doc", tag_of("place").alias("_tag")).agg(F.collect_list(F.struct("place", "n", "ahead")).alias("cells"))
+    per_doc = written(cells.groupBy("doc", tag_of("place").alias("_tag")).agg(F.collect_list(F.struct("place", "n", "ahead")).alias("cells")))
+    texts, _ = apart(texts, per_doc)
     joined = texts.join(per_doc, (texts["key"] == per_doc["doc"]) & (texts["tag"] == per_doc["_tag"])).select("key", "text", "tag", "cells")
     return joined.mapInArrow(rank, EIGHTS)
 
@@ -294,8 +309,13 @@ def dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     ranked = written(sort_by_pair(sampled(texts)).where("again OR NOT alone"))
     by_eights = written(sort_by_pair(eights(texts, open_rows(ranked).select("doc", "place", "n", "ahead"))).where("again OR NOT alone"))
     last = sort_by_pair(singles(open_rows(by_eights)))
-    runs = repeats(ranked).unionByName(repeats(by_eights)).unionByName(repeats(last)).groupBy("doc", tag_of("place").alias("_tag")).agg(F.collect_list(F.struct((F.col("place") - tag_of("place")).alias("place"), (F.col("until") - tag_of("place")).alias("until"))).alias("runs"))
-    joined = texts.join(runs, (texts["key"] == runs["doc"]) & (texts["tag"] == runs["_tag"]), "left").select("key", "text", "runs")
+    found = repeats(ranked).unionByName(repeats(by_eights)).unionByName(repeats(last))
+    span = F.struct((F.col("place") - tag_of("place")).alias("place"), (F.col("until") - tag_of("place")).alias("until"))
+    runs = written(found.groupBy("doc", tag_of("place").alias("_tag")).agg(F.collect_list(span).alias("runs")))
+    some, others = apart(texts, runs)
+    joined = some.join(runs, (some["key"] == runs["doc"]) & (some["tag"] == runs["_tag"]), "left").select("key", "text", "runs")
+    if others is not None:
+        joined = joined.unionByName(others.select("key", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -57,3 +57,9 @@ def test_reserved_columns_survive(spark, shared):
         assert kept.columns == docs.columns
         rows = kept.collect()
         assert rows and all(r[n] == f"mine {n}" for r in rows for n in own)
+
+
+def test_bytes_with_more_keys_than_are_sent(shared, monkeypatch):
+    few = sorted((r.doc_id or 0, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.dedup(shared).collect())
+    monkeypatch.setattr(suffix_dedup, "SENT", 0)
+    assert sorted((r.doc_id or 0, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.dedup(shared).collect()) == few
