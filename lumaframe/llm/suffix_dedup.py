@@ -42,8 +42,8 @@ GRAMS = 64
 TOGETHER = 8
 #: Window starts that are looked at together.
 SLICE = 1 << 19
-#: Most keys of documents, of 16 bytes each, that are sent to all tasks.
-SENT = 2_000_000
+#: Most keys of documents that are sent to all tasks; a key takes some 100 bytes there.
+SENT = 1_000_000
 #: Stands for a null doc_id, and sorts first.
 NULL_ID = -(1 << 63)
 
