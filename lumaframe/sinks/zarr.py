@@ -9,14 +9,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lumaframe.functions import scalar
 from lumaframe.functions.codecs import blosc_decode, blosc_encode
-from lumaframe.operators import tree
+from lumaframe.operators import browse, tree
 from lumaframe.sinks.ome import ome_xml
 from lumaframe.sources.pixels import BAND, array_of
+from lumaframe.streaming import ingest
 
 
 # How an array's record names its compressor.
@@ -190,6 +192,21 @@ def write_zarr(bands: DataFrame, image: dict, path: str, original: str | None =
     return keep_up(chunk_files(bands, path, 0, compressor), path, levels)
 
 
+def status(spark: SparkSession, path: str) -> DataFrame:
+    """(level, total, written, bytes, percent) of an array: how much of each level is there, levels in their order."""
+    with open(f"{path}/.zattrs") as file:
+        names = [s["path"] for s in json.load(file)["multiscales"][0]["datasets"]]
+    shapes = []
+    for name in names:
+        with open(f"{path}/{name}/.zarray") as file:
+            meta = json.load(file)
+        shapes.append((name, [-(-n // c) for n, c in zip(meta["shape"], meta["chunks"], strict=True)]))
+    due = spark.createDataFrame(shapes, "level string, grid array<int>")
+    due = due.select("level", F.explode(F.sequence(F.lit(1), F.aggregate("grid", F.lit(1), lambda a, n: a * n))).alias("chunk"))
+    there = browse.files(spark, path).where(F.col("name").rlike("^[0-9]+([.][0-9]+){4}$")).select(F.substring_index("dir", "/", -1).alias("level"), F.col("length").alias("bytes"))
+    return ingest.chunk_progress(due, there, ["level"]).orderBy(scalar.numeric_order(F.col("level")))
+
+
 def read_zarr(path: str, level: int = 0) -> np.ndarray:
     """A whole level, for small arrays."""
     with open(f"{path}/{level}/.zarray") as file:

@@ -56,6 +56,8 @@ def test_levels_follow_a_stream(spark, tmp_path):
         zarr.append_chunks(stream, path, str(tmp_path / "c")).awaitTermination(120)
         have += which
         check_levels(path, data, have)
+        if n == 0:
+            assert [(r.level, r.total, r.written, r.percent) for r in zarr.status(spark, path).collect()] == [("0", 18, 6, 33.3), ("1", 8, 4, 50.0), ("2", 2, 2, 100.0)]
         after = {f"{d}/{n}": os.stat(f"{d}/{n}").st_ino for d, _, names in os.walk(path) for n in names}
         rewritten = {os.path.relpath(f, path) for f, inode in after.items() if before.get(f) != inode}
         dirty = {(0, 0, c, 0, y0 // 512, x) for c, y0 in which for x in range(3)}
