@@ -11,11 +11,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import itertools
 import json
 import os
+import re
 import threading
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumaframe.llm.common import shared_path, spread
+from lumaframe.llm.common import shared_path, spread, text_bytes
 
 #: Ids of a block; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 20
 #: Texts are encoded in groups of about so many bytes.
 GROUP_BYTES = 14_000_000
-#: A worker remembers the ids of the last pieces it met: this many, and up to as many older ones.
-MEMO_PIECES = 450_000
+#: A worker remembers the ids of so many pieces, or so many bytes of them; beyond that it keeps the KEPT_PIECES that it met last, of LONGEST_KEPT bytes at most.
+MEMO_PIECES = 1_000_000
+MEMO_BYTES = 48_000_000
+KEPT_PIECES = 600_000
+LONGEST_KEPT = 64
+#: Bytes of words that go to the tokenizer's model as one text.
+CALL_BYTES = 20_000
 #: A worker process without a task forgets its tokenizer and memo after so long.
 IDLE_SECONDS = 3.0
 END_ID = 2
@@ -45,10 +53,39 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 #: Staged bytes for each task that writes blocks, at most about.
 PART_BYTES = 256_000_000
 
-#: A space not followed by a visible ASCII character, a letter or a number: texts with one aren't cut there but encoded whole.
-_UNSAFE = r" ([^!-~\pL\pN]|$)"
-#: What may follow a word's letters without a letter or number after it, and is then a piece of its own.
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters of two bytes that every version of Unicode has as letters: Latin and Cyrillic.
+_LETTERS = "À-ÖØ-öø-ɏЀ-ѿ"
+#: Pieces that are one word to the tokenizer's pattern.
+_PLAIN = f"^ [A-Za-z{_LETTERS}]+$"
+
+#: Kinds of byte pairs, by first + 256 * second: a cut before the first, one before the second, and either if what stands beside the pair allows it.
+BEFORE, BETWEEN, PERHAPS_BEFORE, PERHAPS_BETWEEN = 1, 2, 3, 4
+
+
+def pair_kinds() -> np.ndarray:
+    visible, signs = range(0x21, 0x7F), [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    out = np.zeros((256, 256), np.uint8)  # by second, then first
+    out[visible, 0x20] = BEFORE
+    out[0x80:, 0x20] = PERHAPS_BEFORE
+    out[0x0A, visible] = BETWEEN
+    out[np.ix_(signs, [c for c in visible if c not in signs])] = BETWEEN
+    out[[0x0A, *signs], 0x80:] = PERHAPS_BETWEEN
+    return out.reshape(-1)
+
+
+def two_bytes(known: Callable[[str], bool]) -> np.ndarray:
+    """For first + 256 * second: whether these bytes begin a character of the first 65,536, and ``known`` holds for all characters that they begin."""
+    out, bad = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+    for c in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+        raw = chr(c).encode()
+        (out if known(chr(c)) else bad)[raw[0] + 256 * raw[1]] = True
+    return out & ~bad
+
+
+PAIR_KINDS = pair_kinds()
+#: What begins with these bytes is no white space, and no format or control character either.
+SOLID = two_bytes(lambda c: unicodedata.category(c)[0] in "LMNPS")
+LETTER = two_bytes(lambda c: re.match(f"[{_LETTERS}]", c) is not None)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -98,14 +135,50 @@ def vocabulary_size(tokenizer) -> int:
     return max(tokenizer.get_vocab().values(), default=-1) + 1
 
 
+def cuts(raw: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where pieces of texts start that a byte-level BPE tokenizer encodes one by one as it encodes the text.
+
+    ``raw`` are the texts' bytes, ``ends`` their n + 1 offsets, ``whole`` says which texts stay in one piece.
+    The tokenizer's pattern always ends a match at these places, and what it matches before them does not change
+    if the text ends there: before a space that no white space follows; between a letter or digit and an ASCII
+    sign; before a line feed that no white space precedes; and after it, if it is alone. A piece that can't be cut is only longer.
+    """
+    n = len(raw)
+    starts = ends[:-1][np.diff(ends) > 0]
+    if not n:
+        return starts
+    kinds = np.empty(n - 1, np.uint8)
+    for odd in (0, 1):
+        kinds[odd::2] = PAIR_KINDS[raw[odd : odd + (n - odd) // 2 * 2].view("<u2")]
+    kinds[starts[1:] - 1] = 0  # one byte of a text, one of the next
+    at = np.flatnonzero(kinds)
+    kind = kinds[at]
+    asked = np.flatnonzero(kind == PERHAPS_BEFORE)
+    one, two, three = (raw.take(at[asked] + j, mode="clip") for j in (1, 2, 3))
+    dash = (one == 0xE2) & (two == 0x80) & (three >= 0x90) & (three <= 0xA7)  # dashes, quotes, dots: spaces begin with the same two bytes
+    kind[asked] = np.where(SOLID[one + two.astype(np.uint16) * np.uint16(256)] | dash, BEFORE, 0)
+    asked = np.flatnonzero(kind == PERHAPS_BETWEEN)
+    kind[asked] = np.where(LETTER[raw[at[asked] - 1] + raw[at[asked]].astype(np.uint16) * np.uint16(256)], BETWEEN, 0)
+    at, kind = at[kind > 0], kind[kind > 0]
+    at += kind == BETWEEN
+    after = at[raw[at] == 0x0A] + 1
+    after = after[after < n]
+    after = after[(raw[after] > 0x20) & (raw[after] < 0x7F)]
+    if whole.any():
+        at, after = (x[~whole[np.searchsorted(ends[1:], x, "right")]] for x in (at, after))
+    begin = np.zeros(n, bool)
+    begin[at] = begin[after] = begin[starts] = True
+    return np.flatnonzero(begin)
+
+
 class Encoder:
-    """A byte-level BPE tokenizer that encodes each distinct word of a batch once and remembers the last ones it met.
+    """A byte-level BPE tokenizer that encodes each distinct piece of a batch once and remembers the last ones it met.
 
-    A text is cut before its spaces. The pattern of these tokenizers lets a word take one space
-    before it and nothing reach across that space, so a piece gives the ids that it gives within
-    the text, as long as a visible character follows the space; other texts are encoded whole, and
-    so are texts that hold one of the tokenizer's added tokens. With any other kind of tokenizer
-    all texts are encoded whole.
+    Texts are cut where ``cuts`` says; those that hold one of the tokenizer's added tokens are
+    encoded whole. With any other kind of tokenizer all texts are encoded whole.
+
+    The memo is an Arrow array of pieces, with a start and a length in one array of ids for each. A
+    batch's pieces are looked up by a dictionary that begins with the memo's.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -126,9 +199,9 @@ class Encoder:
         self.begins = np.zeros(self.size, bool)  # ids of tokens that begin with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.begins[i] = token.startswith(space)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.known = pa.array([], pa.large_binary())
+        self.ids, self.at, self.n, self.met = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.batches = 0
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -152,95 +225,78 @@ class Encoder:
         with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call, nothing is lost
             ctypes.CDLL(None).malloc_trim(0)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spaced(self, pieces: list[str], plain: bool) -> list[bytes]:
-        """The ids of each piece with a space before it; ``plain`` pieces are letters only.
+    def spaced(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of pieces that are a space and letters.
 
-        Pieces are encoded side by side, many to a call: each begins where a token begins with a
-        space. Letters need no look at the text's pattern and go to the model at once.
-        """
-        out: list[bytes] = []
-        for a in range(0, len(pieces), 2000):
-            text = " " + " ".join(pieces[a : a + 2000])
-            if plain:
-                text = self.letters[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
-            found = (self.words if plain else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids
-            ids = np.array(found, "<u4")
-            raw = ids.tobytes()
-            cuts = [*(4 * np.flatnonzero(self.begins[ids])).tolist(), len(raw)]
-            out += [raw[x:y] for x, y in zip(cuts, cuts[1:])]  # noqa: B905, RUF007
-        assert len(out) == len(pieces)
-        return out
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each distinct piece with a space before it."""
-        if len(self.new) > MEMO_PIECES:  # what has not been met since the last time is forgotten
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        out = list(map(new.get, pieces))
-        split, other, need = [], [], {}
-        for i, ids in enumerate(out):
-            if ids is not None:
-                continue
-            piece = pieces[i]
-            if (ids := old.get(piece)) is not None:
-                out[i] = new[piece] = ids
-                continue
-            word = piece.rstrip(_TAIL)
-            if word.isalpha():
-                split.append((i, word, piece[len(word) :]))
-                need[word] = new.get(word) or old.get(word)
-            else:
-                other.append(i)
-        fresh = [w for w, ids in need.items() if ids is None]
-        need.update(zip(fresh, self.spaced(fresh, True), strict=True))
-        tails = [t for t in {t for _, _, t in split} if t not in self.tails]
-        if len(self.tails) > 10_000:
-            self.tails, tails = {"": b""}, list({t for _, _, t in split if t})
-        self.tails.update(zip(tails, self.whole(tails), strict=True))
-        for i, word, tail in split:
-            out[i] = new[pieces[i]] = need[word] + self.tails[tail]
-        for i, ids in zip(other, self.spaced([pieces[i] for i in other], False), strict=True):
-            out[i] = new[pieces[i]] = ids
-        return out
-
-    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]:
-        """A text column as (ids of the distinct pieces, their offsets, piece numbers, first piece number's place by text, heads).
-
-        ``heads`` has the ids of a text's first piece, which no space precedes, or of the whole text
-        where it can't be cut; in the latter case the text has no pieces.
+        They need no look at the tokenizer's pattern and go to its model side by side, many to a
+        call: each begins where a token begins with a space.
         """
-        unsafe = pc.match_substring_regex(column, _UNSAFE).to_numpy(zero_copy_only=False).astype(bool) | (not self.cuts)
-        for token in self.added if self.cuts else ():
-            unsafe |= pc.match_substring(column, token).to_numpy(zero_copy_only=False).astype(bool)
-        lists = pc.split_pattern(pc.if_else(pa.array(unsafe), pa.scalar("", column.type), column), " ")
-        ends = np.asarray(lists.offsets, np.int64)
-        coded = lists.flatten().dictionary_encode()
-        number = np.asarray(coded.indices, np.int32)
-        ends = ends - ends[0]
-        first = np.zeros(len(number), bool)
-        first[ends[:-1]] = True
-        used = np.zeros(len(coded.dictionary), bool)
-        used[number[~first]] = True
-        heads = self.whole([column[i].as_py() if unsafe[i] else coded.dictionary[int(number[ends[i]])].as_py() for i in range(len(column))])
-        found = self.pieces(coded.dictionary.filter(pa.array(used)).to_pylist())
-        place = np.cumsum(used, dtype=np.int32) - np.int32(1)
-        lengths = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-        return np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(lengths)]), np.where(first, np.int32(-1), place[number]), ends, heads
+        raw, ends = text_bytes(pieces)
+        calls = np.unique(np.searchsorted(ends, np.arange(0, len(raw), CALL_BYTES)))
+        texts = [self.letters[raw[a:b]].tobytes().decode("utf-32-le") for a, b in itertools.pairwise([*ends[calls].tolist(), len(raw)])]
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in self.words.encode_batch_fast(texts, add_special_tokens=False))])
+        starts = np.flatnonzero(self.begins[ids])
+        assert len(starts) == len(pieces)
+        return ids, np.diff(starts, append=len(ids))
+
+    def learn(self, known: pa.Array) -> None:
+        """Take a dictionary that begins with the pieces known so far, and encode the others."""
+        new = known.slice(len(self.known)).cast(pa.large_string())
+        plain = pc.match_substring_regex(new, _PLAIN)
+        ids, lengths = self.spaced(new.filter(plain))
+        others = self.whole(new.filter(pc.invert(plain)).to_pylist())
+        plain = plain.to_numpy(zero_copy_only=False)
+        n = np.zeros(len(new), np.int32)
+        n[plain], n[~plain] = lengths, np.fromiter(map(len, others), np.int32, len(others))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        at = np.zeros(len(new), np.int64)
+        at[order] = len(self.ids) + np.cumsum(n[order]) - n[order]
+        self.known, self.ids = known, np.concatenate([self.ids, ids, *others])
+        self.at, self.n, self.met = np.concatenate([self.at, at]), np.concatenate([self.n, n]), np.concatenate([self.met, np.zeros(len(new), np.int32)])
+
+    def shrink(self) -> None:
+        """Keep the pieces that were met last, where the memo has grown too large."""
+        if len(self.known) <= MEMO_PIECES and self.known.nbytes <= MEMO_BYTES:
+            return
+        short = np.flatnonzero(np.asarray(pc.binary_length(self.known)) <= LONGEST_KEPT)
+        keep = np.sort(short[np.argsort(-self.met[short], kind="stable")[:KEPT_PIECES]])
+        self.ids, self.known = self.ids[spans(self.at[keep], self.n[keep])], self.known.take(pa.array(keep))
+        self.n, self.met = self.n[keep], self.met[keep]
+        self.at = np.cumsum(self.n, dtype=np.int64) - self.n
 
     def documents(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text, whole."""
-        ids, offsets, number, ends, heads = self.batch(column)
-        lengths = np.diff(offsets)
-        out = []
-        for i, head in enumerate(heads):
-            own = number[ends[i] + 1 : ends[i + 1]]
-            n = lengths[own]
-            at = np.repeat(offsets[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out.append(np.concatenate([np.frombuffer(head, "<u4"), ids[at]]))
-        return out
+        if not self.cuts:
+            return self.whole(column.to_pylist())
+        whole = np.zeros(len(column), bool)
+        for token in self.added:
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False).astype(bool)
+        raw, ends = text_bytes(column)
+        starts = cuts(raw, ends, whole)
+        if not len(starts):
+            return [self.ids[:0]] * len(column)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)])
+        coded = pa.chunked_array([self.known, pieces]).dictionary_encode().chunks[-1]
+        self.learn(coded.dictionary)
+        number = np.asarray(coded.indices)
+        self.batches += 1
+        self.met[number] = self.batches
+        n = self.n[number]
+        first = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[np.searchsorted(starts, ends)]
+        ids = self.ids[spans(self.at[number], n)]
+        self.shrink()
+        return [ids[a:b] for a, b in itertools.pairwise(first.tolist())]
+
+
+def spans(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each ``at`` on, ``n`` of them, one span after the other."""
+    ends = np.cumsum(n, dtype=np.int64)
+    out = np.repeat(at - (ends - n), n)
+    out += np.arange(len(out))
+    return out
 
 
 def groups(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
